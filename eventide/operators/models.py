@@ -25,15 +25,11 @@ def fit_lines(train: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     w, cx, cy = F.col("w"), F.col(x).cast("double"), F.col(y)
     sums = train.groupBy(*by).agg(
         F.sum(w).alias("sw"), F.sum(w * cx).alias("swx"), F.sum(w * cy).alias("swy"),
-        F.sum(w * cx * cx).alias("swxx"), F.sum(w * cx * cy).alias("swxy"), F.count(F.lit(1)).alias("train_rows"),
-    )
-    slope = F.coalesce(
-        F.try_divide(
-            F.col("sw") * F.col("swxy") - F.col("swx") * F.col("swy"),
-            F.col("sw") * F.col("swxx") - F.col("swx") * F.col("swx"),
-        ),
-        F.lit(0.0),
+        F.sum(w * cx * cx).alias("swxx"), F.sum(w * cx * cy).alias("swxy"), F.min(cx).alias("x_low"), F.max(cx).alias("x_high"), F.count(F.lit(1)).alias("train_rows"),
     )
+    sw, swx, swy = F.col("sw"), F.col("swx"), F.col("swy")
+    has_range = F.col("x_low") < F.col("x_high")
+    slope = F.when(has_range, (sw * F.col("swxy") - swx * swy) / (sw * F.col("swxx") - swx * swx)).otherwise(0.0)
     return sums.withColumn("slope", slope).select(
         *by, "slope", ((F.col("swy") - F.col("slope") * F.col("swx")) / F.col("sw")).alias("level"), "train_rows"
     )

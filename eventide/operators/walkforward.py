@@ -23,6 +23,11 @@ SUMS = {
 }
 
 
+# With a single score level there is no slope; the sums alone cannot tell, as
+# their last bits depend on the order of addition.
+RANGE = {"x_low": F.min, "x_high": F.max}
+
+
 def label_table(
     events: DataFrame,
     curves: DataFrame,
@@ -88,13 +93,21 @@ def fold_report(folds: DataFrame) -> DataFrame:
 def _terms() -> dict[str, Column]:
     usable = F.col("y").isNotNull()
     w, x, y = F.col("w"), F.col("x"), F.col("y")
-    return {name: F.when(usable, term(w, x, y)).otherwise(0.0) for name, term in SUMS.items()}
+    terms = {name: F.when(usable, term(w, x, y)).otherwise(0.0) for name, term in SUMS.items()}
+    return terms | {name: F.when(usable, x) for name in RANGE}
+
+
+def _totals(terms: dict[str, Column], window) -> dict[str, Column]:
+    """The six sums and the range of the score over a window."""
+    sums = {name: F.coalesce(F.sum(terms[name]).over(window), F.lit(0.0)) for name in SUMS}
+    return sums | {name: pick(terms[name]).over(window) for name, pick in RANGE.items()}
 
 
 def line_forecast(x: Column, min_train: int = MIN_TRAIN) -> Column:
     """Forecast of the clamped weighted line from the six sums; null below ``min_train`` rows."""
     n, sw, swx, swy, swxx, swxy = [F.col(name) for name in SUMS]
-    slope = F.greatest(F.coalesce(F.try_divide(sw * swxy - swx * swy, sw * swxx - swx * swx), F.lit(0.0)), F.lit(0.0))
+    free_slope = F.when(F.col("x_low") < F.col("x_high"), (sw * swxy - swx * swy) / (sw * swxx - swx * swx))
+    slope = F.greatest(F.coalesce(free_slope, F.lit(0.0)), F.lit(0.0))
     level = (swy - slope * swx) / sw
     return F.when(n >= min_train, level + slope * x)
 
@@ -114,8 +127,8 @@ def walk_forward(labels: DataFrame, coarse: int = COARSE_FOLD, min_train: int =
     rows = fold_starts(sample_weights(labels), coarse)
     past = _series().orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     fold = Window.partitionBy("sector", "h", "fold_start").orderBy("i")
-    rows = rows.withColumns({name: F.coalesce(F.sum(term).over(past), F.lit(0.0)) for name, term in _terms().items()})
-    rows = rows.withColumns({name: F.first(name).over(fold) for name in SUMS})
+    rows = rows.withColumns(_totals(_terms(), past))
+    rows = rows.withColumns({name: F.first(name).over(fold) for name in [*SUMS, *RANGE]})
     can_train = F.col("fold_start") >= min_train
     forecasts = rows.withColumn("pred", F.when(can_train, line_forecast(F.col("x"), min_train)))
     return fill_gaps(forecasts.select("sector", "date", "h", "i", "n_dates", "fold_start", "y", "pred"))
@@ -137,12 +150,12 @@ def walk_forward_purged(labels: DataFrame, min_train: int = MIN_TRAIN) -> DataFr
     )
     questions = weighted.select(
         "sector", "h", F.unix_date("date").alias("at"), F.lit(True).alias("asked"),
-        *[F.lit(0.0).alias(name) for name in SUMS], "date", "x", "y",
+        *[F.lit(0.0).alias(name) for name in SUMS], *[F.lit(None).cast("double").alias(name) for name in RANGE],
+        "date", "x", "y",
     )
     before = _series().orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    summed = facts.unionByName(questions).withColumns(
-        {name: F.coalesce(F.sum(name).over(before), F.lit(0.0)) for name in SUMS}
-    )
+    stored = {name: F.col(name) for name in [*SUMS, *RANGE]}
+    summed = facts.unionByName(questions).withColumns(_totals(stored, before))
     forecasts = summed.where("asked").withColumn("pred", line_forecast(F.col("x"), min_train))
     return fill_gaps(forecasts.select("sector", "date", "h", "y", "pred"))
 
@@ -150,7 +163,7 @@ def walk_forward_purged(labels: DataFrame, min_train: int = MIN_TRAIN) -> DataFr
 def final_forecasts(labels: DataFrame, min_train: int = MIN_TRAIN) -> DataFrame:
     """Forecasts of one line per sector and horizon, fitted on all dates; else null."""
     weighted = sample_weights(labels)
-    fitted = weighted.withColumns({name: F.sum(term).over(_series()) for name, term in _terms().items()})
+    fitted = weighted.withColumns(_totals(_terms(), _series()))
     return fitted.select("sector", "date", "h", "y", line_forecast(F.col("x"), min_train).alias("pred"))
 
 

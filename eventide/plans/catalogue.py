@@ -269,7 +269,7 @@ def event_base_price(spark, sf_dir):
 def forward_window(spark, sf_dir):
     dates = dt.calendar(spark, sf_dir).select("date").distinct()
     out = _windows(spark, sf_dir).join(dates, "date").where(F.col("days_seen") > 0)
-    return rounded(out.select("item", "date", "max_price", "mean_price", "days_seen"), 4, "mean_price")
+    return out.select("item", "date", "max_price", "mean_price", "days_seen")
 
 
 def _betas(spark, sf_dir) -> DataFrame:
