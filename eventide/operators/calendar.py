@@ -28,12 +28,13 @@ def event_dedup(events: DataFrame, score: str = "honing_mat_demand", id_col: str
     """The strongest event of each date; the lower id wins a tie.
 
     An aggregate, not a ranking window: a date with a third of all events is
-    reduced to one row per task before the shuffle.
+    reduced to one row per task before the shuffle. Score and id are packed
+    into one long (ids below 2^52), so the aggregate stays hash-based on
+    fixed-width columns, and unused columns are pruned one by one.
     """
-    key = F.struct(F.coalesce(F.col(score), F.lit(0)), -F.col(id_col))
+    rank = F.coalesce(F.col(score), F.lit(0)).cast("bigint") * (1 << 52) - F.col(id_col)
     rest = [c for c in events.columns if c != "date"]
-    best = F.max_by(F.struct(*rest), key)
-    return events.groupBy("date").agg(best.alias("best")).select("date", *[F.col(f"best.{c}") for c in rest])
+    return events.groupBy("date").agg(*[F.max_by(c, rank).alias(c) for c in rest])
 
 
 def event_search(

@@ -348,11 +348,10 @@ def json_profile(docs: DataFrame, json_col: str) -> DataFrame:
 
 def news_alerts(notices: DataFrame, threshold: int = fixed.ALERT_SCORE) -> DataFrame:
     """First sighting of each notice, kept when its importance reaches the threshold."""
-    first = F.min_by(F.struct("ts", "score"), F.struct("ts", F.col("score")))
+    first = F.unix_micros(F.col("ts").cast("timestamp")) * 16 + F.col("score")
     return (
         notices.groupBy("notice_id")
-        .agg(first.alias("f"))
-        .select("notice_id", "f.ts", "f.score")
+        .agg(F.min("ts").alias("ts"), F.min_by("score", first).alias("score"))
         .where(F.col("score") >= threshold)
     )
 

@@ -40,20 +40,25 @@ def sector_index(
     )
 
 
-def date_curves(index: DataFrame, horizons: list[int] = HORIZONS) -> DataFrame:
+def date_curves(index: DataFrame, horizons: list[int] = HORIZONS, digits: int | None = None) -> DataFrame:
     """Index at each horizon around each date, with the date itself at 100.
 
-    One row per date, holding an array of (sector, h, index): at most
-    sectors x horizons elements. The size depends on the calendar alone.
+    One row per date, holding an array of (sector, h, index, return_pct): at
+    most sectors x horizons elements. The size depends on the calendar alone,
+    so anything done to every point, like rounding, is done here and not once
+    per event.
     """
     targets = index.select(
         "sector", "date", F.col("price").alias("base"), F.explode(F.lit(horizons)).alias("h")
     ).withColumn("target", F.date_add("date", F.col("h")))
     at_target = index.select("sector", F.col("date").alias("target"), F.col("price").alias("then"))
+    value = F.col("then") / F.col("base") * 100.0
+    change = value - 100.0
+    if digits is not None:
+        value, change = F.round(value, digits), F.round(change, digits)
     points = targets.join(at_target, ["sector", "target"])
-    return points.groupBy("date").agg(
-        F.collect_list(F.struct("sector", "h", (F.col("then") / F.col("base") * 100.0).alias("index"))).alias("curve")
-    )
+    point = F.struct("sector", "h", value.alias("index"), change.alias("return_pct"))
+    return points.groupBy("date").agg(F.collect_list(point).alias("curve"))
 
 
 def event_trajectory(events: DataFrame, curves: DataFrame) -> DataFrame:
@@ -62,38 +67,29 @@ def event_trajectory(events: DataFrame, curves: DataFrame) -> DataFrame:
     Events meet one small row per date, so they are neither ranked nor
     multiplied before the final explode.
     """
-    return (
-        events.join(curves, "date")
-        .select("event_id", "date", F.explode("curve").alias("point"))
-        .select("event_id", "date", "point.sector", "point.h", "point.index")
-        .withColumn("return_pct", F.col("index") - 100.0)
-    )
+    return events.join(curves, "date").select("event_id", "date", F.inline("curve"))
 
 
 def trajectory_column(sector: str, h: int) -> str:
     return f"Actual_{sector}_T{h}"
 
 
-def trajectory_wide(
-    events: DataFrame, curves: DataFrame, sectors: list[str], horizons: list[int] = HORIZONS
-) -> DataFrame:
-    """Wide view: one column per sector and horizon, 0.0 for missing, one decimal.
-
-    The pivot runs on the date table; events only pick up their date's row.
-    """
+def date_wide(curves: DataFrame, sectors: list[str], horizons: list[int] = HORIZONS) -> DataFrame:
+    """Wide curves: one column per sector and horizon, 0.0 for missing, one decimal."""
     keys = [f"{s}:{h}" for s in sectors for h in horizons]
-    points = curves.select("date", F.explode("curve").alias("p")).select(
-        "date", F.concat_ws(":", "p.sector", "p.h").alias("key"), "p.index"
-    )
+    points = curves.select("date", F.inline("curve")).select("date", F.concat_ws(":", "sector", "h").alias("key"), "index")
     wide = points.groupBy("date").pivot("key", keys).agg(F.first("index"))
-    joined = event_lead_time(events).join(wide, "date", "left")
     values = [
         F.coalesce(F.bround(F.col(f"`{s}:{h}`"), 1), F.lit(0.0)).alias(trajectory_column(s, h))
         for s in sectors
         for h in horizons
     ]
-    out = joined.select("event_id", "date", "lead_time_days", *values)
-    legacy = {
-        f"Actual_{s}_Return": F.col(f"`{trajectory_column(s, 7)}`") for s in ("Honing", "Gem") if s in sectors
-    }
-    return out.withColumns(legacy)
+    return wide.select("date", *values)
+
+
+def trajectory_wide(events: DataFrame, wide: DataFrame) -> DataFrame:
+    """Events with the wide curve of their date; a date without one shows zeros."""
+    joined = event_lead_time(events).select("event_id", "date", "lead_time_days").join(wide, "date", "left")
+    joined = joined.fillna(0.0, subset=[c for c in wide.columns if c != "date"])
+    legacy = {f"Actual_{s}_Return": trajectory_column(s, 7) for s in ("Honing", "Gem")}
+    return joined.withColumns({new: F.col(f"`{old}`") for new, old in legacy.items() if old in wide.columns})

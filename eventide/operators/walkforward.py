@@ -40,21 +40,21 @@ def label_table(
     ``events`` holds one event per date, so the table is bounded by the
     calendar: dates x sectors x horizons, however many events there are.
     """
-    grid = F.array(
+    sectors = F.array(
         *[
             F.struct(
                 F.lit(s).alias("sector"),
-                F.lit(h).alias("h"),
                 F.col(weight_score[s]).cast("double").alias("score"),
                 F.col(monotone_score[s]).cast("double").alias("x"),
             )
             for s in weight_score
-            for h in horizons
         ]
     )
-    rows = events.select("date", F.explode(grid).alias("g")).select("date", "g.*")
-    points = curves.select("date", F.explode("curve").alias("p")).select("date", "p.*").where(F.col("index") != 0)
-    return rows.join(points, ["date", "sector", "h"], "left").withColumnRenamed("index", "y")
+    series = events.select("date", F.explode(sectors).alias("s")).select("date", "s.*")
+    rows = series.withColumn("h", F.explode(F.lit(horizons)))
+    points = curves.select("date", F.inline("curve")).where(F.col("index") != 0)
+    points = points.select("date", "sector", "h", F.col("index").alias("y"))
+    return rows.join(points, ["date", "sector", "h"], "left")
 
 
 def _series() -> Window:

@@ -230,10 +230,9 @@ def _sector_index(spark, sf_dir) -> DataFrame:
     return study.sector_index(_prices(spark, sf_dir), dt.SECTORS)
 
 
-def _curves(spark, sf_dir) -> DataFrame:
+def _curves(spark, sf_dir, digits: int | None = None) -> DataFrame:
     """One row per date; written, so that joins to events know its size."""
-    index = stage_table(_sector_index(spark, sf_dir), "sector_index")
-    return stage_table(study.date_curves(index), "curves")
+    return stage_table(study.date_curves(_sector_index(spark, sf_dir), digits=digits), "curves")
 
 
 @query
@@ -243,13 +242,14 @@ def sector_index(spark, sf_dir):
 
 @query
 def event_trajectory(spark, sf_dir):
-    out = study.event_trajectory(dt.calendar(spark, sf_dir), _curves(spark, sf_dir))
-    return rounded(out, 4, "index", "return_pct")
+    return study.event_trajectory(dt.calendar(spark, sf_dir), _curves(spark, sf_dir, digits=4))
 
 
 @query
 def trajectory_wide(spark, sf_dir):
-    return study.trajectory_wide(dt.calendar(spark, sf_dir), _curves(spark, sf_dir), list(dt.SECTORS))
+    curves = study.date_curves(_sector_index(spark, sf_dir))
+    wide = stage_table(study.date_wide(curves, list(dt.SECTORS)), "wide_curves")
+    return study.trajectory_wide(dt.calendar(spark, sf_dir), wide)
 
 
 # ----------------------------------------------------------------- item betas
@@ -788,5 +788,4 @@ def stream_upsert(spark, sf_dir):
 @query
 def stream_refresh(spark, sf_dir):
     events = dt.calendar_columns(jobs.file_stream(spark, sf_dir, "orders.parquet"))
-    out = jobs.refresh_trajectories(events, _curves(spark, sf_dir), stage_path(spark, "refresh"))
-    return rounded(out, 4, "index", "return_pct")
+    return jobs.refresh_trajectories(events, _curves(spark, sf_dir, digits=4), stage_path(spark, "refresh"))
