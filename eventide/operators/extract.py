@@ -40,6 +40,11 @@ def notice_rows(pages: DataFrame, html_col: str = "html", keep: list[str] | None
     )
 
 
+def latest_notice(rows: DataFrame, key: str = "page_id") -> DataFrame:
+    """The top notice of each listing page."""
+    return rows.groupBy(key).agg(F.min_by(F.struct("notice_id", "title"), "pos").alias("n")).select(key, "n.*")
+
+
 def listing_links(pages: DataFrame, row_pattern: str, key: str = "page_id", html_col: str = "html") -> DataFrame:
     """Every list entry of a page: position, address and label.
 
@@ -61,6 +66,7 @@ def page_text(
     body_pattern: str = r"(?s)<article>(.*?)</article>",
     key: str = "page_id",
     html_col: str = "html",
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Title and main content as text, with placeholders for what is missing."""
     text = F.col(html_col)
@@ -68,6 +74,7 @@ def page_text(
     body = F.when(text.rlike(body_pattern), text_lines(F.regexp_extract(text, body_pattern, 1)))
     return pages.select(
         key,
+        *(keep or []),
         F.coalesce(title, F.lit("Unknown Title")).alias("title"),
         F.coalesce(body, F.lit(fixed.MISSING_CONTENT)).alias("content"),
     )

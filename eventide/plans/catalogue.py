@@ -85,6 +85,13 @@ def forward_return_7d(spark, sf_dir):
     return bars.forward_return(prices)
 
 
+@query
+def forward_return_calendar(spark, sf_dir):
+    """The return over seven calendar days, on the dense grid."""
+    grid = bars.dense_grid(_prices(spark, sf_dir)).select("item", "day", "price")
+    return bars.forward_return(grid)
+
+
 @query
 def seasonality(spark, sf_dir):
     out = season.seasonality(bars.daily_prices(dt.ticks(spark, sf_dir)), price="price")
@@ -131,6 +138,16 @@ def stage_funnel(spark, sf_dir):
     )
 
 
+@query
+def volume_dedup(spark, sf_dir):
+    """Volume history appended by two fetches; the later fetch of a day wins."""
+    ticks = dt.ticks(spark, sf_dir).where(F.col("feed").isin("N", "R"))
+    fetches = ticks.groupBy("item", "day", (F.col("feed") == "R").cast("int").alias("fetch")).agg(
+        F.avg("price").alias("avg_price"), F.count(F.lit(1)).alias("trade_count")
+    )
+    return bars.dedup_volume(fetches, "fetch")
+
+
 @query
 def volume_enrich(spark, sf_dir):
     ticks = dt.ticks(spark, sf_dir)
@@ -478,8 +495,7 @@ def event_flags(spark, sf_dir):
 @query
 def content_filter(spark, sf_dir):
     """Main content of pages that pass the type and quality filter."""
-    pages = dt.table(spark, sf_dir, "pages")
-    content = extract.page_text(pages).join(pages.select("page_id", "url"), "page_id")
+    content = extract.page_text(dt.table(spark, sf_dir, "pages"), keep=["url"])
     kind = F.when(F.col("url").startswith("https:"), "Official Notice").otherwise("Cash Shop")
     kept = enrich.content_filter(content.withColumn("event_type", kind))
     return kept.select("page_id", "event_type", F.length("content").alias("content_length"))
@@ -709,6 +725,30 @@ def notice_extract(spark, sf_dir):
     return extract.listing_links(dt.table(spark, sf_dir, "pages"), r'<li><a href="([^"]*)">([^<]*)</a></li>')
 
 
+def _listing_pages(spark, sf_dir) -> DataFrame:
+    """Pages written as notice listings: a notice row, a plain row and a row without id."""
+    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
+    number = F.col("page_id").cast("string")
+    row = F.concat(
+        F.lit('<li class="list__item notice">\n<a href="/News/Notice/Views/'), number, F.lit('?page=1">'),
+        F.lit('<span class="icon icon--notice">공지</span><span class="list__title"> '), title, F.lit(" </span>"),
+        F.lit('<div class="list__date" title="x">2024.01.'), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"), F.lit("</div></a></li>"),
+    )
+    plain = F.concat(F.lit('<li class="list__item"><a href="/News/Notice/NoticeViews/9'), number, F.lit('?x">no title</a></li>'))
+    empty = F.lit('<li class="list__item"><a href="/elsewhere">x</a></li>')
+    return dt.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<ul>"), empty, row, plain, F.lit("</ul>")).alias("html"))
+
+
+@query
+def notice_rows(spark, sf_dir):
+    return extract.notice_rows(_listing_pages(spark, sf_dir), keep=["page_id"])
+
+
+@query
+def latest_notice(spark, sf_dir):
+    return extract.latest_notice(extract.notice_rows(_listing_pages(spark, sf_dir), keep=["page_id"]))
+
+
 @query
 def page_text(spark, sf_dir):
     return extract.page_text(dt.table(spark, sf_dir, "pages"))

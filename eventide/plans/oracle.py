@@ -237,6 +237,10 @@ ORACLE_SQL: dict[str, str] = {
         """SELECT *, (future_price_7d - price) / price AS target_return_7d FROM (SELECT item, day, price,
         lead(price, 7) OVER (PARTITION BY item ORDER BY day) AS future_price_7d FROM prices) WHERE future_price_7d IS NOT NULL AND price <> 0""",
         "prices"),
+    "forward_return_calendar": _sql(
+        """SELECT *, (future_price_7d - price) / price AS target_return_7d FROM (SELECT item, day, price,
+        lead(price, 7) OVER (PARTITION BY item ORDER BY day) AS future_price_7d FROM grid) WHERE future_price_7d IS NOT NULL AND price <> 0""",
+        "grid"),
     "seasonality": _sql(
         "SELECT item, "
         + ", ".join(f"round(avg(price) FILTER (WHERE isodow(day) = {k + 1}) / avg(price), 6) AS day_{k}" for k in range(7))
@@ -261,6 +265,10 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT 2, 'daily bars', count(*) FROM (SELECT DISTINCT item, day FROM ticks)
         UNION ALL SELECT 3, 'events', count(*) FROM orders
         UNION ALL SELECT 4, 'strong events', count(*) FROM calendar WHERE honing_mat_demand >= 7)""", "ticks", "calendar"),
+    "volume_dedup": _sql(
+        """SELECT item, day, avg_price, trade_count FROM (SELECT *, row_number() OVER (PARTITION BY item, day ORDER BY feed DESC) AS rn
+        FROM (SELECT item, day, feed, avg(price) AS avg_price, count(*) AS trade_count FROM ticks WHERE feed <> 'A' GROUP BY ALL)) WHERE rn = 1""",
+        "ticks"),
     "volume_enrich": _sql(
         """SELECT item, day, price_mean, round(price_std, 4) AS price_std, price_min, price_max, tick_count,
         coalesce(v.trade_count, 0) AS trade_count FROM feed_bars LEFT JOIN volume v USING (item, day)""", "feed_bars", "volume"),
@@ -472,6 +480,12 @@ ORACLE_SQL: dict[str, str] = {
     "notice_extract": """SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, regexp_extract(li, 'href="([^"]*)"', 1) AS href, regexp_extract(li, '>([^<]*)</a>', 1) AS label
         FROM (SELECT page_id, unnest(l) AS li, unnest(generate_series(1, len(l))) AS pos
         FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>') AS l FROM pages))""",
+    "notice_rows": _sql(
+        """SELECT page_id, 1 AS pos, CAST(page_id AS VARCHAR) AS notice_id, trim(title) AS title, '공지' AS category,
+        strftime(DATE '2024-01-01' + CAST(page_id % 28 AS INTEGER), '%Y-%m-%d') AS date, true AS is_pinned FROM page_titles
+        UNION ALL SELECT page_id, 2, '9' || CAST(page_id AS VARCHAR), 'Unknown Title', 'General', 'Unknown Date', false FROM page_titles""",
+        "page_titles"),
+    "latest_notice": _sql("SELECT page_id, CAST(page_id AS VARCHAR) AS notice_id, trim(title) AS title FROM page_titles", "page_titles"),
     "page_text": """SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS title,
         regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(
         regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]+>', chr(10), 'g'),
