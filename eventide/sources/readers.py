@@ -36,20 +36,20 @@ def read_json_documents(spark: SparkSession, path: str, schema: T.StructType) ->
 
 def read_string_map(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
     """A flat JSON object to (key, value) rows; null values stay null."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "map<string, string>")).alias(key, value))
 
 
 def read_string_list(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A JSON array of strings to one row per position."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", name))
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Stored trajectories, an object of sector -> list, to one row per sector and date."""
     record = "struct<date: string, predicted_trajectory: array<double>, horizons: array<int>>"
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     by_sector = F.explode(F.from_json("value", f"map<string, array<{record}>>")).alias("sector", "records")
     return text.select(by_sector).select("sector", F.explode("records").alias("r")).select("sector", "r.*")
 
@@ -63,7 +63,7 @@ def prediction_at(predictions: DataFrame, h: int) -> DataFrame:
 
 def read_horizon_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Stored horizon metrics, an object of horizon -> errors, to rows; other entries are skipped."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = F.explode(F.from_json("value", "map<string, string>")).alias("horizon", "body")
     errors = F.from_json("body", "rmse double, mae double")
     return text.select(entries).where(F.col("body").startswith("{")).select("horizon", errors.alias("e")).select("horizon", "e.*")
