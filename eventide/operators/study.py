@@ -90,6 +90,7 @@ def date_wide(curves: DataFrame, sectors: list[str], horizons: list[int] = HORIZ
 def trajectory_wide(events: DataFrame, wide: DataFrame) -> DataFrame:
     """Events with the wide curve of their date; a date without one shows zeros."""
     joined = event_lead_time(events).select("event_id", "date", "lead_time_days").join(wide, "date", "left")
-    joined = joined.fillna(0.0, subset=[c for c in wide.columns if c != "date"])
-    legacy = {f"Actual_{s}_Return": trajectory_column(s, 7) for s in ("Honing", "Gem")}
-    return joined.withColumns({new: F.col(f"`{old}`") for new, old in legacy.items() if old in wide.columns})
+    filled = {name: F.coalesce(F.col(f"`{name}`"), F.lit(0.0)) for name in wide.columns if name != "date"}
+    legacy = {f"Actual_{s}_Return": filled.get(trajectory_column(s, 7)) for s in ("Honing", "Gem")}
+    columns = [c.alias(name) for name, c in (filled | legacy).items() if c is not None]
+    return joined.select("event_id", "date", "lead_time_days", *columns)
