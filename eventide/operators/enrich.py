@@ -99,27 +99,33 @@ def best_post_by_minute(candidates: DataFrame, wanted: DataFrame, window_minutes
     """Best candidate within the window around each wanted minute.
 
     Posts and broadcasts carry minute times, so posts are first reduced to the
-    best one of each minute. What remains is bounded by the clock - 1440 rows a
-    day - and a range frame per day bucket, holding its neighbour days too,
-    finds the best in reach. No post is ever paired with a broadcast.
+    best one of each minute; what remains is bounded by the clock. The time
+    line is cut into blocks as long as the window. Any window then is the end
+    of one block plus the start of the next, so its best is the larger of a
+    running maximum from behind and one from the front: each row is looked at
+    once, and no post is ever paired with a broadcast.
     """
-    reach = -(-window_minutes // 1440)
-    key = F.struct("score", (-F.col("link")).alias("neg_link"))
-    per_minute = candidates.groupBy("minute").agg(F.max(key).alias("best"))
-    spread = per_minute.select(
-        "minute", "best", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("shift")
-    ).select((F.floor(F.col("minute") / 1440) + F.col("shift")).alias("bucket"), "minute", "best", F.lit(False).alias("asked"))
-    asked = wanted.select("minute").distinct().select(
-        F.floor(F.col("minute") / 1440).alias("bucket"),
-        "minute",
-        F.lit(None).cast(spread.schema["best"].dataType).alias("best"),
-        F.lit(True).alias("asked"),
+    span = 2 * window_minutes + 1
+    best_type = "struct<score: double, neg_link: bigint>"
+    key = F.struct(F.col("score").cast("double").alias("score"), (-F.col("link")).alias("neg_link"))
+    posts = candidates.groupBy(F.col("minute").alias("at")).agg(F.max(key).alias("best")).select(
+        "at", "best", F.lit(None).cast("bigint").alias("minute"), F.lit(False).alias("is_start")
     )
-    near = Window.partitionBy("bucket").orderBy("minute").rangeBetween(-window_minutes, window_minutes)
+    edges = F.array(
+        F.struct((F.col("minute") - window_minutes).alias("at"), F.lit(True).alias("is_start")),
+        F.struct((F.col("minute") + window_minutes).alias("at"), F.lit(False).alias("is_start")),
+    )
+    asked = wanted.select("minute").distinct().select("minute", F.inline(edges)).select(
+        "at", F.lit(None).cast(best_type).alias("best"), "minute", "is_start"
+    )
+    rows = posts.unionByName(asked).withColumn("block", F.floor(F.col("at") / span))
+    block = Window.partitionBy("block")
+    to_end, from_start = F.max("best").over(block.orderBy(F.desc("at"))), F.max("best").over(block.orderBy("at"))
     return (
-        spread.unionByName(asked)
-        .withColumn("found", F.max("best").over(near))
-        .where(F.col("asked") & F.col("found").isNotNull())
+        rows.withColumn("found", F.when(F.col("is_start"), to_end).otherwise(from_start))
+        .where(F.col("minute").isNotNull() & F.col("found").isNotNull())
+        .groupBy("minute")
+        .agg(F.max("found").alias("found"))
         .select("minute", (-F.col("found.neg_link")).alias("link"), F.col("found.score").alias("score"))
     )
 

@@ -795,8 +795,13 @@ def latest_snapshot(spark, sf_dir):
 # --------------------------------------------------------------------- streams
 
 
+def _table_stream(spark, sf_dir, name: str) -> DataFrame:
+    """A table as a stream; the one-name pattern takes a single file as well as a folder."""
+    return jobs.file_stream(spark, f"{sf_dir}/{{{name}}}.parquet")
+
+
 def _tick_stream(spark, sf_dir) -> DataFrame:
-    events = jobs.file_stream(spark, sf_dir, "events.parquet")
+    events = _table_stream(spark, sf_dir, "events")
     return events.select(F.col("event_type").alias("item"), "ts", dt.hundredths(F.col("value")).alias("price"))
 
 
@@ -812,13 +817,13 @@ def stream_daily_state(spark, sf_dir):
 
 @query
 def stream_alerts(spark, sf_dir):
-    feed = _notice_feed(jobs.file_stream(spark, sf_dir, "events.parquet"))
+    feed = _notice_feed(_table_stream(spark, sf_dir, "events"))
     return jobs.alerts(feed, stage_path(spark, "alerts"))
 
 
 @query
 def stream_upsert(spark, sf_dir):
-    pages = jobs.file_stream(spark, sf_dir, "pages.parquet").where(~F.col("html").contains('lang="de"'))
+    pages = _table_stream(spark, sf_dir, "pages").where(~F.col("html").contains('lang="de"'))
     title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
     changed = F.when(F.col("url").contains("#"), F.concat(title, F.lit(" (updated)"))).otherwise(title)
     batches = pages.select(F.col("url").alias("link"), changed.alias("title"))
@@ -827,5 +832,5 @@ def stream_upsert(spark, sf_dir):
 
 @query
 def stream_refresh(spark, sf_dir):
-    events = dt.calendar_columns(jobs.file_stream(spark, sf_dir, "orders.parquet"))
+    events = dt.calendar_columns(_table_stream(spark, sf_dir, "orders"))
     return jobs.refresh_trajectories(events, _curves(spark, sf_dir, digits=4), stage_path(spark, "refresh"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,25 +70,36 @@ def read_horizon_metrics(spark: SparkSession, path: str) -> DataFrame:
     return text.select(entries).where(F.col("body").startswith("{")).select("horizon", errors.alias("e")).select("horizon", "e.*")
 
 
+def _listing(spark: SparkSession, path: str) -> DataFrame | None:
+    """Paths of the files under a path or pattern, without their content; None if there are none."""
+    try:
+        return spark.read.format("binaryFile").load(path).select("path")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or table folder exists."""
+    return _listing(spark, path) is not None
+
+
 def latest_snapshot(spark: SparkSession, folder: str, prefix: str, suffix: str, fallback: str | None = None) -> str:
-    """Path of the file whose name sorts last among those with the prefix.
+    """Path of the file or table folder whose name sorts last among those with the prefix.
 
     Dated names sort by date. Only the listing is read, never the content, and
-    one path comes back to the driver.
+    one name comes back to the driver.
     """
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*{suffix}").load(folder)
-    newest = listing.agg(F.max(F.element_at(F.split("path", "/"), -1)).alias("name")).first()["name"]
-    if newest is None:
+    folder = folder.rstrip("/")
+    listing = _listing(spark, f"{folder}/{prefix}*{suffix}")
+    if listing is None:
         if fallback is None:
             raise FileNotFoundError(f"no {prefix}*{suffix} in {folder}")
         return fallback
-    return f"{folder.rstrip('/')}/{newest}"
-
-
-def path_exists(spark: SparkSession, folder: str, name: str) -> bool:
-    """Whether a folder holds a file or table of this name."""
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder)
-    return bool(listing.select("path").take(1))
+    name = F.regexp_extract("path", rf"/(\Q{prefix}\E[^/]*\Q{suffix}\E)(/[^/]*)*$", 1)
+    newest = listing.agg(F.max(name).alias("name")).first()["name"]
+    return f"{folder}/{newest}"
 
 
 def source_cascade(
@@ -104,7 +116,8 @@ def source_cascade(
     candidate the result is empty but typed.
     """
     for name, tag, reader in candidates:
-        if path_exists(spark, folder, name):
-            rows = conform(reader(f"{folder.rstrip('/')}/{name}"), schema, defaults)
+        path = f"{folder.rstrip('/')}/{name}"
+        if path_exists(spark, path):
+            rows = conform(reader(path), schema, defaults)
             return rows.withColumn("source", F.lit(tag))
     return conform(spark.createDataFrame([], schema), schema).withColumn("source", F.lit("none"))

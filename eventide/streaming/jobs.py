@@ -11,16 +11,14 @@ from pyspark.sql import functions as F
 
 from eventide.fixed_values import ALERT_SCORE
 from eventide.operators.ingest import notice_upsert
-from eventide.operators.study import event_trajectory
 
 
-def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """Stream over the Parquet files of a folder that match a name."""
-    schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+def file_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Stream over the Parquet files of a folder, or of a path pattern."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(path)
 
 
 def _start(stream: DataFrame, folder: str, mode: str):
@@ -131,16 +129,17 @@ def upsert_notices(batches: DataFrame, base: DataFrame, folder: str) -> DataFram
 def refresh_trajectories(events: DataFrame, curves: DataFrame, folder: str) -> DataFrame:
     """Trajectories of the events of each micro-batch, and of no others.
 
-    ``curves`` is the stored date table, read per batch.
+    ``curves`` is the stored date table, read per batch. The store keeps one
+    row per event with its curve, so a later batch replaces an event by one
+    row; points are opened when they are read.
     """
     spark = curves.sparkSession
 
     def refresh(batch: DataFrame, number: int) -> None:
-        rows = event_trajectory(batch, curves).withColumn("refreshed_in", F.lit(number))
+        rows = batch.select("event_id", "date").join(curves, "date")
         rows.write.mode("overwrite").parquet(f"{folder}/trajectories/batch={number}")
 
     _start(events, folder, "append").foreachBatch(refresh).start().awaitTermination()
     versions = spark.read.parquet(f"{folder}/trajectories")
-    keys = ["event_id", "sector", "h"]
-    latest = versions.groupBy(*keys).agg(F.max_by(F.struct("date", "index", "return_pct"), "batch").alias("v"))
-    return latest.select(*keys, "v.*")
+    latest = versions.groupBy("event_id").agg(F.max_by(F.struct("date", "curve"), "batch").alias("v"))
+    return latest.select("event_id", "v.date", F.inline("v.curve"))

@@ -69,7 +69,10 @@ def test_stored_trajectories_and_lookup(spark, folder):
 def test_newest_snapshot_and_fallback(spark, folder):
     for name in ("ticks_20260101.csv", "ticks_20260310.csv", "other_20270101.csv"):
         write(f"{folder}/{name}", "x\n")
+    spark.range(3).write.csv(f"{folder}/ticks_20260209.csv")
     assert readers.latest_snapshot(spark, folder, "ticks_", ".csv").endswith("ticks_20260310.csv")
+    spark.range(3).write.csv(f"{folder}/ticks_20260401.csv")
+    assert readers.latest_snapshot(spark, folder, "ticks_", ".csv") == f"{folder}/ticks_20260401.csv"
     assert readers.latest_snapshot(spark, folder, "none_", ".csv", fallback="all.csv") == "all.csv"
     with pytest.raises(FileNotFoundError):
         readers.latest_snapshot(spark, folder, "none_", ".csv")

@@ -32,7 +32,7 @@ def tick_parts(spark, sf_dir):
 
 def test_hourly_bars_equal_batch_on_closed_hours(spark, tick_parts, rows):
     path, ticks = tick_parts
-    out = jobs.hourly_bars(jobs.file_stream(spark, path, "*.parquet", files_per_batch=1), folder())
+    out = jobs.hourly_bars(jobs.file_stream(spark, path, 1), folder())
     last = ticks.agg(F.max("ts")).first()[0]
     batch = ticks.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour_start"), "item").agg(
         F.avg("price"), F.min("price"), F.max("price"), F.count("*"))
@@ -42,7 +42,7 @@ def test_hourly_bars_equal_batch_on_closed_hours(spark, tick_parts, rows):
 
 def test_daily_state_equals_batch(spark, tick_parts, rows):
     path, ticks = tick_parts
-    out = jobs.daily_state(jobs.file_stream(spark, path, "*.parquet", files_per_batch=1), folder())
+    out = jobs.daily_state(jobs.file_stream(spark, path, 1), folder())
     batch = ticks.groupBy(F.to_date("ts").alias("day"), "item").agg(F.count("*"), F.sum("price"), F.min("price"), F.max("price"))
     assert rows(out) == rows(batch)
 
@@ -53,7 +53,7 @@ def test_alert_is_given_once_across_batches(spark, rows):
     second = [(1, T(2026, 1, 1, 12), 9), (2, T(2026, 1, 1, 12), 9), (3, T(2026, 1, 1, 13), 7)]
     for part in (first, second):
         spark.createDataFrame(part, "notice_id INT, ts TIMESTAMP_NTZ, score INT").coalesce(1).write.mode("append").parquet(f"{src}/n")
-    out = jobs.alerts(jobs.file_stream(spark, f"{src}/n", "*.parquet", files_per_batch=1), folder())
+    out = jobs.alerts(jobs.file_stream(spark, f"{src}/n", 1), folder())
     assert rows(out, "notice_id", "score") == [(1, 9), (3, 7)]
 
 
@@ -63,7 +63,7 @@ def test_upsert_sees_earlier_batches(spark, rows):
     batches = [[("b", "B2"), ("c", "C")], [("c", "C2"), ("b", "B2"), ("d", "D")]]
     for part in batches:
         spark.createDataFrame(part, "link STRING, title STRING").coalesce(1).write.mode("append").parquet(f"{src}/n")
-    out = jobs.upsert_notices(jobs.file_stream(spark, f"{src}/n", "*.parquet", files_per_batch=1), base, folder())
+    out = jobs.upsert_notices(jobs.file_stream(spark, f"{src}/n", 1), base, folder())
     current = base
     for part in batches:
         current = notice_upsert(current, spark.createDataFrame(part, "link STRING, title STRING")).drop("status")
@@ -78,7 +78,7 @@ def test_restart_goes_on_where_it_stopped(spark, rows):
         spark.createDataFrame(part, "link STRING, title STRING").coalesce(1).write.mode("append").parquet(f"{src}/n")
 
     def run():
-        return jobs.upsert_notices(jobs.file_stream(spark, f"{src}/n", "*.parquet"), base, work)
+        return jobs.upsert_notices(jobs.file_stream(spark, f"{src}/n"), base, work)
 
     land([("b", "B")])
     assert rows(run(), "link", "title") == [("a", "A"), ("b", "B")]
@@ -94,5 +94,5 @@ def test_refresh_touches_only_arriving_events(spark, rows):
     curves = study.date_curves(index, [-1, 0, 3])
     for part in ([(1, days[0])], [(2, days[4])]):
         spark.createDataFrame(part, "event_id BIGINT, date DATE").coalesce(1).write.mode("append").parquet(f"{src}/e")
-    out = jobs.refresh_trajectories(jobs.file_stream(spark, f"{src}/e", "*.parquet", files_per_batch=1), curves, folder())
+    out = jobs.refresh_trajectories(jobs.file_stream(spark, f"{src}/e", 1), curves, folder())
     assert rows(out, "event_id", "h") == [(1, 0), (1, 3), (2, -1), (2, 0), (2, 3)]

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -47,6 +48,61 @@ def test_priority_author_passes_and_outranks(spark, rows):
     assert out == [(1, 130, 132.0, True), (2, 100, 10099.0, True), (3, 130, 155.0, False)]
 
 
+def test_best_post_in_reach_matches_brute_force(spark):
+    rng = random.Random(11)
+    posts = [(rng.randint(-40, 200), link, float(rng.randint(0, 9))) for link in range(80)]
+    asked = sorted({rng.randint(-60, 220) for _ in range(120)})
+    for window in (0, 3, 17):
+        want = {}
+        for m in asked:
+            near = [(-score, link) for at, link, score in posts if abs(at - m) <= window]
+            if near:
+                score, link = min(near)
+                want[m] = (link, -score)
+        got = enrich.best_post_by_minute(
+            spark.createDataFrame(posts, "minute BIGINT, link BIGINT, score DOUBLE"),
+            spark.createDataFrame([(m,) for m in asked], "minute BIGINT"), window)
+        assert {r.minute: (r.link, r.score) for r in got.collect()} == want
+
+
+def test_window_edges_and_manual_link(spark, rows):
+    shows = spark.createDataFrame([(1, T(2026, 1, 2, 18)), (2, T(2026, 1, 9, 18)), (3, T(2026, 3, 1, 18))], "event_id INT, ts TIMESTAMP_NTZ")
+    posts = spark.createDataFrame(
+        [(T(2026, 1, 1, 18), 5, 130.0), (T(2026, 1, 3, 18), 6, 130.0), (T(2026, 1, 3, 18, 1), 7, 999.0), (T(2026, 1, 9, 18), 8, 100.0)],
+        "ts TIMESTAMP_NTZ, link BIGINT, score DOUBLE")
+    manual = spark.createDataFrame([(D(2026, 1, 9), 77)], "target_date DATE, manual_link BIGINT")
+    assert rows(enrich.best_post(shows, posts, manual), "event_id", "link", "score", "origin") == [
+        (1, 5, 130.0, "board"), (2, 77, 9999.0, "manual")]
+
+
+def brute_context(posts, day, look_back=60, top=3):
+    until = T(day.year, day.month, day.day)
+    near = [p for p in posts if until - dt.timedelta(days=look_back) <= p[0] <= until]
+    near.sort(key=lambda p: (-(p[0] - T(1970, 1, 1)).total_seconds(), p[1]))
+    return "\n".join(f"- [{p[0]:%Y-%m-%d}] {p[2]} (Score: {p[3]})" for p in near[:top])
+
+
+def test_recent_context_matches_brute_force(spark):
+    rng = random.Random(4)
+    posts = []
+    for link in range(60):
+        at = T(2026, 1, 1) + dt.timedelta(days=rng.randint(0, 150))
+        at += dt.timedelta(hours=rng.choice([0, 0, 9, 20]))
+        posts.append((at, link, f"t{link}", float(rng.randint(100, 120))))
+    days = [D(2026, 1, 1) + dt.timedelta(days=k) for k in range(0, 240, 3)]
+    out = enrich.recent_context(
+        spark.createDataFrame([(d,) for d in days], "date DATE"),
+        spark.createDataFrame(posts, "ts TIMESTAMP_NTZ, link BIGINT, title STRING, score DOUBLE"))
+    want = {d: text for d in days if (text := brute_context(posts, d))}
+    assert {r.date: r.context for r in out.collect()} == want
+
+
+def test_nearest_summary_prefers_the_exact_day(spark):
+    s = spark.createDataFrame([(1, D(2026, 1, 2)), (2, D(2026, 1, 3)), (3, D(2026, 1, 3)), (4, D(2026, 1, 9))], "summary_id INT, date DATE")
+    got = {r.date.day: (r.summary_id, r.diff_days) for r in enrich.nearest_by_date(s).collect()}
+    assert got == {1: (1, 1), 2: (1, 0), 3: (2, 0), 4: (2, -1), 8: (4, 1), 9: (4, 0), 10: (4, -1)}
+
+
 def test_event_flags_ignore_case_and_nulls(spark, rows):
     df = spark.createDataFrame([(1, "gold nerf, NEW RAID", "negative"), (2, None, "odd"), (3, "gem PACKAGE tier 4", "positive")], "id INT, k STRING, s STRING")
     out = rows(enrich.event_flags(df, "k", "s"), "id", *fixed.EVENT_FLAGS, "sentiment_score")
