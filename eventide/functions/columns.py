@@ -12,14 +12,20 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def contains_any(text: Column, words: list[str], ignore_case: bool = False) -> Column:
-    """True when any word occurs in the text; null text counts as no match."""
-    text = F.lower(text) if ignore_case else text
-    words = [w.lower() for w in words] if ignore_case else words
+def contains_any(text: Column, words: list[str]) -> Column:
+    """True when any word occurs in the text; null text counts as no match.
+
+    Plain substring tests, no regular expression. To ignore case, pass text
+    and words in lower case, with the text lowered once in its own column.
+    """
     hits = [text.contains(w) for w in words]
     return F.coalesce(reduce(lambda a, b: a | b, hits, F.lit(False)), F.lit(False))
 
 
+def lower_all(words: list[str]) -> list[str]:
+    return [w.lower() for w in words]
+
+
 def number_or(c: Column | str, default: float = 0.0) -> Column:
     """Text to double; what does not parse becomes the default."""
     return F.coalesce(as_col(c).try_cast("double"), F.lit(float(default)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventide import fixed_values as fixed
-from eventide.functions.columns import contains_any, relabel
+from eventide.functions.columns import contains_any, lower_all, relabel
 from eventide.schemas import REACTION
 
 
@@ -18,14 +18,14 @@ def event_flags(
     flags: dict[str, list[str]] = fixed.EVENT_FLAGS,
 ) -> DataFrame:
     """0/1 keyword flags and the sentiment as 1, 0 or -1; unknown sentiment is 0."""
-    text = F.col(text_col)
-    out = {name: contains_any(text, words, ignore_case=True).cast("int") for name, words in flags.items()}
+    text = F.col("lower_text")
+    out = {name: contains_any(text, lower_all(words)).cast("int") for name, words in flags.items()}
     if sentiment_col is not None:
         code = F.lit(0)
         for label, value in fixed.SENTIMENT.items():
             code = F.when(F.col(sentiment_col) == label, value).otherwise(code)
         out["sentiment_score"] = code
-    return events.withColumns(out)
+    return events.withColumn("lower_text", F.lower(text_col)).withColumns(out).drop("lower_text")
 
 
 def content_filter(
@@ -58,11 +58,14 @@ def title_score(
     type_words: list[str] = fixed.POST_TYPE_WORDS,
     bonus: dict[str, int] = fixed.POST_BONUS,
 ) -> Column:
-    """100 when both a stream word and a type word occur, plus bonuses; else 0."""
-    passed = contains_any(text, stream_words, True) & contains_any(text, type_words, True)
+    """100 when both a stream word and a type word occur, plus bonuses; else 0.
+
+    ``text`` is in lower case.
+    """
+    passed = contains_any(text, lower_all(stream_words)) & contains_any(text, lower_all(type_words))
     points = F.lit(100)
     for word, extra in bonus.items():
-        points = points + F.when(contains_any(text, [word], True), extra).otherwise(0)
+        points = points + F.when(contains_any(text, [word.lower()]), extra).otherwise(0)
     return F.when(passed, points).otherwise(0)
 
 
@@ -80,11 +83,13 @@ def post_score(
     """
     is_priority = F.col("author") == priority_author
     length = F.length(content_col)
-    base = title_score(F.col(text_col), **words)
+    base = title_score(F.col("lower_text"), **words)
     base = F.when(is_priority, F.greatest(base, F.lit(100))).otherwise(base)
     score = F.col("reco") * 0.5 + F.col("title_score") + F.when(is_priority, fixed.PRIORITY_BONUS).otherwise(0)
     return (
-        posts.withColumn("title_score", base)
+        posts.withColumn("lower_text", F.lower(text_col))
+        .withColumn("title_score", base)
+        .drop("lower_text")
         .withColumn("score", score)
         .withColumn("legacy_score", F.col("reco") * 0.5 + length * 0.2)
         .withColumn("is_candidate", (F.col("title_score") >= 100) & (is_priority | (length >= min_length)))

@@ -68,38 +68,41 @@ def top_movers(rows: DataFrame, k: int = 5) -> DataFrame:
     return top("predicted", "predicted_excess").unionByName(top("actual", "excess_return"))
 
 
-def scenario_scores(
-    scenarios: DataFrame, items: DataFrame, lines: DataFrame, scenario_id: str, x: str = "honing_mat_demand",
-    by: str = "category", top: int = 10,
-) -> DataFrame:
-    """Items ranked for each scenario by predicted excess return.
+def class_grid(scenarios: DataFrame, classes: list[str], by: str = "category") -> DataFrame:
+    """Each scenario once per item class, with the class indicators.
 
-    A forecast depends on the scenario and on the item's class only, so
-    scenarios meet the few fitted classes, the classes are ranked through
-    their items, and each scenario keeps its best ``top`` items.
+    Forecasts depend on the scenario and on the item's class only, so there is
+    no grid of scenarios and items.
     """
-    first_items = Window.partitionBy(by).orderBy("item")
-    shortlist = (
-        items.withColumn("place", F.row_number().over(first_items))
-        .where(F.col("place") <= top)
-        .groupBy(by)
-        .agg(F.sort_array(F.collect_list("item")).alias("names"))
-    )
-    classes = lines.join(shortlist, by).groupBy().agg(
-        F.collect_list(F.struct(by, "slope", "level", "names")).alias("classes")
-    )
-    scored = scenarios.withColumn("c", F.explode(classes.scalar())).select(
-        scenario_id, F.explode("c.names").alias("item"), F.col(f"c.{by}").alias(by),
-        (F.col("c.level") + F.col("c.slope") * F.col(x)).alias("predicted_excess_return"),
-    )
+    grid = scenarios.withColumn(by, F.explode(F.lit(classes)))
+    return grid.withColumns({f"is_{c}": (F.col(by) == c).cast("int") for c in classes})
+
+
+def rank_items(scored: DataFrame, items: DataFrame, scenario_id: str, by: str = "category", top: int = 10) -> DataFrame:
+    """The best ``top`` items of each scenario by predicted excess return.
+
+    ``scored`` has one forecast per scenario and class. Items of a class tie,
+    so its first ``top`` names stand for it, and each scenario ranks at most
+    classes x top rows.
+    """
+    in_class = Window.partitionBy(by).orderBy("item")
+    shortlist = items.withColumn("place", F.row_number().over(in_class)).where(F.col("place") <= top).drop("place")
+    names = shortlist.groupBy(by).agg(F.sort_array(F.collect_list("item")).alias("names"))
     best = Window.partitionBy(scenario_id).orderBy(F.desc("predicted_excess_return"), "item")
     return (
-        scored.withColumn("place", F.row_number().over(best))
+        scored.join(names, by)
+        .select(scenario_id, F.explode("names").alias("item"), by, "predicted_excess_return")
+        .withColumn("place", F.row_number().over(best))
         .where(F.col("place") <= top)
         .withColumn("score", F.col("predicted_excess_return") * 100.0)
     )
 
 
+def line_scores(grid: DataFrame, lines: DataFrame, x: str = "honing_mat_demand", by: str = "category") -> DataFrame:
+    """Forecast of each scenario and class from the class's fitted line."""
+    return grid.join(lines, by).withColumn("predicted_excess_return", F.col("level") + F.col("slope") * F.col(x))
+
+
 def boosted_model(
     rows: DataFrame, features: list[str], label: str, weight: str | None = None, trees: int = 100, depth: int = 5,
     rate: float = 0.05, seed: int = 7,

@@ -436,17 +436,31 @@ def top_movers(spark, sf_dir):
     return rounded(models.top_movers(rows), 6, "predicted_excess", "excess_return", "error")
 
 
+CLASS_LABELS = [label for label, _ in dt.CLASSES] + ["other"]
+
+
 @query
 def scenario_scores(spark, sf_dir):
-    """Every event day as a scenario; the ten best items for each."""
+    """Every event day as a scenario; the ten best items for each, by fitted lines."""
     frame = _scored_frame(spark, sf_dir)
     lines = models.fit_lines(models.recency_weights(frame), ["category"], "honing_mat_demand", "excess_return")
-    items = frame.select("item", "category").distinct()
     scenarios = calendar.daily_events(dt.calendar(spark, sf_dir)).select("date", "honing_mat_demand")
-    out = models.scenario_scores(scenarios, items, lines, "date")
+    scored = models.line_scores(models.class_grid(scenarios, CLASS_LABELS), lines)
+    out = models.rank_items(scored, frame.select("item", "category").distinct(), "date")
     return rounded(out, 6, "predicted_excess_return", "score")
 
 
+@query
+def scenario_model_scores(spark, sf_dir):
+    """The same ranking by boosted trees over all features of the frame."""
+    frame = _scored_frame(spark, sf_dir)
+    model = models.boosted_model(frame, FRAME_FEATURES, "excess_return", trees=5)
+    days = calendar.daily_events(dt.calendar(spark, sf_dir))
+    grid = models.class_grid(days.withColumn("is_weekend", (F.weekday("date") >= 5).cast("int")), CLASS_LABELS)
+    scored = models.boosted_scores(model, grid, ["date", "category"]).withColumnRenamed("pred", "predicted_excess_return")
+    return models.rank_items(scored, frame.select("item", "category").distinct(), "date")
+
+
 @query
 def feature_vectors(spark, sf_dir):
     """Feature vector of each event in fixed order, opened to position and value."""

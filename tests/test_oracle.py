@@ -6,7 +6,7 @@ from compare import connect, differences
 from eventide.plans.catalogue import QUERIES
 from eventide.plans.oracle import ORACLE_SQL
 
-ROWS_ONLY = {"gbt_scores", "gbt_importance", "stream_alerts"}
+ROWS_ONLY = {"gbt_scores", "gbt_importance", "scenario_model_scores", "stream_alerts"}
 
 
 @pytest.fixture(scope="module")
@@ -34,3 +34,9 @@ def test_importance_covers_all_features(spark, sf_dir):
     table = QUERIES["gbt_importance"](spark, sf_dir).collect()
     assert len(table) == 12
     assert abs(sum(r.importance for r in table) - 1.0) < 1e-6
+
+
+def test_model_ranking_gives_ten_items_per_day(spark, sf_dir):
+    out = QUERIES["scenario_model_scores"](spark, sf_dir)
+    per_day = [r["count"] for r in out.groupBy("date").count().collect()]
+    assert per_day and set(per_day) == {10}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from eventide.plans.catalogue import QUERIES
 
-NO_SESSION_PLAN = {"gbt_scores", "gbt_importance"} | {n for n in QUERIES if n.startswith("stream_")}
+NO_SESSION_PLAN = {"gbt_scores", "gbt_importance", "scenario_model_scores"} | {n for n in QUERIES if n.startswith("stream_")}
 
 
 def plan(df) -> str:

@@ -37,7 +37,7 @@ def test_broadcast_time_notations(spark):
 def test_title_score(spark):
     titles = ["로아온 요약 on air", "방송 정리", "로아온 라이브", "요약 모음", "PREVIEW 내용", None]
     df = spark.createDataFrame([(t,) for t in titles], "title STRING")
-    assert [r[0] for r in df.select(enrich.title_score(F.col("title"))).collect()] == [200, 100, 0, 0, 100, 0]
+    assert [r[0] for r in df.select(enrich.title_score(F.lower("title"))).collect()] == [200, 100, 0, 0, 100, 0]
 
 
 def test_priority_author_passes_and_outranks(spark, rows):
