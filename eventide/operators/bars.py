@@ -82,9 +82,8 @@ def dedup_volume(volume: DataFrame, order_col: str) -> DataFrame:
 
     The history is appended whole at every fetch, so copies are expected.
     """
-    return volume.groupBy("item", "day").agg(
-        F.max_by("avg_price", order_col).alias("avg_price"), F.max_by("trade_count", order_col).alias("trade_count")
-    )
+    latest = F.max(F.struct(order_col, "avg_price", "trade_count"))
+    return volume.groupBy("item", "day").agg(latest.alias("v")).select("item", "day", "v.avg_price", "v.trade_count")
 
 
 def volume_enrich(bars: DataFrame, volume: DataFrame) -> DataFrame:

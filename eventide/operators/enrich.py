@@ -267,7 +267,7 @@ def target_item_filter(
 def json_block(raw: Column) -> Column:
     """First object or list in a model response, without code fences."""
     plain = F.replace(F.replace(raw, F.lit("```json"), F.lit("")), F.lit("```"), F.lit(""))
-    return F.when(plain.rlike(fixed.JSON_BLOCK), F.regexp_extract(plain, fixed.JSON_BLOCK, 1))
+    return F.regexp_substr(plain, F.lit(fixed.JSON_BLOCK))
 
 
 def json_landing(responses: DataFrame, scores: list[str] = fixed.EVENT_SCORES, raw_col: str = "raw") -> DataFrame:

@@ -62,16 +62,19 @@ def listing_links(pages: DataFrame, row_pattern: str, key: str = "page_id", html
 
 def page_text(
     pages: DataFrame,
-    title_pattern: str = r"(?s)<title>(.*?)</title>",
-    body_pattern: str = r"(?s)<article>(.*?)</article>",
+    title_pattern: str = r"(?s)<title>.*?</title>",
+    body_pattern: str = r"(?s)<article>.*?</article>",
     key: str = "page_id",
     html_col: str = "html",
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """Title and main content as text, with placeholders for what is missing."""
+    """Title and main content as text, with placeholders for what is missing.
+
+    The patterns match whole elements; their own tags go with all others.
+    """
     text = F.col(html_col)
-    title = F.when(text.rlike(title_pattern), strip_tags(F.regexp_extract(text, title_pattern, 1)))
-    body = F.when(text.rlike(body_pattern), text_lines(F.regexp_extract(text, body_pattern, 1)))
+    title = strip_tags(F.regexp_substr(text, F.lit(title_pattern)))
+    body = text_lines(F.regexp_substr(text, F.lit(body_pattern)))
     return pages.select(
         key,
         *(keep or []),
@@ -88,37 +91,41 @@ def _build_ts(year: Column, month: Column, day: Column, hour: Column, minute: Co
     return F.try_make_timestamp_ntz(year, month, day, hour, minute, F.lit(0))
 
 
-def broadcast_time(text: Column, anchor: Column) -> Column:
-    """Start time announced in a text; three notations in order of priority.
+def broadcast_times(df: DataFrame, text_col: str, anchor_col: str) -> DataFrame:
+    """Start time announced in a text, as ``starts_at``; three notations in order of priority.
 
-    A notation that matches decides alone, as impossible parts then give null.
-    The year of the anchor date fills in for a missing one.
+    A notation that matches decides alone, so impossible parts give null. The
+    year of the anchor date fills in for a missing one. Each notation is
+    searched once; its parts are then read from the short match.
     """
-    text = F.replace(text, F.lit("\n"), F.lit(" "))
+    text = F.replace(F.col(text_col), F.lit("\n"), F.lit(" "))
+    patterns = [fixed.BROADCAST_TIME_DOTTED, fixed.BROADCAST_TIME_KOREAN, fixed.BROADCAST_TIME_SLASHED]
+    found = df.withColumns({f"hit_{k}": F.regexp_substr(text, F.lit(p)) for k, p in enumerate(patterns)})
+    anchor = F.col(anchor_col)
 
-    dotted = fixed.BROADCAST_TIME_DOTTED
-    from_dotted = _build_ts(*[_part(text, dotted, g) for g in range(1, 6)])
+    def part(k: int, group: int) -> Column:
+        return _part(F.col(f"hit_{k}"), patterns[k], group)
 
-    korean = fixed.BROADCAST_TIME_KOREAN
-    month, day, hour = _part(text, korean, 2), _part(text, korean, 3), _part(text, korean, 5)
-    half = F.regexp_extract(text, korean, 4)
+    from_dotted = _build_ts(*[part(0, g) for g in range(1, 6)])
+
+    month, day, hour = part(1, 2), part(1, 3), part(1, 5)
+    half = F.regexp_extract("hit_1", patterns[1], 4)
     hour24 = (
         F.when((half == fixed.AFTERNOON) & (hour < 12), hour + 12)
         .when((half == fixed.MORNING) & (hour == 12), F.lit(0))
         .otherwise(hour)
     )
-    year = F.coalesce(_part(text, korean, 1), year_near(anchor, month))
-    from_korean = _build_ts(year, month, day, hour24, F.lit(0))
+    from_korean = _build_ts(F.coalesce(part(1, 1), year_near(anchor, month)), month, day, hour24, F.lit(0))
 
-    slashed = fixed.BROADCAST_TIME_SLASHED
-    month, day, hour, minute = [_part(text, slashed, g) for g in range(1, 5)]
+    month, day, hour, minute = [part(2, g) for g in range(1, 5)]
     from_slashed = _build_ts(year_near(anchor, month), month, day, hour, minute)
 
-    return (
-        F.when(text.rlike(dotted), from_dotted)
-        .when(text.rlike(korean), from_korean)
-        .when(text.rlike(slashed), from_slashed)
+    starts_at = (
+        F.when(F.col("hit_0").isNotNull(), from_dotted)
+        .when(F.col("hit_1").isNotNull(), from_korean)
+        .when(F.col("hit_2").isNotNull(), from_slashed)
     )
+    return found.withColumn("starts_at", starts_at).drop("hit_0", "hit_1", "hit_2")
 
 
 def post_date(shown: Column, year: Column, crawled_at: Column) -> Column:

@@ -9,8 +9,12 @@ from eventide.fixed_values import ITEM_GRADES
 
 
 def incremental_append(incoming: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
-    """Incoming rows whose key the target does not hold yet."""
-    return incoming.join(target.select(*key), key, "left_anti")
+    """Incoming rows whose key the target does not hold yet.
+
+    Target keys are made distinct first, so a key the target repeats many
+    times is sent once per task.
+    """
+    return incoming.join(target.select(*key).distinct(), key, "left_anti")
 
 
 def unprocessed(
@@ -42,15 +46,18 @@ def discover_items(
     return latest_per_key(records.where(F.col("grade").isin(grades)), ["item_id"], order)
 
 
-def notice_upsert(current: DataFrame, batch: DataFrame) -> DataFrame:
+def notice_upsert(current: DataFrame, batch: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """Stored notices merged with a batch, by link, with the kind of change.
 
-    Both sides hold one row per link. A changed title replaces the stored row;
-    an unchanged one keeps it; stored links absent from the batch stay.
+    The stored side holds one row per link. A batch may repeat a link: the
+    last row in ``order`` counts, or the greatest row when no order is given.
+    A changed title replaces the stored row; an unchanged one keeps it; stored
+    links absent from the batch stay.
     """
     rest = [c for c in current.columns if c != "link"]
+    last = F.max_by(F.struct(*rest), F.struct(*(order or rest)))
     old = current.select("link", F.struct(*rest).alias("old"))
-    new = batch.select("link", F.struct(*rest).alias("new"))
+    new = batch.groupBy("link").agg(last.alias("new"))
     status = (
         F.when(F.col("new").isNull(), "kept")
         .when(F.col("old").isNull(), "new")

@@ -617,7 +617,7 @@ def broadcast_time(spark, sf_dir):
         .otherwise("no time given")
     )
     orders = dt.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), text.alias("text"), anchor.alias("anchor"))
-    return orders.select("event_id", "anchor", extract.broadcast_time(F.col("text"), F.col("anchor")).alias("starts_at"))
+    return extract.broadcast_times(orders, "text", "anchor").drop("text")
 
 
 def _listing(spark, sf_dir) -> DataFrame:

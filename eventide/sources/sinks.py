@@ -22,8 +22,13 @@ def append_new(df: DataFrame, path: str) -> None:
 
 
 def write_ticks_by_month(ticks: DataFrame, path: str) -> None:
-    """Parquet ticks partitioned by month, so that date filters prune folders."""
-    ticks.withColumn("month", F.date_format("day", "yyyy-MM")).write.mode("overwrite").partitionBy("month").parquet(path)
+    """Parquet ticks partitioned by month, so that date filters prune folders.
+
+    Rebalancing gathers a month in few files and splits a month that is too
+    large for one task.
+    """
+    monthly = ticks.withColumn("month", F.date_format("day", "yyyy-MM")).hint("rebalance", "month")
+    monthly.write.mode("overwrite").partitionBy("month").parquet(path)
 
 
 def write_trajectories(forecasts: DataFrame, path: str) -> None:

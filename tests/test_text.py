@@ -13,7 +13,7 @@ D = dt.date
 
 def times(spark, cases):
     df = spark.createDataFrame([(t, D.fromisoformat(a)) for t, a in cases], "text STRING, anchor DATE")
-    return [r[0] for r in df.select(extract.broadcast_time(F.col("text"), F.col("anchor"))).collect()]
+    return [r.starts_at for r in extract.broadcast_times(df, "text", "anchor").collect()]
 
 
 def test_broadcast_time_notations(spark):
@@ -207,6 +207,12 @@ def test_notice_upsert_is_idempotent(spark, rows):
     assert twice.where("status in ('new', 'title_changed')").count() == 0
 
 
+def test_repeated_link_in_a_batch_counts_once(spark, rows):
+    old = spark.createDataFrame([("a", "A")], "link STRING, title STRING")
+    batch = spark.createDataFrame([("a", "Z", 1), ("a", "B", 2)], "link STRING, title STRING, seen INT")
+    assert rows(ingest.notice_upsert(old, batch, [F.col("seen")])) == [("a", "B", "title_changed")]
+
+
 def test_stored_copy_wins(spark, rows):
     a = spark.createDataFrame([(1, "old")], "link INT, title STRING")
     b = spark.createDataFrame([(1, "new"), (2, "new")], "link INT, title STRING")
