@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,7 +94,9 @@ def item_betas(returns: DataFrame, win_pct: float = WIN_RETURN_PCT) -> DataFrame
 
 
 def tier_mapping_table(spark: SparkSession, mapping: dict[str, str | None] = TIER_MAPPING) -> DataFrame:
-    return spark.createDataFrame(list(mapping.items()), "item STRING, mapped STRING")
+    """The hand-kept mapping as a two-column table of literals."""
+    pairs = chain.from_iterable((F.lit(old), F.lit(new).cast("string")) for old, new in mapping.items())
+    return spark.range(1).select(F.explode(F.create_map(*pairs)).alias("item", "mapped"))
 
 
 def tier_picks(betas: DataFrame, mapping: DataFrame, top: int = 7) -> DataFrame:

@@ -538,12 +538,11 @@ def post_score(spark, sf_dir):
 
 @query
 def best_post(spark, sf_dir):
-    """Best post for each broadcast; sign-up events stand for broadcasts."""
-    shows = dt.table(spark, sf_dir, "events").where(F.col("event_type") == "signup").select("event_id", "ts")
+    """Best post for each broadcast; every intraday event stands for one."""
+    shows = dt.table(spark, sf_dir, "events").select("event_id", "ts")
     candidates = _scored_posts(spark, sf_dir).where("is_candidate")
-    manual = spark.createDataFrame(dt.MANUAL_LINKS, "day STRING, manual_link BIGINT").select(
-        F.to_date("day").alias("target_date"), "manual_link"
-    )
+    links = F.array(*[F.struct(F.to_date(F.lit(d)).alias("target_date"), F.lit(n).cast("bigint").alias("manual_link")) for d, n in dt.MANUAL_LINKS])
+    manual = spark.range(1).select(F.inline(links))
     return enrich.best_post(shows, candidates, manual).select("event_id", "link", "score", "origin")
 
 

@@ -415,11 +415,11 @@ ORACLE_SQL: dict[str, str] = {
         is_candidate FROM scored_posts""", "scored_posts"),
     "best_post": _sql(
         """SELECT event_id, link, score, origin FROM (
-        SELECT event_id, -1 AS link, CAST(9999 AS DOUBLE) AS score, 'manual' AS origin FROM events WHERE event_type = 'signup' AND CAST(ts AS DATE) = DATE '2024-01-01'
+        SELECT event_id, -1 AS link, CAST(9999 AS DOUBLE) AS score, 'manual' AS origin FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-01'
         UNION ALL SELECT event_id, link, score, 'board' FROM (SELECT e.event_id, p.link, CAST(p.score AS DOUBLE) AS score,
         row_number() OVER (PARTITION BY e.event_id ORDER BY p.score DESC, p.link) AS rn FROM events e JOIN scored_posts p
         ON p.is_candidate AND p.ts >= date_trunc('minute', e.ts) - INTERVAL 24 HOUR AND p.ts <= date_trunc('minute', e.ts) + INTERVAL 24 HOUR
-        WHERE e.event_type = 'signup' AND CAST(e.ts AS DATE) <> DATE '2024-01-01') WHERE rn = 1)""", "scored_posts"),
+        WHERE CAST(e.ts AS DATE) <> DATE '2024-01-01') WHERE rn = 1)""", "scored_posts"),
     "post_dedup": _sql(
         """SELECT link, author, CASE WHEN link IN (SELECT doc_id FROM labels) THEN reco ELSE reco + 1 END AS reco FROM posts""", "posts"),
     "recent_context": _sql(
