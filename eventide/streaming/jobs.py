@@ -6,7 +6,7 @@ query goes on where it stopped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.fixed_values import ALERT_SCORE
@@ -27,8 +27,19 @@ def _start(stream: DataFrame, folder: str, mode: str):
     )
 
 
-def _plain_time(c):
-    return F.col(c).cast("timestamp_ntz")
+def _wall_clock(c) -> Column:
+    """The session's wall clock as an instant in UTC.
+
+    Windows align to UTC; on this scale their hours and days are the ones that
+    people in the session's zone read. Watermarks accept it, unlike times
+    without a zone.
+    """
+    return F.from_utc_timestamp(F.col(c).cast("timestamp"), F.current_timezone())
+
+
+def _plain_time(c) -> Column:
+    """Back from the wall-clock scale to a time without a zone."""
+    return F.to_utc_timestamp(c, F.current_timezone()).cast("timestamp_ntz")
 
 
 def hourly_bars(ticks: DataFrame, folder: str, lateness: str = "1 hour") -> DataFrame:
@@ -37,7 +48,7 @@ def hourly_bars(ticks: DataFrame, folder: str, lateness: str = "1 hour") -> Data
     ``ticks`` is a stream with ``ts``; state is one row per item and open hour.
     """
     bars = (
-        ticks.withColumn("ts", F.col("ts").cast("timestamp"))
+        ticks.withColumn("ts", _wall_clock("ts"))
         .withWatermark("ts", lateness)
         .groupBy(F.window("ts", "1 hour"), "item")
         .agg(
@@ -59,14 +70,14 @@ def daily_state(ticks: DataFrame, folder: str, lateness: str = "1 hour") -> Data
     """
     spark = ticks.sparkSession
     state = (
-        ticks.withColumn("ts", F.col("ts").cast("timestamp"))
+        ticks.withColumn("ts", _wall_clock("ts"))
         .withWatermark("ts", lateness)
         .groupBy(F.window("ts", "1 day"), "item")
         .agg(
             F.count(F.lit(1)).alias("tick_count"), F.sum("price").alias("price_sum"),
             F.min("price").alias("price_min"), F.max("price").alias("price_max"),
         )
-        .select(F.to_date("window.start").alias("day"), "item", "tick_count", "price_sum", "price_min", "price_max")
+        .select(F.to_date(_plain_time("window.start")).alias("day"), "item", "tick_count", "price_sum", "price_min", "price_max")
     )
 
     def save(batch: DataFrame, number: int) -> None:
@@ -85,7 +96,7 @@ def alerts(notices: DataFrame, folder: str, threshold: int = ALERT_SCORE, latene
     ``notices`` is a stream with ``notice_id``, ``ts`` and ``score``.
     """
     fresh = (
-        notices.withColumn("ts", F.col("ts").cast("timestamp"))
+        notices.withColumn("ts", _wall_clock("ts"))
         .withWatermark("ts", lateness)
         .dropDuplicatesWithinWatermark(["notice_id"])
         .where(F.col("score") >= threshold)

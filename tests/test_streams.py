@@ -96,3 +96,17 @@ def test_refresh_touches_only_arriving_events(spark, rows):
         spark.createDataFrame(part, "event_id BIGINT, date DATE").coalesce(1).write.mode("append").parquet(f"{src}/e")
     out = jobs.refresh_trajectories(jobs.file_stream(spark, f"{src}/e", 1), curves, folder())
     assert rows(out, "event_id", "h") == [(1, 0), (1, 3), (2, -1), (2, 0), (2, 3)]
+
+
+def test_days_follow_the_session_zone(spark, rows):
+    """Half-hour zones too: a day is a wall-clock day."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        src = folder()
+        ticks = [("x", T(2026, 1, 1, 0, 10), 1.0), ("x", T(2026, 1, 1, 23, 50), 2.0), ("x", T(2026, 1, 2, 0, 5), 4.0)]
+        spark.createDataFrame(ticks, "item STRING, ts TIMESTAMP_NTZ, price DOUBLE").write.parquet(f"{src}/t")
+        out = jobs.daily_state(jobs.file_stream(spark, f"{src}/t"), folder())
+        assert rows(out, "day", "tick_count", "price_sum") == [(dt.date(2026, 1, 1), 2, 3.0), (dt.date(2026, 1, 2), 1, 4.0)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
