@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventide import fixed_values as fixed
-from eventide.functions.columns import contains_any, lower_all, relabel
+from eventide.functions.columns import contains_any, lower_all
 from eventide.schemas import REACTION
 
 
@@ -365,7 +365,3 @@ def news_alerts(notices: DataFrame, threshold: int = fixed.ALERT_SCORE) -> DataF
         .agg(F.min("ts").alias("ts"), F.min_by("score", first).alias("score"))
         .where(F.col("score") >= threshold)
     )
-
-
-def shown_type(event_type: Column) -> Column:
-    return relabel(event_type, fixed.TYPE_LABELS)

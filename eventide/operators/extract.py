@@ -17,16 +17,14 @@ def _group_or(text: Column, pattern: str, group: int, placeholder: str | None) -
 def notice_rows(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Notice listing rows from raw pages: id, title, category, date, pinned.
 
-    Missing parts get placeholders; a dotted date becomes ISO, any other text
-    stays as it is.
+    Each page is searched once; the parts come from its rows. Missing parts
+    get placeholders; a dotted date becomes ISO, any other text stays as it is.
     """
-    text = F.col(html_col)
-    rows = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(fixed.NOTICE_ROW), F.lit(1)).alias("cls"),
-        F.regexp_extract_all(text, F.lit(fixed.NOTICE_ROW), F.lit(2)).alias("body"),
+    rows = F.regexp_extract_all(F.col(html_col), F.lit(fixed.NOTICE_ROW), F.lit(0))
+    listed = pages.select(*(keep or []), F.posexplode(rows).alias("pos", "row")).withColumn(
+        "body", F.regexp_extract("row", fixed.NOTICE_ROW, 2)
     )
-    listed = pages.select(*(keep or []), F.posexplode(rows).alias("pos", "row"))
-    body = F.col("row.body")
+    body = F.col("body")
     shown_date = _group_or(body, fixed.NOTICE_DATE, 1, "Unknown Date")
     iso = F.date_format(F.try_to_timestamp(shown_date, F.lit("yyyy.MM.dd")), "yyyy-MM-dd")
     return listed.where(body.rlike(fixed.NOTICE_ID)).select(
@@ -36,7 +34,7 @@ def notice_rows(pages: DataFrame, html_col: str = "html", keep: list[str] | None
         _group_or(body, fixed.NOTICE_TITLE, 1, "Unknown Title").alias("title"),
         _group_or(body, fixed.NOTICE_CATEGORY, 1, "General").alias("category"),
         F.coalesce(iso, shown_date).alias("date"),
-        F.lower(F.col("row.cls")).contains("noti").alias("is_pinned"),
+        F.lower(F.regexp_extract("row", fixed.NOTICE_ROW, 1)).contains("noti").alias("is_pinned"),
     )
 
 
@@ -50,13 +48,12 @@ def listing_links(pages: DataFrame, row_pattern: str, key: str = "page_id", html
 
     The pattern has the address in group 1 and the label in group 2.
     """
-    text = F.col(html_col)
-    rows = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(row_pattern), F.lit(1)).alias("href"),
-        F.regexp_extract_all(text, F.lit(row_pattern), F.lit(2)).alias("label"),
-    )
+    rows = F.regexp_extract_all(F.col(html_col), F.lit(row_pattern), F.lit(0))
     return pages.select(key, F.posexplode(rows).alias("pos", "row")).select(
-        key, "pos", "row.href", strip_tags(F.col("row.label")).alias("label")
+        key,
+        "pos",
+        F.regexp_extract("row", row_pattern, 1).alias("href"),
+        strip_tags(F.regexp_extract("row", row_pattern, 2)).alias("label"),
     )
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.fixed_values import EVENT_SCORES, FRAME_FEATURES, HORIZONS, SECTOR_FEATURES, TYPE_LABELS
+from eventide.fixed_values import FRAME_FEATURES, SECTOR_FEATURES, TYPE_LABELS
 from eventide.functions.columns import number_or
 from eventide.operators import bars, beta, calendar, enrich, evaluate, extract, ingest, models, season, study
 from eventide.operators import walkforward as wf
