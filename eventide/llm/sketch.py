@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 MAX_BITS = 1 << 30
 ROWS = 2
-_FLUSH = 2_000_000
+_FLUSH = 4_000_000
 
 
 def row_bits(items: int) -> int:
@@ -45,7 +45,7 @@ def _encode(ids: np.ndarray, bits: int) -> Iterator[dict]:
         for k in np.flatnonzero(np.diff(cuts)):
             part = places[cuts[k] : cuts[k + 1]] & ((1 << block) - 1)
             many = np.bincount(part >> 8, minlength=1 << (block - 8)).astype(np.uint16)
-            yield {"slot": (row << (bits - block)) + int(k), "many": many.tobytes(), "low": (part & 255).astype(np.uint8).tobytes()}
+            yield {"slot": (row << (bits - block)) + int(k), "many": pa.compress(many.tobytes(), "zstd", asbytes=True), "low": (part & 255).astype(np.uint8).tobytes()}
 
 
 def _partition_sketches(ids_of: Callable, bits: int) -> Callable:
@@ -93,7 +93,7 @@ def _merge(bits: int) -> Callable:
                     if slot is not None:
                         yield done()
                     slot, count = k, np.zeros(1 << block, np.uint8)
-                many = np.frombuffer(many, np.uint16)
+                many = np.frombuffer(pa.decompress(many, 2 << (block - 8), "zstd"), np.uint16)
                 places = (np.repeat(np.arange(len(many)) << 8, many)) + np.frombuffer(low, np.uint8)
                 again = np.zeros(len(places), bool)
                 again[1:] = places[1:] == places[:-1]
@@ -117,7 +117,13 @@ def repeated_bits(rows: DataFrame, ids_of: Callable, items: int) -> tuple[Broadc
     for row in merged.toLocalIterator():
         at = (row.slot << block) >> 3
         whole[at : at + (1 << block >> 3)] = np.frombuffer(row.bits, np.uint8)
-    return rows.sparkSession.sparkContext.broadcast(whole), bits
+    return rows.sparkSession.sparkContext.broadcast((pa.compress(whole, "zstd", asbytes=True), len(whole))), bits
+
+
+def read(shared: Broadcast) -> np.ndarray:
+    """The sketch in a task: it travels and waits compressed, as few of its bits are set."""
+    packed, size = shared.value
+    return np.frombuffer(pa.decompress(packed, size, "zstd"), np.uint8)
 
 
 def may_repeat(sketch: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:

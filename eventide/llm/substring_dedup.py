@@ -31,11 +31,13 @@ def _candidates(width: int, bits: int, seen) -> Callable:
     once per block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = sketch.read(seen)
         for batch in batches:
             keys = batch.column("k")
             for lo, words, whole, (a, b) in _windows(batch, width, (0, 1)):
+                b = b.astype(np.uint32)
                 at = np.flatnonzero(whole)
-                at = at[sketch.may_repeat(seen.value, a[at], bits)]
+                at = at[sketch.may_repeat(bitmap, a[at], bits)]
                 if not len(at):
                     continue
                 at = at[np.lexsort((b[at], a[at]))]
@@ -44,8 +46,8 @@ def _candidates(width: int, bits: int, seen) -> Callable:
                 many = np.diff(np.append(first, len(at)))
                 at = at[first]
                 yield pa.RecordBatch.from_pydict({
-                    "a": pa.array(a[at].view(np.int64)), "b": pa.array(b[at].view(np.int64)),
-                    "n": pa.array(many, pa.int64()), "k": keys.take(pa.array(words.row[at] + lo)),
+                    "a": pa.array(a[at].view(np.int64)), "b": pa.array(b[at].view(np.int32)),
+                    "n": pa.array(many, pa.int32()), "k": keys.take(pa.array(words.row[at] + lo)),
                 })
 
     return run
@@ -53,11 +55,12 @@ def _candidates(width: int, bits: int, seen) -> Callable:
 
 def _cut(width: int, bits: int, seen) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = sketch.read(seen)
         for batch in batches:
             keys, lone = batch.column("k"), batch.column("lone")
             for lo, words, whole, (a,) in _windows(batch, width, (0,)):
                 at = np.flatnonzero(whole)
-                at = at[sketch.may_repeat(seen.value, a[at], bits)]
+                at = at[sketch.may_repeat(bitmap, a[at], bits)]
                 single = lone.slice(lo, len(words.offs) - 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 at = at[~np.isin(a[at], single)]
                 keep = ~blocks.coverage(at, width, len(words.row))
@@ -79,7 +82,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     One row per input row: ``key``, n_words, n_removed, kept_text (kept words, one space between).
 
     1. Every partition makes a count-min sketch of its windows; the merged sketch overestimates.
-    2. Windows estimated repeated are counted exactly, under 128 bits, pre-counted per block.
+    2. Windows estimated repeated are counted exactly, under 96 bits, pre-counted per block.
     3. Those counted once were false alarms. They are few, and go back to their rows by key.
 
     A null text has no words and gives an empty kept_text; null and repeated keys keep their rows
@@ -88,7 +91,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rows = docs.select(F.col(key).alias("k"), blocks.utf8(text, "\n").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
     seen, bits = sketch.repeated_bits(rows, _ids(width), blocks.total_bytes(docs, text) // 6)
-    found = rows.mapInArrow(_candidates(width, bits, seen), f"a long, b long, n long, k {kind}")
+    found = rows.mapInArrow(_candidates(width, bits, seen), f"a long, b int, n int, k {kind}")
     lone = (
         found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("k").alias("k")).where("n = 1")
         .groupBy("k").agg(F.collect_list("a").alias("lone")).withColumnRenamed("k", "j")

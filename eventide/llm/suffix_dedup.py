@@ -40,7 +40,8 @@ def _least(ids: np.ndarray, span: int) -> np.ndarray:
 
 def _stretches(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
     """Blocks with their stretches: runs of windows with one leading gram, the least of the
-    half-width grams in the window. Equal windows have equal leaders, wherever they stand."""
+    half-width grams in the window. Equal windows have equal leaders, wherever they stand. (Least
+    values crowd at the low end, so they are mixed again.)"""
     offs, data = blocks.buffers(batch.column("t"))
     gram = width // 2 + 1
     for lo, hi in blocks.row_blocks(offs):
@@ -53,7 +54,7 @@ def _stretches(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
         first = np.flatnonzero(new)
         lengths = np.diff(np.append(first, len(starts))) + width - 1
         row = np.searchsorted(at, starts[first], "right") - 1 + lo
-        yield part, starts[first], lengths, lead[first], row, starts[first] - (offs[row] - offs[lo])
+        yield part, starts[first], lengths, blocks.mix(lead[first]), row, starts[first] - (offs[row] - offs[lo])
 
 
 def _ids(width: int) -> Callable:
@@ -74,11 +75,12 @@ def _pack(width: int, bits: int, n_buckets: int, seen) -> Callable:
     """Stretches whose leader may be repeated, each distinct one of a block once with its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = sketch.read(seen)
         for batch in batches:
             keys = batch.column("k").fill_null(_LAST).to_numpy(zero_copy_only=False)
             hashes = batch.column("h").to_numpy(zero_copy_only=False)
             for data, at, lengths, lead, row, start in _stretches(batch, width):
-                hit = sketch.may_repeat(seen.value, lead, bits)
+                hit = sketch.may_repeat(bitmap, lead, bits)
                 at, lengths, lead, row, start = (x[hit] for x in (at, lengths, lead, row, start))
                 if not len(at):
                     continue
@@ -99,7 +101,8 @@ def _pack(width: int, bits: int, n_buckets: int, seen) -> Callable:
                     these, places = one[lo:hi], occ[a:b]
                     out.append({
                         "bucket": int(bucket[lo]), "lens": lengths[these].astype(np.uint32).tobytes(),
-                        "text": data[blocks.spans(at[these], lengths[these])].tobytes(), "lead": lead[these].tobytes(),
+                        "text": pa.compress(data[blocks.spans(at[these], lengths[these])].tobytes(), "zstd", asbytes=True),
+                        "lead": (lead[these] >> np.uint64(32)).astype(np.uint32).tobytes(),
                         "code": (code[a:b] - lo).astype(np.uint32).tobytes(), "key": keys[row[places]].tobytes(),
                         "hash": hashes[row[places]].tobytes(), "start": start[places].astype(np.uint32).tobytes(),
                     })
@@ -138,7 +141,7 @@ def refine(text: np.ndarray, width: int) -> np.ndarray:
 
 def _resolve(width: int) -> Callable:
     """Places of one bucket whose windows also start under a smaller key."""
-    kinds = {"lens": np.uint32, "lead": np.uint64, "code": np.uint32, "key": np.int64, "hash": np.int64, "start": np.uint32}
+    kinds = {"lens": np.uint32, "lead": np.uint32, "code": np.uint32, "key": np.int64, "hash": np.int32, "start": np.uint32}
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         parts = {c: [np.frombuffer(x, kind) for x in group[c]] for c, kind in kinds.items()}
@@ -146,7 +149,7 @@ def _resolve(width: int) -> Callable:
         code = np.concatenate([x.astype(np.int64) + b for x, b in zip(parts["code"], base, strict=False)])
         lens, lead, key, hash_, start = (np.concatenate(parts[c]) for c in ("lens", "lead", "key", "hash", "start"))
         lens, start = lens.astype(np.int64), start.astype(np.int64)
-        text = np.frombuffer(b"".join(group["text"]), np.uint8)
+        text = np.frombuffer(b"".join(pa.decompress(t, int(n.sum()), "zstd", asbytes=True) for t, n in zip(group["text"], parts["lens"], strict=True)), np.uint8)
         same, n = _same(blocks.binary_array(text, lens, pa.binary()))
         code = same[code]
         least = np.full(n, _LAST)
@@ -236,12 +239,12 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     with_carried = docs.select(
         F.col(key).cast("long").alias("k"), blocks.utf8(text).alias("t"),
         F.struct(*(F.col(c) for c in carry)).alias("c") if carry else F.struct(F.lit(0).alias("none")).alias("c"),
-    ).withColumn("h", F.xxhash64("t"))
+    ).withColumn("h", F.xxhash64("t").bitwiseAND(0x7FFFFFFF).cast("int"))
     rows = with_carried.drop("c")
     seen, bits = sketch.repeated_bits(rows, _ids(width), total // 12)
     n_buckets = max(64, total // _BYTES_PER_BUCKET)
     packed = rows.mapInArrow(_pack(width, bits, n_buckets, seen), _PACKED)
-    gone = packed.groupBy("bucket").applyInPandas(_resolve(width), "k long, h long, a int, b int")
+    gone = packed.groupBy("bucket").applyInPandas(_resolve(width), "k long, h int, a int, b int")
     gone = gone.groupBy(F.col("k").alias("k2"), F.col("h").alias("h2")).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     none = F.array().cast("array<int>")
     on = (F.coalesce("k", F.lit(int(_LAST))) == F.col("k2")) & (F.col("h") == F.col("h2"))
