@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 _K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _SPACE = np.zeros(256, bool)
