@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,14 +16,27 @@ from eventide.llm import blocks
 
 
 class _Units(dict):
-    """Numbers the text units seen; new ones wait in ``fresh`` to be encoded together."""
+    """Numbers the text units seen. A new one is built from parts already known where the tokenizer
+    surely cuts (before a full stop or comma after a letter, around a single line feed), else it waits
+    to be encoded."""
 
-    def __init__(self, lead: str, fresh: list):
-        self.lead, self.fresh = lead, fresh
+    def __init__(self, lead: str, owner: "Encoder"):
+        self.lead, self.owner = lead, owner
 
     def __missing__(self, unit: str) -> int:
-        self.fresh.append(self.lead + unit)
-        self[unit] = number = self.fresh_base + len(self.fresh) - 1
+        own = self.owner
+        at = unit.find("\n")
+        if len(unit) > 1 and unit[-1] in ".," and unit[-2].isalpha():
+            parts = self[unit[:-1]], own.first[unit[-1]]
+        elif 0 < at < len(unit) - 1 and not unit[at - 1].isspace() and not unit[at + 1].isspace():
+            parts = self[unit[:at]], own.first["\n"], own.first[unit[at + 1 :]]
+        else:
+            own.fresh.append((len(own.known), self.lead + unit))
+            parts = None
+        self[unit] = number = len(own.known)
+        own.known.append(None)
+        if parts:
+            own.joined.append((number, parts))
         return number
 
 
@@ -30,13 +44,13 @@ class Encoder:
     """Token ids of whole texts by the given tokenizer, one encoding per distinct unit.
 
     A unit begins at a space between two other characters, where a byte-level tokenizer always cuts,
-    so the ids of a text are those of its units in turn. At most ``units`` are remembered.
+    so the ids of a text are those of its units in turn. About ``units`` of them are remembered.
     """
 
     _uneven = re.compile(r"\s\s\s|\s\s\Z")
     _between = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, model: str, units: int = 400_000):
+    def __init__(self, model: str, units: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,14 +58,15 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.fresh: list[str] = []
-        self.first, self.other = _Units("", self.fresh), _Units(" ", self.fresh)
-        self.first.fresh_base = self.other.fresh_base = 0
+        self.fresh: list[tuple[int, str]] = []
+        self.joined: list[tuple[int, tuple]] = []
+        self.known: list[list[int] | None] = []
+        self.first, self.other = _Units("", self), _Units(" ", self)
         self.ids, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and how many each has."""
-        if len(self.lengths) > self.most:
+        if len(self.known) > self.most:
             self._reset()
         numbers, counts = [], []
         for text in texts:
@@ -59,18 +74,25 @@ class Encoder:
             numbers.append(self.first[units[0]])
             numbers.extend(map(self.other.__getitem__, units[1:]))
             counts.append(len(units))
-        if self.fresh:
-            found = [e.ids for e in self.model.encode_batch(self.fresh, add_special_tokens=False)]
-            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, found), np.int64, len(found))])
-            self.ids = np.concatenate([self.ids, *(np.array(x, np.uint32) for x in found)])
-            self.fresh.clear()
-            self.first.fresh_base = self.other.fresh_base = len(self.lengths)
+        if len(self.known) > len(self.lengths):
+            self._learn()
         at = np.array(numbers, np.int64)
         starts = np.cumsum(self.lengths) - self.lengths
         ids = self.ids[blocks.spans(starts[at], self.lengths[at])]
         ends = np.concatenate([[0], np.cumsum(self.lengths[at])])
         return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
 
+    def _learn(self) -> None:
+        known = self.known
+        for (number, _), found in zip(self.fresh, self.model.encode_batch_fast([t for _, t in self.fresh], add_special_tokens=False), strict=True):
+            known[number] = found.ids
+        for number, parts in self.joined:
+            known[number] = [i for p in parts for i in known[p]]
+        new = known[len(self.lengths) :]
+        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, new), np.int64, len(new))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), np.uint32)])
+        self.fresh, self.joined = [], []
+
 
 class _Packer:
     """Open windows of one partition. A piece is (key, start, ids, document tokens)."""
