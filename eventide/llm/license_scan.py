@@ -78,15 +78,18 @@ def license_scan(
         per_template.setdefault(r.template, []).append((counts.get(r.w, 0), r.w))
     telling |= {min(x)[1] for x in per_template.values()}
     telling_words = F.array(*map(F.lit, sorted(telling))).cast("array<string>")
-    line = F.explode(F.split("text", "\n"))
-    lines = rows.where("text is not null").select("h", line.alias("line")).withColumn("ws", words(F.col("line")))
-    lines = lines.where(F.arrays_overlap("ws", telling_words)).select("h", F.xxhash64("line").alias("l"), F.explode("ws").alias("w"))
-    terms = lines.groupBy("h", "l", "w").agg(F.count("*").alias("n")).join(idf, "w", "left")
-    terms = stage_table(terms.select("h", "l", "w", (F.col("n") * F.coalesce("idf", unknown)).alias("x")), "terms")
-    size = terms.groupBy("h", "l").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    dots = terms.join(weighted, "w").groupBy("h", "l", "template", "license").agg(F.sum(F.col("x") * F.col("t")).alias("dot"))
-    scored = dots.join(size, ["h", "l"]).select("h", "license", F.round(F.col("dot") / F.greatest("size", F.lit(1e-12)), 9).alias("score"))
-    scored = scored.where(F.col("score") >= threshold).groupBy("h", "license").agg(F.max("score").alias("score"))
+    lines = rows.where("text is not null").select("h", F.explode(F.split("text", "\n")).alias("line")).withColumn("ws", words(F.col("line")))
+    lines = lines.where(F.arrays_overlap("ws", telling_words)).select("h", F.xxhash64("line").alias("l"), "ws")
+    lines = stage_table(lines.dropDuplicates(["h", "l"]), "lines")
+    # A line is scored once, however many files hold it.
+    terms = lines.dropDuplicates(["l"]).select("l", F.explode("ws").alias("w"))
+    terms = terms.groupBy("l", "w").agg(F.count("*").alias("n")).join(idf, "w", "left")
+    terms = stage_table(terms.select("l", "w", (F.col("n") * F.coalesce("idf", unknown)).alias("x")), "terms")
+    size = terms.groupBy("l").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
+    dots = terms.join(weighted, "w").groupBy("l", "template", "license").agg(F.sum(F.col("x") * F.col("t")).alias("dot"))
+    scored = dots.join(size, "l").select("l", "license", F.round(F.col("dot") / F.greatest("size", F.lit(1e-12)), 9).alias("score"))
+    scored = stage_table(scored.where(F.col("score") >= threshold), "scores")
+    scored = lines.select("h", "l").join(scored, "l").groupBy("h", "license").agg(F.max("score").alias("score"))
     best = scored.groupBy("h").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("b"))
     best = stage_table(best.select("h", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("score")), "own")
 
