@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from eventide.llm import blocks
 
-_CHUNK = 8
+_CHUNK = 16
 _LEAST_WORDS = 5
+#: Weight of words outside the vocabulary, as a share of the mean weight.
+_OTHER = 0.25
 
 
 class _Tokens(blocks.Words):
@@ -116,7 +118,7 @@ def _search(model, cosine: float, ratio: float, loose: float, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         v, items = m["vocabulary"], m["items"]
-        table = np.vstack([m["idf"][:, None] * m["basis"], np.zeros((1, m["basis"].shape[1]))]).astype(np.float32)
+        table = (m["idf"][:, None] * m["basis"]).astype(np.float32)
         weight = np.append(m["idf"], m["rare"]) ** 2
         queries, owner = m["queries"].astype(np.float32), m["owner"]
         masks = []
@@ -134,12 +136,17 @@ def _search(model, cosine: float, ratio: float, loose: float, size: int):
                 ids = words.ids(0)
                 place = _look_up(v, ids)
                 first = np.cumsum(words.per_row) - words.per_row
-                # Chunks of eight words from the start of each row; a passage is a few chunks in a row.
+                # Chunks of _CHUNK words from the start of each row; a passage is a few chunks in a row.
                 chunks = -(-words.per_row // _CHUNK)
                 inner = np.arange(int(chunks.sum())) - np.repeat(np.cumsum(chunks) - chunks, chunks)
                 row = np.repeat(np.arange(len(first)), chunks)
                 begin = first[row] + inner * _CHUNK
-                latent = np.add.reduceat(table[place], begin, axis=0)
+                known = place < len(v)
+                upto = np.concatenate([[0], np.cumsum(known)])
+                some = np.flatnonzero(np.diff(np.append(upto[begin], upto[-1])))
+                latent = np.zeros((len(begin), table.shape[1]), np.float32)
+                if len(some):
+                    latent[some] = np.add.reduceat(table[place[known]], upto[begin[some]], axis=0)
                 norm = np.add.reduceat(weight[place], begin)
                 many = size // _CHUNK
                 reach = np.minimum(many, chunks[row] - inner)
@@ -192,15 +199,15 @@ def _holds(region: list[int], answer: list[int]) -> bool:
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-    rank: int = 64, passage: int = 32, cosine: float = 0.3, ratio: float = 0.8, loose: float = 0.6, items_per_block: int = 5000,
+    rank: int = 160, passage: int = 32, cosine: float = 0.35, ratio: float = 0.8, loose: float = 0.6, items_per_block: int = 5000,
 ) -> DataFrame:
     """Pairs of rows and benchmark items whose text they hold.
 
     One row per pair: ``key``, ``item``, share (of the item's words, in order), cosine, start_word, by_answer.
 
     Rows and items are TF-IDF passages of ``passage`` words over the items' vocabulary (frequencies
-    over all rows; other words only add to a passage's length, as if found once). The items' passages
-    give a latent space by a distributed randomised SVD. Passages of the rows, one every eight words,
+    over all rows; other words only add to a passage's length, a quarter of the mean weight each). The items' passages
+    give a latent space by a distributed randomised SVD. Passages of the rows, one every 16 words,
     whose latent cosine to an item's passage is ``cosine`` or more are candidates. There the longest common
     subsequence with the item is taken: ``ratio`` of its words make a pair; ``loose`` of them do if the
     item's answer, its last sentence, stands there word by word.
@@ -251,6 +258,6 @@ def _model(rows: DataFrame, held: list[tuple], passage: int, rank: int):
     queries /= np.maximum(np.linalg.norm(queries, axis=1), 1e-12)[:, None]
     return spark.sparkContext.broadcast({
         "vocabulary": vocabulary, "items": [w.tolist() for w in items], "answers": [a for _, _, a in held],
-        "keys": pa.array([i for i, _, _ in held]), "idf": idf, "rare": float(np.log((count[-1] + 2) / 2)), "basis": basis,
+        "keys": pa.array([i for i, _, _ in held]), "idf": idf, "rare": _OTHER * float(idf.mean()), "basis": basis,
         "queries": queries, "owner": np.array([k for k, _ in pieces]),
     })
