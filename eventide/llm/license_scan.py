@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventide.session import stage_table
@@ -83,8 +85,9 @@ def license_scan(
     lines = stage_table(lines.dropDuplicates(["h", "l"]), "lines")
     # A line is scored once, however many files hold it.
     terms = lines.dropDuplicates(["l"]).select("l", F.explode("ws").alias("w"))
-    terms = terms.groupBy("l", "w").agg(F.count("*").alias("n")).join(idf, "w", "left")
-    terms = stage_table(terms.select("l", "w", (F.col("n") * F.coalesce("idf", unknown)).alias("x")), "terms")
+    known_idf = F.create_map(*(F.lit(x) for w, n in weights for x in (w, math.log((total + 2) / (n + 1)))))
+    terms = terms.groupBy("l", "w").agg(F.count("*").alias("n"))
+    terms = stage_table(terms.select("l", "w", (F.col("n") * F.coalesce(F.try_element_at(known_idf, F.col("w")), unknown)).alias("x")), "terms")
     size = terms.groupBy("l").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
     dots = terms.join(weighted, "w").groupBy("l", "template", "license").agg(F.sum(F.col("x") * F.col("t")).alias("dot"))
     scored = dots.join(size, "l").select("l", "license", F.round(F.col("dot") / F.greatest("size", F.lit(1e-12)), 9).alias("score"))
