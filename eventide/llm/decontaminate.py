@@ -89,8 +89,8 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int, rounds: int =
         parts = passages.mapInArrow(_sketch_rows(idf, spark.sparkContext.broadcast(basis)), "w long, x array<double>")
         summed = parts.select("w", F.posexplode("x")).groupBy("w", "pos").agg(F.sum("col").alias("x"))
         new = np.zeros_like(basis)
-        for r in summed.toLocalIterator():
-            new[r.w, r.pos] = r.x
+        sums = summed.toArrow()  # words of the block of items by rank
+        new[sums["w"].to_numpy(), sums["pos"].to_numpy()] = sums["x"].to_numpy()
         basis = np.linalg.qr(new + 1e-9 * basis)[0]
     return basis
 
@@ -114,6 +114,36 @@ def common_length(masks: dict[int, int], full: int, words: list[int]) -> int:
     return (~v & full).bit_count()
 
 
+def _chunk_sums(table: np.ndarray, place: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows over runs of places: the first place of every run, then the second of
+    those that have one, and so on. Longer runs stand first, so each step adds to one slice."""
+    order = np.argsort(-count, kind="stable")
+    start = start[order]
+    sums = np.zeros((len(count), table.shape[1]), np.float32)
+    for k in range(int(count.max(initial=0))):
+        n = int(np.count_nonzero(count > k))
+        sums[:n] += table[place[start[:n] + k]]
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
+def _common_bound(place, lo, hi, item, own_keys, own_counts, width: int, step: int = 4096) -> np.ndarray:
+    """For pairs of a region and an item: how many of the item's words occur in the region, in any
+    order. No common subsequence is longer."""
+    bound = np.zeros(len(lo), np.int64)
+    for s in range(0, len(lo), step):
+        part = slice(s, s + step)
+        reach = hi[part] - lo[part]
+        pair = np.repeat(np.arange(len(reach)), reach)
+        key = item[part][pair] * width + place[blocks.spans(lo[part], reach)]
+        at = np.minimum(np.searchsorted(own_keys, key), len(own_keys) - 1)
+        hit = own_keys[at] == key
+        both = np.unique(pair[hit] * len(own_keys) + at[hit])
+        bound[part] = np.bincount(both // len(own_keys), own_counts[both % len(own_keys)], len(reach))
+    return bound
+
+
 def _search(model, cosine: float, ratio: float, loose: float, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -121,6 +151,7 @@ def _search(model, cosine: float, ratio: float, loose: float, size: int):
         table = (m["idf"][:, None] * m["basis"]).astype(np.float32)
         weight = np.append(m["idf"], m["rare"]) ** 2
         queries, owner = m["queries"].astype(np.float32), m["owner"]
+        lengths = np.array([len(words) for words in items])
         masks = []
         for words in items:
             own: dict[int, int] = {}
@@ -143,10 +174,7 @@ def _search(model, cosine: float, ratio: float, loose: float, size: int):
                 begin = first[row] + inner * _CHUNK
                 known = place < len(v)
                 upto = np.concatenate([[0], np.cumsum(known)])
-                some = np.flatnonzero(np.diff(np.append(upto[begin], upto[-1])))
-                latent = np.zeros((len(begin), table.shape[1]), np.float32)
-                if len(some):
-                    latent[some] = np.add.reduceat(table[place[known]], upto[begin[some]], axis=0)
+                latent = _chunk_sums(table, place[known], upto[begin], np.diff(np.append(upto[begin], upto[-1])))
                 norm = np.add.reduceat(weight[place], begin)
                 many = size // _CHUNK
                 reach = np.minimum(many, chunks[row] - inner)
@@ -161,15 +189,14 @@ def _search(model, cosine: float, ratio: float, loose: float, size: int):
                 scores /= np.sqrt(np.maximum(energy[live], 1e-12))[:, None].astype(np.float32)
                 at, query = np.nonzero(scores >= cosine)
                 best: dict[tuple[int, int], tuple] = {}
-                seen: set[tuple[int, int]] = set()
-                for a, q in zip(at.tolist(), query.tolist(), strict=True):
-                    c, item = int(live[a]), int(owner[q])
-                    if (c, item) in seen:
-                        continue
-                    seen.add((c, item))
-                    n, r = len(items[item]), int(row[c])
-                    lo_w = max(int(first[r]), int(begin[c]) - n)
-                    hi_w = min(int(first[r] + words.per_row[r]), int(begin[c]) + size + n)
+                _, one = np.unique(live[at] * len(items) + owner[query], return_index=True)
+                at, c, item = at[one], live[at[one]], owner[query[one]]
+                r, n = row[c], lengths[item]
+                lo_w = np.maximum(first[r], begin[c] - n)
+                hi_w = np.minimum(first[r] + words.per_row[r], begin[c] + size + n)
+                near = _common_bound(place, lo_w, hi_w, item, m["own_keys"], m["own_counts"], len(v) + 1) >= loose * n - 1e-9
+                cos = scores[at, query[one]]
+                for r, item, n, c, lo_w, hi_w, cos in zip(*(x[near].tolist() for x in (r, item, n, c, lo_w, hi_w, cos)), strict=True):
                     region = ids[lo_w:hi_w].tolist()
                     share = common_length(masks[item], (1 << n) - 1, region) / n
                     if share < loose:
@@ -177,7 +204,7 @@ def _search(model, cosine: float, ratio: float, loose: float, size: int):
                     answer = share < ratio
                     if answer and not _holds(region, m["answers"][item]):
                         continue
-                    found = (share, float(scores[a, q]), int(begin[c] - first[r]), answer)
+                    found = (share, cos, int(begin[c] - first[r]), answer)
                     if found[:2] > best.get((r, item), (0.0, 0.0))[:2]:
                         best[(r, item)] = found
                 out += [(lo + r, item, *x) for (r, item), x in best.items()]
@@ -251,6 +278,9 @@ def _model(rows: DataFrame, held: list[tuple], passage: int, rank: int):
     for r in rows.mapInArrow(_frequencies(shared), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toLocalIterator():
         count[r.w] = r.n
     idf = np.log((count[-1] + 2) / (count[:-1] + 1))
+    own_keys, own_counts = np.unique(
+        np.concatenate([k * (len(vocabulary) + 1) + _look_up(vocabulary, words) for k, words in enumerate(items)]), return_counts=True
+    )
     pieces = [(k, _look_up(vocabulary, p)) for k, words in enumerate(items) for p in _pieces(words, passage)]
     table = spark.createDataFrame([(p.tolist(),) for _, p in pieces], "words array<bigint>").repartition(4)
     basis = latent_basis(table, idf, rank)
@@ -259,5 +289,5 @@ def _model(rows: DataFrame, held: list[tuple], passage: int, rank: int):
     return spark.sparkContext.broadcast({
         "vocabulary": vocabulary, "items": [w.tolist() for w in items], "answers": [a for _, _, a in held],
         "keys": pa.array([i for i, _, _ in held]), "idf": idf, "rare": _OTHER * float(idf.mean()), "basis": basis,
-        "queries": queries, "owner": np.array([k for k, _ in pieces]),
+        "queries": queries, "owner": np.array([k for k, _ in pieces]), "own_keys": own_keys, "own_counts": own_counts,
     })
