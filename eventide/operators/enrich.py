@@ -96,56 +96,79 @@ def post_score(
     )
 
 
+_MINUTE = 60_000_000
+
+
+def _micros(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def _minute(ts: Column) -> Column:
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / 60_000_000)
+    return F.floor(_micros(ts) / _MINUTE)
 
 
-def best_post_by_minute(candidates: DataFrame, wanted: DataFrame, window_minutes: int = 24 * 60) -> DataFrame:
-    """Best candidate within the window around each wanted minute.
-
-    Posts and broadcasts carry minute times, so posts are first reduced to the
-    best one of each minute; what remains is bounded by the clock. The time
-    line is cut into blocks as long as the window. Any window then is the end
-    of one block plus the start of the next, so its best is the larger of a
-    running maximum from behind and one from the front: each row is looked at
-    once, and no post is ever paired with a broadcast.
-    """
-    span = 2 * window_minutes + 1
+def _best_score() -> Column:
+    return F.struct(F.col("score").cast("double").alias("score"), (-F.col("link")).alias("neg_link"))
+
+
+def _best_at_edges(candidates: DataFrame, wanted: DataFrame, time: str, reach: int, span: int) -> DataFrame:
+    """Best candidate from ``reach`` before each wanted time to the end of that block of ``span``, or
+    from the start of the block ``reach`` after it up to there. Running maxima over the distinct times
+    of a block: each row is looked at once, and no post is ever paired with a broadcast."""
     best_type = "struct<score: double, neg_link: bigint>"
-    key = F.struct(F.col("score").cast("double").alias("score"), (-F.col("link")).alias("neg_link"))
-    posts = candidates.groupBy(F.col("minute").alias("at")).agg(F.max(key).alias("best")).select(
-        "at", "best", F.lit(None).cast("bigint").alias("minute"), F.lit(False).alias("is_start")
+    posts = candidates.groupBy(F.col(time).alias("place")).agg(F.max(_best_score()).alias("best")).select(
+        "place", "best", F.lit(None).cast("bigint").alias(time), F.lit(False).alias("is_start")
     )
     edges = F.array(
-        F.struct((F.col("minute") - window_minutes).alias("at"), F.lit(True).alias("is_start")),
-        F.struct((F.col("minute") + window_minutes).alias("at"), F.lit(False).alias("is_start")),
+        F.struct((F.col(time) - reach).alias("place"), F.lit(True).alias("is_start")),
+        F.struct((F.col(time) + reach).alias("place"), F.lit(False).alias("is_start")),
     )
-    asked = wanted.select("minute").distinct().select("minute", F.inline(edges)).select(
-        "at", F.lit(None).cast(best_type).alias("best"), "minute", "is_start"
+    asked = wanted.select(time).distinct().select(time, F.inline(edges)).select(
+        "place", F.lit(None).cast(best_type).alias("best"), time, "is_start"
     )
-    rows = posts.unionByName(asked).withColumn("block", F.floor(F.col("at") / span))
+    rows = posts.unionByName(asked).withColumn("block", F.floor(F.col("place") / span))
     block = Window.partitionBy("block")
-    to_end, from_start = F.max("best").over(block.orderBy(F.desc("at"))), F.max("best").over(block.orderBy("at"))
+    to_end, from_start = F.max("best").over(block.orderBy(F.desc("place"))), F.max("best").over(block.orderBy("place"))
     return (
         rows.withColumn("found", F.when(F.col("is_start"), to_end).otherwise(from_start))
-        .where(F.col("minute").isNotNull() & F.col("found").isNotNull())
-        .groupBy("minute")
+        .where(F.col(time).isNotNull() & F.col("found").isNotNull())
+        .groupBy(time)
         .agg(F.max("found").alias("found"))
-        .select("minute", (-F.col("found.neg_link")).alias("link"), F.col("found.score").alias("score"))
+        .select(time, (-F.col("found.neg_link")).alias("link"), F.col("found.score").alias("score"))
     )
 
 
-def best_post(broadcasts: DataFrame, candidates: DataFrame, manual: DataFrame | None = None) -> DataFrame:
+def best_post_by_minute(candidates: DataFrame, wanted: DataFrame, window_minutes: int = 24 * 60) -> DataFrame:
+    """Best candidate within the window of whole minutes around each wanted minute.
+
+    Posts are reduced to the best one of each minute; what remains is bounded
+    by the clock. The time line is cut into blocks as long as the window, so
+    any window is the end of one block plus the start of the next.
+    """
+    return _best_at_edges(candidates, wanted, "minute", window_minutes, 2 * window_minutes + 1)
+
+
+def best_post(
+    broadcasts: DataFrame, candidates: DataFrame, manual: DataFrame | None = None, window_minutes: int = 24 * 60
+) -> DataFrame:
     """The post that best sums up each broadcast; a manual link beats all.
 
     ``broadcasts`` has ``ts``, ``candidates`` has ``ts``, ``link`` and ``score``,
     ``manual`` has ``target_date`` and ``manual_link``. Broadcasts without a
-    post drop out.
+    post drop out. Times are exact: the whole minutes inside the window (at
+    least a minute long) come from the best post of each minute, and the two
+    minutes cut by its ends from the distinct times in them.
     """
-    shows = broadcasts.withColumn("minute", _minute(F.col("ts"))).withColumn("target_date", F.to_date("ts"))
-    posts = candidates.select(_minute(F.col("ts")).alias("minute"), "link", "score")
-    best = best_post_by_minute(posts, shows)
-    out = shows.join(best, "minute", "left")
+    shows = broadcasts.withColumns({"at": _micros(F.col("ts")), "minute": _minute(F.col("ts")), "target_date": F.to_date("ts")})
+    times = candidates.groupBy(_micros(F.col("ts")).alias("at")).agg(F.max(_best_score()).alias("b"))
+    posts = times.select(
+        "at", F.floor(F.col("at") / _MINUTE).alias("minute"), (-F.col("b.neg_link")).alias("link"), F.col("b.score").alias("score")
+    )
+    inside = best_post_by_minute(posts, shows, window_minutes - 1).select("minute", _best_score().alias("inside"))
+    at_ends = _best_at_edges(posts, shows, "at", window_minutes * _MINUTE, _MINUTE).select("at", _best_score().alias("at_ends"))
+    best = F.greatest("inside", "at_ends")
+    out = shows.join(inside, "minute", "left").join(at_ends, "at", "left")
+    out = out.withColumns({"link": -best["neg_link"], "score": best["score"]}).drop("inside", "at_ends", "at")
     if manual is not None:
         is_manual = F.col("manual_link").isNotNull()
         out = (
@@ -245,22 +268,19 @@ def target_item_filter(
 ) -> DataFrame:
     """Comma lists reduced to tradeable items; nothing left reads 'None'.
 
-    ``tradeable`` has one row per known ``item``. Every event keeps a row.
+    ``tradeable`` has the known items as ``item``. Every event keeps a row.
+    Empty and forbidden pieces go before the join, and only hits are grouped.
     """
     parts = F.transform(F.split(F.coalesce(F.col(list_col), F.lit("")), ","), lambda p: F.trim(p))
     exploded = events.select(key, F.posexplode(parts).alias("pos", "item"))
     allowed = (F.col("item") != "") & ~contains_any(F.col("item"), forbidden)
-    known = tradeable.select("item").distinct().withColumn("is_known", F.lit(True))
-    marked = exploded.withColumn("item", F.when(allowed, F.col("item"))).join(known, "item", "left")
-    kept = F.sort_array(F.collect_list(F.when(F.col("is_known"), F.struct("pos", "item"))))
-    return (
-        marked.groupBy(key)
-        .agg(kept.alias("kept"))
-        .select(
-            key,
-            F.size("kept").alias("n_items"),
-            F.when(F.size("kept") > 0, F.array_join(F.col("kept.item"), ", ")).otherwise("None").alias("target_items"),
-        )
+    known = tradeable.select("item").distinct()
+    kept = F.sort_array(F.collect_list(F.struct("pos", "item")))
+    hits = exploded.where(allowed).join(known, "item").groupBy(key).agg(kept.alias("kept"))
+    return events.select(key).distinct().join(hits, key, "left").select(
+        key,
+        F.when(F.col("kept").isNotNull(), F.size("kept")).otherwise(0).alias("n_items"),
+        F.coalesce(F.array_join(F.col("kept.item"), ", "), F.lit("None")).alias("target_items"),
     )
 
 
@@ -359,9 +379,5 @@ def json_profile(docs: DataFrame, json_col: str) -> DataFrame:
 
 def news_alerts(notices: DataFrame, threshold: int = fixed.ALERT_SCORE) -> DataFrame:
     """First sighting of each notice, kept when its importance reaches the threshold."""
-    first = F.unix_micros(F.col("ts").cast("timestamp")) * 16 + F.col("score")
-    return (
-        notices.groupBy("notice_id")
-        .agg(F.min("ts").alias("ts"), F.min_by("score", first).alias("score"))
-        .where(F.col("score") >= threshold)
-    )
+    first = F.min(F.struct("ts", "score")).alias("first")
+    return notices.groupBy("notice_id").agg(first).select("notice_id", "first.ts", "first.score").where(F.col("score") >= threshold)

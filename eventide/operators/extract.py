@@ -143,30 +143,38 @@ def post_date(shown: Column, year: Column, crawled_at: Column) -> Column:
     )
 
 
-def board_years(listing: DataFrame, anchor_year: Column, block_rows: int = 1_000_000) -> DataFrame:
+def board_years(
+    listing: DataFrame, anchor_year: Column, block_rows: int = 1_000_000, order: list[str] = ("pos",), block: Column | None = None
+) -> DataFrame:
     """Years of 'MM-dd' dates in a listing that runs from new to old.
 
-    ``pos`` is the integer place in the listing, unique per board. Going down
-    the list, a month-day later than its predecessor's means a year boundary
-    was crossed; the year is the anchor's minus the boundaries so far.
+    ``order`` names the columns that give the place in the listing, unique per
+    board. Going down the list, a month-day later than the last one before it
+    means a year boundary was crossed; the year is the anchor's minus the
+    boundaries so far. Other notations (clock times, full dates) say nothing
+    about the year and are passed over.
 
     The running count is taken in two levels, so no task holds a whole board:
-    within blocks of ``pos`` (at most ``block_rows`` rows each), then over one
-    summary row per block.
+    within blocks, then over one summary row per block. ``block`` must not fall
+    along the order; by default a block is ``block_rows`` places of ``pos``.
     """
-    rows = listing.withColumn("block", F.floor(F.col("pos") / block_rows))
-    in_block = Window.partitionBy("board", "block").orderBy("pos")
-    previous = F.lag("month_day").over(in_block)
-    crossed = F.coalesce((F.col("month_day") > previous).cast("int"), F.lit(0))
+    block = F.floor(F.col("pos") / block_rows) if block is None else block
+    day = F.when(F.col("month_day").rlike(r"^\d{2}-\d{2}$"), F.col("month_day"))
+    rows = listing.withColumns({"block": block, "listed_day": day})
+    in_block = Window.partitionBy("board", "block").orderBy(*order)
+    earlier = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    crossed = F.coalesce((F.col("listed_day") > F.last("listed_day", ignorenulls=True).over(earlier)).cast("int"), F.lit(0))
     rows = rows.withColumn("crossed", crossed)
 
+    place = F.when(F.col("listed_day").isNotNull(), F.struct(*order))
     blocks = rows.groupBy("board", "block").agg(
         F.sum("crossed").alias("inside"),
-        F.min_by("month_day", "pos").alias("head"),
-        F.max_by("month_day", "pos").alias("tail"),
+        F.min_by("listed_day", place).alias("head"),
+        F.max_by("listed_day", place).alias("tail"),
     )
     by_board = Window.partitionBy("board").orderBy("block")
-    at_border = F.coalesce((F.col("head") > F.lag("tail").over(by_board)).cast("int"), F.lit(0))
+    last_tail = F.last("tail", ignorenulls=True).over(by_board.rowsBetween(Window.unboundedPreceding, -1))
+    at_border = F.coalesce((F.col("head") > last_tail).cast("int"), F.lit(0))
     before = by_board.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = (
         blocks.withColumn("at_border", at_border)
@@ -178,7 +186,7 @@ def board_years(listing: DataFrame, anchor_year: Column, block_rows: int = 1_000
         rows.withColumn("local", F.sum("crossed").over(so_far))
         .join(offsets, ["board", "block"])
         .withColumn("year", (anchor_year - F.col("local") - F.col("offset")).cast("int"))
-        .drop("block", "crossed", "local", "offset")
+        .drop("block", "listed_day", "crossed", "local", "offset")
     )
 
 

@@ -76,14 +76,20 @@ def replace_by_key(history: DataFrame, records: DataFrame, key: str) -> DataFram
     return kept.unionByName(records, allowMissingColumns=True)
 
 
-def post_dedup(existing: DataFrame, fresh: DataFrame, key: str = "link") -> DataFrame:
-    """Union by link where the stored copy wins."""
+def post_dedup(existing: DataFrame, fresh: DataFrame, key: str = "link", order: list[Column] | None = None) -> DataFrame:
+    """Union by link where the stored copy wins.
+
+    Among copies of one side the first in ``order`` is kept (the best score, say), and among equals
+    the least row.
+    """
     both = existing.withColumn("origin", F.lit(0)).unionByName(
         fresh.withColumn("origin", F.lit(1)), allowMissingColumns=True
     )
     rest = [c for c in both.columns if c != key]
-    first = F.min(F.struct("origin", *[c for c in rest if c != "origin"]))
-    return both.groupBy(key).agg(first.alias("r")).select(key, *[F.col(f"r.{c}") for c in rest if c != "origin"])
+    values = [c for c in rest if c != "origin"]
+    ranks = [rank.alias(f"rank_{n}") for n, rank in enumerate(order or [])]
+    first = F.min(F.struct("origin", *ranks, F.struct(*values).alias("row")))
+    return both.groupBy(key).agg(first.alias("r")).select(key, *[F.col(f"r.row.{c}") for c in values])
 
 
 HISTORY_SCHEMA = "array<struct<Name: string, Stats: array<struct<Date: string, AvgPrice: double, TradeCount: bigint>>>>"

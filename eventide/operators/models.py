@@ -103,22 +103,31 @@ def line_scores(grid: DataFrame, lines: DataFrame, x: str = "honing_mat_demand",
     return grid.join(lines, by).withColumn("predicted_excess_return", F.col("level") + F.col("slope") * F.col(x))
 
 
+def _filled(rows: DataFrame, features: list[str]) -> DataFrame:
+    """The features as numbers under names of their own; a missing value counts as 0."""
+    return rows.withColumns({f"filled_{f}": F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in features})
+
+
 def boosted_model(
     rows: DataFrame, features: list[str], label: str, weight: str | None = None, trees: int = 100, depth: int = 5,
     rate: float = 0.05, seed: int = 7,
 ):
-    """Gradient-boosted trees over named features, trained by Spark ML on all rows."""
+    """Gradient-boosted trees over named features, trained by Spark ML on all rows.
+
+    A missing feature counts as 0, in training and in scoring, so no row is left out.
+    """
     booster = GBTRegressor(
         featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed
     )
     if weight is not None:
         booster = booster.setWeightCol(weight)
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-    return Pipeline(stages=[assembler, booster]).fit(rows)
+    assembler = VectorAssembler(inputCols=[f"filled_{f}" for f in features], outputCol="features", handleInvalid="error")
+    return Pipeline(stages=[assembler, booster]).fit(_filled(rows, features))
 
 
 def boosted_scores(model, rows: DataFrame, keep: list[str]) -> DataFrame:
-    return model.transform(rows).select(*keep, F.col("prediction").alias("pred"))
+    features = [c.removeprefix("filled_") for c in model.stages[0].getInputCols()]
+    return model.transform(_filled(rows, features)).select(*keep, F.col("prediction").alias("pred"))
 
 
 def feature_importance(model, features: list[str], rows: DataFrame) -> DataFrame:

@@ -454,7 +454,7 @@ def scenario_scores(spark, sf_dir):
 def scenario_model_scores(spark, sf_dir):
     """The same ranking by boosted trees over all features of the frame."""
     frame = _scored_frame(spark, sf_dir)
-    model = models.boosted_model(frame, FRAME_FEATURES, "excess_return", trees=5)
+    model = models.boosted_model(frame, FRAME_FEATURES, "excess_return")
     days = calendar.daily_events(dt.calendar(spark, sf_dir))
     grid = models.class_grid(days.withColumn("is_weekend", (F.weekday("date") >= 5).cast("int")), CLASS_LABELS)
     scored = models.boosted_scores(model, grid, ["date", "category"]).withColumnRenamed("pred", "predicted_excess_return")
@@ -481,7 +481,7 @@ def _pooled_rows(spark, sf_dir) -> tuple[DataFrame, list[str]]:
 def gbt_scores(spark, sf_dir):
     """Final boosted trees over all sectors and horizons, trained in one distributed fit."""
     rows, features = _pooled_rows(spark, sf_dir)
-    model = models.boosted_model(rows.where("y is not null"), features, "y", "w", trees=10)
+    model = models.boosted_model(rows.where("y is not null"), features, "y", "w")
     return models.boosted_scores(model, rows, ["sector", "date", "h"])
 
 
@@ -489,7 +489,7 @@ def gbt_scores(spark, sf_dir):
 def gbt_importance(spark, sf_dir):
     """Features of the excess-return trees, by importance."""
     frame = _scored_frame(spark, sf_dir)
-    model = models.boosted_model(frame, FRAME_FEATURES, "excess_return", trees=5)
+    model = models.boosted_model(frame, FRAME_FEATURES, "excess_return")
     return models.feature_importance(model, FRAME_FEATURES, frame)
 
 
@@ -548,11 +548,13 @@ def best_post(spark, sf_dir):
 
 @query
 def post_dedup(spark, sf_dir):
-    """Stored posts are the labelled ones; a new crawl returns all, with more votes."""
+    """Stored posts are the labelled ones; a new crawl returns all with more votes, a third of them again later."""
     posts = dt.posts(spark, sf_dir).select("link", "author", "reco")
     labelled = dt.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("link")).distinct()
     stored = posts.join(labelled, "link", "left_semi")
-    return ingest.post_dedup(stored, posts.withColumn("reco", F.col("reco") + 1))
+    again = posts.where("link % 3 = 0").withColumn("reco", F.col("reco") + 5)
+    crawl = posts.withColumn("reco", F.col("reco") + 1).unionByName(again)
+    return ingest.post_dedup(stored, crawl, order=[-F.col("reco")])
 
 
 @query
@@ -626,21 +628,26 @@ def _listing(spark, sf_dir) -> DataFrame:
         F.col("o_orderkey").alias("link"),
         F.col("o_orderpriority").alias("board"),
         F.floor(age / 7).cast("int").alias("page"),
-        (age.cast("bigint") * 10_000_000_000 + F.col("o_orderkey")).alias("pos"),
+        age.alias("age"),
         F.date_format("o_orderdate", "MM-dd").alias("month_day"),
     )
 
 
+def _dated_listing(spark, sf_dir) -> DataFrame:
+    """The listing with years; a block is a day of a board."""
+    return extract.board_years(_listing(spark, sf_dir), F.lit(2001), order=["age", "link"], block=F.col("age"))
+
+
 @query
 def board_year(spark, sf_dir):
     """Year of each listed post, from the order of the listing alone."""
-    return extract.board_years(_listing(spark, sf_dir), F.lit(2001)).select("link", "board", "page", "month_day", "year")
+    return _dated_listing(spark, sf_dir).select("link", "board", "page", "month_day", "year")
 
 
 @query
 def page_spans(spark, sf_dir):
     """Date span of each listing page."""
-    dated = extract.board_years(_listing(spark, sf_dir), F.lit(2001))
+    dated = _dated_listing(spark, sf_dir)
     crawled = F.to_timestamp_ntz(F.lit("2001-08-01 00:00:00"))
     dated = dated.withColumn("post_date", extract.post_date(F.col("month_day"), F.col("year"), crawled))
     return extract.page_date_spans(dated)

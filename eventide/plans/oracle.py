@@ -418,10 +418,10 @@ ORACLE_SQL: dict[str, str] = {
         SELECT event_id, -1 AS link, CAST(9999 AS DOUBLE) AS score, 'manual' AS origin FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-01'
         UNION ALL SELECT event_id, link, score, 'board' FROM (SELECT e.event_id, p.link, CAST(p.score AS DOUBLE) AS score,
         row_number() OVER (PARTITION BY e.event_id ORDER BY p.score DESC, p.link) AS rn FROM events e JOIN scored_posts p
-        ON p.is_candidate AND p.ts >= date_trunc('minute', e.ts) - INTERVAL 24 HOUR AND p.ts <= date_trunc('minute', e.ts) + INTERVAL 24 HOUR
+        ON p.is_candidate AND p.ts >= e.ts - INTERVAL 24 HOUR AND p.ts <= e.ts + INTERVAL 24 HOUR
         WHERE CAST(e.ts AS DATE) <> DATE '2024-01-01') WHERE rn = 1)""", "scored_posts"),
     "post_dedup": _sql(
-        """SELECT link, author, CASE WHEN link IN (SELECT doc_id FROM labels) THEN reco ELSE reco + 1 END AS reco FROM posts""", "posts"),
+        """SELECT link, author, CASE WHEN link IN (SELECT doc_id FROM labels) THEN reco WHEN link % 3 = 0 THEN reco + 5 ELSE reco + 1 END AS reco FROM posts""", "posts"),
     "recent_context": _sql(
         """SELECT e.event_id, e.date, coalesce(context, 'None') AS context FROM (SELECT event_id, CAST(ts AS DATE) AS date FROM events) e
         LEFT JOIN (SELECT date, string_agg('- [' || strftime(ts, '%Y-%m-%d') || '] ' || title || ' (Score: ' || CAST(CAST(score AS DOUBLE) AS VARCHAR) || ')', chr(10) ORDER BY rn) AS context

@@ -75,6 +75,16 @@ def test_window_edges_and_manual_link(spark, rows):
         (1, 5, 130.0, "board"), (2, 77, 9999.0, "manual")]
 
 
+def test_best_post_counts_seconds(spark, rows):
+    shows = spark.createDataFrame([(1, T(2026, 1, 2, 18, 0, 30))], "event_id INT, ts TIMESTAMP_NTZ")
+    posts = spark.createDataFrame(
+        [(T(2026, 1, 1, 18, 0, 29), 1, 999.0), (T(2026, 1, 1, 18, 0, 30), 2, 100.0), (T(2026, 1, 2, 9), 3, 90.0), (T(2026, 1, 3, 18, 0, 31), 4, 999.0)],
+        "ts TIMESTAMP_NTZ, link BIGINT, score DOUBLE")
+    assert rows(enrich.best_post(shows, posts), "event_id", "link", "score") == [(1, 2, 100.0)]
+    later = posts.where("link <> 2").unionByName(posts.where("link = 2").withColumn("ts", F.col("ts") + F.expr("INTERVAL 2 DAYS")))
+    assert rows(enrich.best_post(shows, later), "event_id", "link", "score") == [(1, 2, 100.0)]
+
+
 def brute_context(posts, day, look_back=60, top=3):
     until = T(day.year, day.month, day.day)
     near = [p for p in posts if until - dt.timedelta(days=look_back) <= p[0] <= until]
@@ -168,6 +178,14 @@ def test_board_years_cross_new_year_in_small_blocks(spark, rows):
         assert out.where("year <> truth").count() == 0 and out.count() == 150
 
 
+def test_board_years_pass_over_other_notations(spark):
+    shown = ["13:45", "09:15", "12-30", "12-29", "2023-11-02", "11-01", "01-05", "14:00", "12-31"]
+    truth = [2025, 2025, 2025, 2025, 2025, 2025, 2025, 2025, 2024]
+    listing = spark.createDataFrame([("b", k, s, y) for k, (s, y) in enumerate(zip(shown, truth))], "board STRING, pos BIGINT, month_day STRING, truth INT")
+    for block in (1, 3, 1000):
+        assert extract.board_years(listing, F.lit(2025), block).where("year <> truth").count() == 0
+
+
 def test_post_dates(spark):
     df = spark.createDataFrame([("15:23",), ("01-22",), ("2024-05-06",), ("02-30",), ("?",)], "s STRING")
     crawled = F.to_timestamp_ntz(F.lit("2026-01-24 16:00:00"))
@@ -219,6 +237,12 @@ def test_stored_copy_wins(spark, rows):
     assert rows(ingest.post_dedup(a, b)) == [(1, "old"), (2, "new")]
 
 
+def test_best_copy_of_a_new_link_wins(spark, rows):
+    a = spark.createDataFrame([(1, 10)], "link INT, points INT")
+    b = spark.createDataFrame([(1, 99), (2, 120), (2, 150)], "link INT, points INT")
+    assert rows(ingest.post_dedup(a, b, order=[-F.col("points")])) == [(1, 10), (2, 150)]
+
+
 def test_history_flatten_skips_empty_answers(spark, rows):
     docs = ['[{"Name": "x", "Stats": [{"Date": "2026-01-01", "AvgPrice": 1.5, "TradeCount": 7}, {"Date": "bad", "AvgPrice": 2, "TradeCount": 1}]}]', "[]", "oops"]
     out = ingest.history_flatten(spark.createDataFrame([(d,) for d in docs], "response STRING"))
