@@ -19,7 +19,7 @@ HEADLINE = [
     "event_feature_join", "volume_backfill", "item_betas", "tier_picks", "seasonality", "excess_return",
     "hourly_deviation", "best_hours", "walk_forward", "directional_accuracy", "backtest_last_event",
     "scenario_scores", "post_score", "best_post", "recent_context", "target_item_filter", "page_text",
-    "notice_upsert", "json_landing", "board_year",
+    "notice_upsert", "json_landing", "board_year", "final_overwrite", "forecast_choice", "stream_upsert", "stream_alerts",
 ]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,11 +29,13 @@ def event_dedup(events: DataFrame, score: str = "honing_mat_demand", id_col: str
     """The strongest event of each date; the lower id wins a tie.
 
     An aggregate, not a ranking window: a date with a third of all events is
-    reduced to one row per task before the shuffle. Score and id are packed
-    into one long (ids below 2^52), so the aggregate stays hash-based on
-    fixed-width columns, and unused columns are pruned one by one.
+    reduced to one row per task before the shuffle. Score and id are ranked as
+    one decimal, exact for every int score and long id. The aggregate is
+    hash-based while only fixed-width columns are used, and unused columns are
+    pruned one by one; with text columns it sorts each task's rows.
     """
-    rank = F.coalesce(F.col(score), F.lit(0)).cast("bigint") * (1 << 52) - F.col(id_col)
+    step = F.lit(Decimal(1 << 64))
+    rank = F.coalesce(F.col(score), F.lit(0)).cast("decimal(10, 0)") * step - F.col(id_col).cast("decimal(19, 0)")
     rest = [c for c in events.columns if c != "date"]
     return events.groupBy("date").agg(*[F.max_by(c, rank).alias(c) for c in rest])
 

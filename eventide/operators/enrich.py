@@ -322,14 +322,26 @@ def json_landing(responses: DataFrame, scores: list[str] = fixed.EVENT_SCORES, r
 
 
 def reaction_landing(responses: DataFrame, raw_col: str = "raw") -> DataFrame:
-    """Stored reaction responses to their eight typed fields."""
-    parsed = responses.withColumn("p", F.from_json(json_block(F.col(raw_col)), REACTION))
-    return parsed.select(*[c for c in responses.columns if c != raw_col], "p.*")
+    """Stored reaction responses to their eight typed fields.
+
+    A response without readable JSON keeps its row: no fields, a mark and its raw text.
+    """
+    schema = T.StructType([*REACTION.fields, T.StructField("_corrupt_record", T.StringType())])
+    parsed = responses.withColumn(
+        "p", F.from_json(json_block(F.col(raw_col)), schema, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    )
+    failed = F.col("p").isNull() | F.col("p._corrupt_record").isNotNull()
+    fields = [F.when(~failed, F.col(f"p.{f.name}")).alias(f.name) for f in REACTION.fields]
+    rest = [c for c in responses.columns if c != raw_col]
+    return parsed.select(*rest, *fields, failed.alias("parse_error"), F.when(failed, F.col(raw_col)).alias("raw_response"))
 
 
+ROADMAP_TEXTS = {
+    "package_category": "None", "trajectory_pattern": "general_update", "target_items": "None", "mechanisms_applied": "Analysis",
+}
 ROADMAP_SCHEMA = T.ArrayType(
     T.StructType(
-        [T.StructField(f, T.StringType()) for f in ["event_label", "estimated_date", "event_type", "target_items"]]
+        [T.StructField(f, T.StringType()) for f in ["event_label", "estimated_date", "event_type", *ROADMAP_TEXTS]]
         + [T.StructField(s, T.IntegerType()) for s in [*fixed.EVENT_SCORES, "confidence_score"]]
     )
 )
@@ -357,7 +369,8 @@ def roadmap_explode(responses: DataFrame, raw_col: str = "raw", scores: list[str
         F.format_string("[%s] %s", F.coalesce(F.col("e.event_type"), F.lit("Event")), label).alias("title"),
         (kind == "Roadmap Item").alias("is_pre_announced"),
         F.col("announced").alias("announcement_date"),
-        *[F.coalesce(F.col(f"e.{s}"), F.lit(0)).alias(s) for s in scores],
+        *[F.coalesce(F.col(f"e.{s}"), F.lit(0)).alias(s) for s in [*scores, "confidence_score"]],
+        *[F.coalesce(F.col(f"e.{name}"), F.lit(default)).alias(name) for name, default in ROADMAP_TEXTS.items()],
     )
 
 

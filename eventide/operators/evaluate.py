@@ -67,26 +67,23 @@ def horizon_errors(forecasts: DataFrame) -> DataFrame:
     return error_metrics(forecasts, ["sector", "h"], "y", "pred").withColumn("avg_rmse", F.avg("rmse").over(sector))
 
 
-def forecast_choice(
-    events: DataFrame, honest: DataFrame, live: DataFrame, actuals: DataFrame, margin_days: int = 5
-) -> DataFrame:
+def forecast_choice(events: DataFrame, stored: DataFrame, actuals: DataFrame, margin_days: int = 5) -> DataFrame:
     """Display frame of each event: forecast and outcome by horizon.
 
-    The stored forecast is shown where one exists, else the live model's; a
-    horizon without either stays absent, and so does a missing outcome. The
-    frame starts a few days before the announcement. ``is_high`` marks events
-    whose forecast exceeds 100 at some horizon of the sector.
+    The stored forecast is shown with its ``source``; a horizon without one
+    stays absent, and so does a missing outcome. Events of one date share its
+    forecast. The frame starts a few days before the announcement. ``is_high``
+    marks events whose forecast exceeds 100, to six digits, at some horizon of
+    the sector; it is found once per date, before the events join.
     """
-    points = honest.join(live.withColumnRenamed("pred", "live_pred"), ["sector", "date", "h"], "full").select(
-        "sector", "date", "h", F.coalesce("pred", "live_pred").alias("value"),
-        F.when(F.col("pred").isNotNull(), "honest").otherwise("live").alias("source"),
+    predicted = stored.where(F.col("pred").isNotNull()).select(
+        "sector", "date", "h", F.col("pred").alias("value"), "source", F.lit("predicted").alias("kind")
     )
-    predicted = points.where(F.col("value").isNotNull()).withColumn("kind", F.lit("predicted"))
     actual = actuals.where(F.col("y") != 0).select(
         "sector", "date", "h", F.col("y").alias("value"), F.lit("market").alias("source"), F.lit("actual").alias("kind")
     )
     series = Window.partitionBy("date", "sector")
-    is_high = F.max((F.col("kind") == "predicted") & (F.col("value") > 100.0)).over(series)
+    is_high = F.max((F.col("kind") == "predicted") & (F.round("value", 6) > 100.0)).over(series)
     return (
         predicted.unionByName(actual)
         .withColumn("is_high", is_high)

@@ -103,10 +103,11 @@ def _totals(terms: dict[str, Column], window) -> dict[str, Column]:
     return sums | {name: pick(terms[name]).over(window) for name, pick in RANGE.items()}
 
 
-def line_forecast(x: Column, min_train: int = MIN_TRAIN) -> Column:
+def line_forecast(x: Column, min_train: int = MIN_TRAIN, prefix: str = "") -> Column:
     """Forecast of the clamped weighted line from the six sums; null below ``min_train`` rows."""
-    n, sw, swx, swy, swxx, swxy = [F.col(name) for name in SUMS]
-    free_slope = F.when(F.col("x_low") < F.col("x_high"), (sw * swxy - swx * swy) / (sw * swxx - swx * swx))
+    n, sw, swx, swy, swxx, swxy = [F.col(prefix + name) for name in SUMS]
+    has_range = F.col(f"{prefix}x_low") < F.col(f"{prefix}x_high")
+    free_slope = F.when(has_range, (sw * swxy - swx * swy) / (sw * swxx - swx * swx))
     slope = F.greatest(F.coalesce(free_slope, F.lit(0.0)), F.lit(0.0))
     level = (swy - slope * swx) / sw
     return F.when(n >= min_train, level + slope * x)
@@ -124,14 +125,21 @@ def walk_forward(labels: DataFrame, coarse: int = COARSE_FOLD, min_train: int =
     All windows share the (sector, h) partitioning: the labels are shuffled
     once, and a series is as long as the calendar.
     """
+    return fill_gaps(_walked(labels, coarse, min_train))
+
+
+def _walked(labels: DataFrame, coarse: int = COARSE_FOLD, min_train: int = MIN_TRAIN, final: bool = False) -> DataFrame:
+    """Forecasts before gaps are filled; with ``final``, those of the fit on all dates beside them."""
     rows = fold_starts(sample_weights(labels), coarse)
     past = _series().orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     fold = Window.partitionBy("sector", "h", "fold_start").orderBy("i")
-    rows = rows.withColumns(_totals(_terms(), past))
+    whole = {f"all_{name}": total for name, total in _totals(_terms(), _series()).items()} if final else {}
+    rows = rows.withColumns(_totals(_terms(), past) | whole)
     rows = rows.withColumns({name: F.first(name).over(fold) for name in [*SUMS, *RANGE]})
     can_train = F.col("fold_start") >= min_train
-    forecasts = rows.withColumn("pred", F.when(can_train, line_forecast(F.col("x"), min_train)))
-    return fill_gaps(forecasts.select("sector", "date", "h", "i", "n_dates", "fold_start", "y", "pred"))
+    redone = [line_forecast(F.col("x"), min_train, "all_").alias("final_pred")] if final else []
+    pred = F.when(can_train, line_forecast(F.col("x"), min_train)).alias("pred")
+    return rows.select("sector", "date", "h", "i", "n_dates", "fold_start", "y", pred, *redone)
 
 
 def walk_forward_purged(labels: DataFrame, min_train: int = MIN_TRAIN) -> DataFrame:
@@ -160,25 +168,17 @@ def walk_forward_purged(labels: DataFrame, min_train: int = MIN_TRAIN) -> DataFr
     return fill_gaps(forecasts.select("sector", "date", "h", "y", "pred"))
 
 
-def final_forecasts(labels: DataFrame, min_train: int = MIN_TRAIN) -> DataFrame:
-    """Forecasts of one line per sector and horizon, fitted on all dates; else null."""
-    weighted = sample_weights(labels)
-    fitted = weighted.withColumns(_totals(_terms(), _series()))
-    return fitted.select("sector", "date", "h", "y", line_forecast(F.col("x"), min_train).alias("pred"))
-
-
 def final_overwrite(labels: DataFrame, recent: int = FINAL_EVENTS) -> DataFrame:
-    """Walk-forward forecasts with the latest dates redone by the final fit.
+    """Walk-forward forecasts with the latest dates redone by one line per sector and horizon, fitted on all dates.
 
     Those rows are in-sample and say so in ``source``; honest scoring must
-    leave them out. Both forecasts come from the same partitioning.
+    leave them out. Both forecasts come from one pass over one partitioning.
     """
-    rows = walk_forward(labels)
-    final = final_forecasts(labels).select("sector", "date", "h", F.coalesce("pred", F.lit(100.0)).alias("final_pred"))
+    rows = fill_gaps(_walked(labels, final=True))
     is_recent = F.col("i") >= F.col("n_dates") - recent
-    return rows.join(final, ["sector", "date", "h"]).select(
+    return rows.select(
         "sector", "date", "h", "y",
-        F.when(is_recent, F.col("final_pred")).otherwise(F.col("pred")).alias("pred"),
+        F.when(is_recent, F.coalesce("final_pred", F.lit(100.0))).otherwise(F.col("pred")).alias("pred"),
         F.when(is_recent, "final").otherwise("honest").alias("source"),
     )
 

@@ -211,7 +211,7 @@ def decision_rules(spark, sf_dir):
     return calendar.decision_rules(dt.calendar(spark, sf_dir))
 
 
-FLAGS = ["is_gold_nerf", "is_new_raid"]
+FLAGS = list(dt.FLAG_WORDS)
 
 
 def _day_features(spark, sf_dir) -> DataFrame:
@@ -371,13 +371,10 @@ def trajectory_arrays(spark, sf_dir):
 
 @query
 def forecast_choice(spark, sf_dir):
-    """Display frame of the shown event of each date."""
-    labels = _labels(spark, sf_dir)
-    events = calendar.event_lead_time(calendar.event_dedup(dt.calendar(spark, sf_dir)))
-    honest = wf.walk_forward(labels).where(F.col("fold_start") >= 3).select("sector", "date", "h", "pred")
-    live = wf.final_forecasts(labels)
-    out = evaluate.forecast_choice(events, honest, live.select("sector", "date", "h", "pred"), live)
-    return rounded(out, 3, "value")
+    """Display frame of every event; the stored forecasts cover all dates of the calendar."""
+    stored = stage_table(wf.final_overwrite(_labels(spark, sf_dir)), "stored_forecasts")
+    events = calendar.event_lead_time(dt.calendar(spark, sf_dir))
+    return rounded(evaluate.forecast_choice(events, stored, stored), 3, "value")
 
 
 @query
@@ -683,16 +680,17 @@ def json_landing(spark, sf_dir):
 
 @query
 def reaction_landing(spark, sf_dir):
-    """Reaction responses with their eight fields, written from the labels."""
+    """Reaction responses with their eight fields, written from the labels; every seventh is unreadable."""
     flag = F.when(F.col("quality") == 1, "true").otherwise("false")
     raw = F.concat(
         F.lit('```json {"is_gold_nerf": '), flag, F.lit(', "key_features": ["a", "doc '), F.col("doc_id").cast("string"),
         F.lit('"], "predicted_market_direction": "Rise", "confidence_score": '), F.col("toxic").cast("string"), F.lit("} ```"),
     )
+    raw = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("no answer for "), F.col("doc_id").cast("string"))).otherwise(raw)
     landed = enrich.reaction_landing(dt.table(spark, sf_dir, "labels").select("doc_id", raw.alias("raw")))
     return landed.select(
         "doc_id", "is_gold_nerf", "is_new_raid", F.array_join("key_features", "|").alias("key_features"),
-        "predicted_market_direction", "confidence_score",
+        "predicted_market_direction", "confidence_score", "parse_error", "raw_response",
     )
 
 
@@ -700,6 +698,7 @@ def reaction_landing(spark, sf_dir):
 def roadmap_explode(spark, sf_dir):
     out = enrich.roadmap_explode(dt.roadmap_responses(spark, sf_dir))
     keep = ["link", "pos", "date", "event_type", "title", "is_pre_announced", "announcement_date", "gem_demand", "gold_sink"]
+    keep += ["confidence_score", *enrich.ROADMAP_TEXTS]
     return out.select(*keep)
 
 
@@ -843,10 +842,7 @@ def stream_alerts(spark, sf_dir):
 
 @query
 def stream_upsert(spark, sf_dir):
-    pages = _table_stream(spark, sf_dir, "pages").where(~F.col("html").contains('lang="de"'))
-    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
-    changed = F.when(F.col("url").contains("#"), F.concat(title, F.lit(" (updated)"))).otherwise(title)
-    batches = pages.select(F.col("url").alias("link"), changed.alias("title"))
+    batches = dt.fresh_listing(_table_stream(spark, sf_dir, "pages"))
     return jobs.upsert_notices(batches, dt.stored_notices(spark, sf_dir), stage_path(spark, "upsert"))
 
 

@@ -66,7 +66,9 @@ VIEWS = {
         max(gem_demand) AS gem_demand, max(gold_inflation) AS gold_inflation, max(content_difficulty) AS content_difficulty,
         1 AS is_event_day FROM calendar GROUP BY date""",
     "day_features": """SELECT date, count(*) AS event_count, max(CASE WHEN gold_inflation >= 9 THEN 1 ELSE 0 END) AS is_gold_nerf,
-        max(CASE WHEN content_difficulty >= 8 THEN 1 ELSE 0 END) AS is_new_raid, CAST(max(gold_inflation) AS DOUBLE) AS impact_score,
+        max(CASE WHEN content_difficulty >= 8 THEN 1 ELSE 0 END) AS is_new_raid, max(CASE WHEN gold_sink >= 8 THEN 1 ELSE 0 END) AS is_t4,
+        max(CASE WHEN gem_demand >= 9 THEN 1 ELSE 0 END) AS is_gem, max(CASE WHEN event_type = 'Roadmap Item' THEN 1 ELSE 0 END) AS is_package,
+        CAST(max(gold_inflation) AS DOUBLE) AS impact_score,
         min(CASE WHEN gem_demand > 7 THEN 1 WHEN gem_demand < 3 THEN -1 ELSE 0 END) AS sentiment_score,
         arg_min(event_type, event_id) AS event_type FROM calendar GROUP BY date""",
     "chosen": """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY date
@@ -136,7 +138,7 @@ VIEWS = {
     "page_titles": "SELECT page_id, url, html, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages",
     "old_notices": "SELECT url AS link, title FROM page_titles WHERE url LIKE 'https:%'",
     "new_notices": """SELECT url AS link, CASE WHEN contains(url, '#') THEN title || ' (updated)' ELSE title END AS title
-        FROM page_titles WHERE NOT contains(html, 'lang="de"')""",
+        FROM page_titles WHERE NOT contains(html, 'lang="de"') OR url NOT LIKE 'https:%'""",
 }
 
 _NEEDS = {
@@ -290,11 +292,14 @@ ORACLE_SQL: dict[str, str] = {
     "decision_rules": _sql(_RULES, "calendar"),
     "event_feature_join": _sql(
         """SELECT t.day, item, price, feed, coalesce(f.event_count, 0) AS event_count, coalesce(is_gold_nerf, 0) AS is_gold_nerf,
-        coalesce(is_new_raid, 0) AS is_new_raid, coalesce(impact_score, 0) AS impact_score, coalesce(sentiment_score, 0) AS sentiment_score,
+        coalesce(is_new_raid, 0) AS is_new_raid, coalesce(is_t4, 0) AS is_t4, coalesce(is_gem, 0) AS is_gem, coalesce(is_package, 0) AS is_package,
+        coalesce(impact_score, 0) AS impact_score, coalesce(sentiment_score, 0) AS sentiment_score,
         coalesce(event_type, 'None') AS event_type FROM ticks t LEFT JOIN day_features f ON f.date = t.day""", "ticks", "day_features"),
     "daily_features": _sql(
         """SELECT t.day, item, avg(price) AS price, count(DISTINCT event_id) AS event_count, coalesce(max(CASE WHEN gold_inflation >= 9 THEN 1 ELSE 0 END), 0) AS is_gold_nerf,
-        coalesce(max(CASE WHEN content_difficulty >= 8 THEN 1 ELSE 0 END), 0) AS is_new_raid, coalesce(CAST(max(gold_inflation) AS DOUBLE), 0) AS impact_score,
+        coalesce(max(CASE WHEN content_difficulty >= 8 THEN 1 ELSE 0 END), 0) AS is_new_raid, coalesce(max(CASE WHEN gold_sink >= 8 THEN 1 ELSE 0 END), 0) AS is_t4,
+        coalesce(max(CASE WHEN gem_demand >= 9 THEN 1 ELSE 0 END), 0) AS is_gem, coalesce(max(CASE WHEN event_type = 'Roadmap Item' THEN 1 ELSE 0 END), 0) AS is_package,
+        coalesce(CAST(max(gold_inflation) AS DOUBLE), 0) AS impact_score,
         coalesce(min(CASE WHEN event_id IS NULL THEN NULL WHEN gem_demand > 7 THEN 1 WHEN gem_demand < 3 THEN -1 ELSE 0 END), 0) AS sentiment_score,
         coalesce(arg_min(event_type, event_id), 'None') AS event_type, CAST(isodow(t.day) - 1 AS INTEGER) AS day_of_week
         FROM ticks t LEFT JOIN calendar c ON c.date = t.day GROUP BY t.day, item""", "ticks", "calendar"),
@@ -348,13 +353,11 @@ ORACLE_SQL: dict[str, str] = {
         FROM honest""", "honest"),
     "forecast_choice": _sql(
         """SELECT event_id, s.date, sector, h, kind, source, round(value, 3) AS value, is_high FROM (
-        SELECT *, coalesce(max(CASE WHEN kind = 'predicted' AND value > 100.0 THEN 1 ELSE 0 END) OVER (PARTITION BY date, sector), 0) = 1 AS is_high FROM (
-        SELECT a.sector, a.date, a.h, CASE WHEN a.fold_start >= 3 THEN a.pred ELSE b.pred END AS value,
-        CASE WHEN a.fold_start >= 3 THEN 'honest' ELSE 'live' END AS source, 'predicted' AS kind
-        FROM honest a JOIN live b ON b.sector = a.sector AND b.date = a.date AND b.h = a.h
-        UNION ALL SELECT sector, date, h, y, 'market', 'actual' FROM live) WHERE value IS NOT NULL) s
-        JOIN (SELECT event_id, date, coalesce(date - announcement_date, 7) AS lead FROM chosen) c ON c.date = s.date
-        WHERE h >= -(lead + 5)""", "honest", "live", "chosen"),
+        SELECT *, coalesce(max(CASE WHEN kind = 'predicted' AND round(value, 6) > 100.0 THEN 1 ELSE 0 END) OVER (PARTITION BY date, sector), 0) = 1 AS is_high FROM (
+        SELECT sector, date, h, pred AS value, source, 'predicted' AS kind FROM stored
+        UNION ALL SELECT sector, date, h, y, 'market', 'actual' FROM stored) WHERE value IS NOT NULL) s
+        JOIN (SELECT event_id, date, coalesce(date - announcement_date, 7) AS lead FROM calendar) c ON c.date = s.date
+        WHERE h >= -(lead + 5)""", "stored", "calendar"),
     "directional_accuracy": _sql(
         """SELECT total, hits, actual_ups, pred_ups, true_ups, round(hits * 100.0 / total, 6) AS accuracy,
         round(true_ups * 100.0 / actual_ups, 6) AS recall, round(CASE WHEN pred_ups = 0 THEN 0 ELSE true_ups * 100.0 / pred_ups END, 6) AS "precision"
@@ -464,13 +467,16 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN ok THEN k % 10 ELSE 0 END AS confidence_score, CASE WHEN ok THEN event_type ELSE 'None' END AS target_items,
         'general_update' AS trajectory_pattern, CASE WHEN ok THEN 'None' ELSE 'Error' END AS mechanisms_applied, NOT ok AS parse_error
         FROM (SELECT *, user_id % 5 <= 2 AS ok, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INTEGER) AS k FROM events)""",
-    "reaction_landing": """SELECT doc_id, quality = 1 AS is_gold_nerf, CAST(NULL AS BOOLEAN) AS is_new_raid, 'a|doc ' || CAST(doc_id AS VARCHAR) AS key_features,
-        'Rise' AS predicted_market_direction, toxic AS confidence_score FROM labels""",
+    "reaction_landing": """SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN quality = 1 END AS is_gold_nerf, CAST(NULL AS BOOLEAN) AS is_new_raid,
+        CASE WHEN doc_id % 7 <> 0 THEN 'a|doc ' || CAST(doc_id AS VARCHAR) END AS key_features,
+        CASE WHEN doc_id % 7 <> 0 THEN 'Rise' END AS predicted_market_direction, CASE WHEN doc_id % 7 <> 0 THEN toxic END AS confidence_score,
+        doc_id % 7 = 0 AS parse_error, CASE WHEN doc_id % 7 = 0 THEN 'no answer for ' || CAST(doc_id AS VARCHAR) END AS raw_response FROM labels""",
     "roadmap_explode": """SELECT event_id AS link, 0 AS pos, CAST(ts AS DATE) AS date, 'Stream Summary' AS event_type, '[Stream Summary] Hype ' || event_type AS title,
-        false AS is_pre_announced, CAST(ts AS DATE) AS announcement_date, CAST(user_id % 11 AS INTEGER) AS gem_demand, 0 AS gold_sink
+        false AS is_pre_announced, CAST(ts AS DATE) AS announcement_date, CAST(user_id % 11 AS INTEGER) AS gem_demand, 0 AS gold_sink,
+        CAST(user_id % 10 AS INTEGER) AS confidence_score, 'None' AS package_category, 'general_update' AS trajectory_pattern, event_type AS target_items, 'Analysis' AS mechanisms_applied
         FROM events WHERE event_type <> 'error'
         UNION ALL SELECT event_id, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END, DATE '2024-03-01' + CAST(user_id % 9 AS INTEGER), 'Roadmap Item',
-        '[Roadmap Item] Next ' || CAST(user_id AS VARCHAR), true, CAST(ts AS DATE), 0, 0 FROM events""",
+        '[Roadmap Item] Next ' || CAST(user_id AS VARCHAR), true, CAST(ts AS DATE), 0, 0, 0, 'None', 'general_update', 'None', 'Analysis' FROM events""",
     "history_flatten": _sql("SELECT * FROM volume", "volume"),
     "dim_dedup": """SELECT item_id, grade, seller FROM (SELECT l_partkey AS item_id, l_returnflag AS grade, l_suppkey AS seller,
         row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_returnflag DESC) AS rn
@@ -516,3 +522,4 @@ ORACLE_SQL: dict[str, str] = {
         """SELECT event_id, e.date, sector, h, round(idx, 4) AS "index", round(idx - 100.0, 4) AS return_pct
         FROM calendar e JOIN curves c ON c.date = e.date""", "calendar", "curves"),
 }
+ORACLE_SQL["stream_alerts"] = ORACLE_SQL["news_alerts"]

@@ -157,6 +157,9 @@ def flagged_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         (F.col("gold_inflation") >= 9).cast("int").alias("is_gold_nerf"),
         (F.col("content_difficulty") >= 8).cast("int").alias("is_new_raid"),
+        (F.col("gold_sink") >= 8).cast("int").alias("is_t4"),
+        (F.col("gem_demand") >= 9).cast("int").alias("is_gem"),
+        (F.col("event_type") == "Roadmap Item").cast("int").alias("is_package"),
         F.col("gold_inflation").cast("double").alias("impact_score"),
         F.when(demand > 7, 1).when(demand < 3, -1).otherwise(0).alias("sentiment_score"),
     )
@@ -199,7 +202,8 @@ def roadmap_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored roadmap responses: lists of two events, or a lone object."""
     label = F.col("event_type")
     user = F.col("user_id").cast("string")
-    stream = F.concat(F.lit('{"event_label": "Hype '), label, F.lit('", "event_type": "Stream Summary", "gem_demand": '), (F.col("user_id") % 11).cast("string"), F.lit("}"))
+    stream = F.concat(F.lit('{"event_label": "Hype '), label, F.lit('", "event_type": "Stream Summary", "gem_demand": '), (F.col("user_id") % 11).cast("string"),
+        F.lit(', "target_items": "'), label, F.lit('", "confidence_score": '), (F.col("user_id") % 10).cast("string"), F.lit("}"))
     future = F.concat(F.lit('{"event_label": "Next '), user, F.lit('", "event_type": "Roadmap Item", "estimated_date": "2024-03-0'), (F.col("user_id") % 9 + 1).cast("string"), F.lit('"}'))
     is_list = F.col("event_type") != "error"
     raw = F.when(is_list, F.concat(F.lit("```json ["), stream, F.lit(", "), future, F.lit("] ```"))).otherwise(future)
@@ -215,8 +219,13 @@ def stored_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notice_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fresh listing: all pages not in German, some with a changed title."""
-    pages = table(spark, sf_dir, "pages").where(~F.col("html").contains('lang="de"'))
+    """A fresh listing of pages."""
+    return fresh_listing(table(spark, sf_dir, "pages"))
+
+
+def fresh_listing(pages: DataFrame) -> DataFrame:
+    """All pages but the German ones already stored, some with a changed title."""
+    pages = pages.where(~F.col("html").contains('lang="de"') | ~F.col("url").startswith("https:"))
     title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
     changed = F.when(F.col("url").contains("#"), F.concat(title, F.lit(" (updated)"))).otherwise(title)
     return pages.select(F.col("url").alias("link"), changed.alias("title"))

@@ -90,28 +90,37 @@ def daily_state(ticks: DataFrame, folder: str, lateness: str = "1 hour") -> Data
     return latest.select("day", "item", "v.*")
 
 
-def alerts(notices: DataFrame, folder: str, threshold: int = ALERT_SCORE, lateness: str = "1 day") -> DataFrame:
-    """Notices that are important at first sight; each is judged once.
+def alerts(notices: DataFrame, folder: str, threshold: int = ALERT_SCORE) -> DataFrame:
+    """Notices that are important at first sight; each is judged by its earliest copy.
 
-    ``notices`` is a stream with ``notice_id``, ``ts`` and ``score``.
+    ``notices`` is a stream with ``notice_id``, ``ts`` and ``score``. The state
+    is the first sighting of each notice, so the order of rows and of files
+    does not matter. A micro-batch writes the sightings of its own notices
+    under its number; readers take the latest version.
     """
-    fresh = (
-        notices.withColumn("ts", _wall_clock("ts"))
-        .withWatermark("ts", lateness)
-        .dropDuplicatesWithinWatermark(["notice_id"])
-        .where(F.col("score") >= threshold)
-    )
-    _start(fresh, folder, "append").format("parquet").start(f"{folder}/alerts").awaitTermination()
-    return fresh.sparkSession.read.schema(fresh.schema).parquet(f"{folder}/alerts").withColumn("ts", _plain_time("ts"))
+    spark = notices.sparkSession
+    sightings = notices.groupBy("notice_id").agg(F.min(F.struct("ts", "score")).alias("first"))
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/sightings/batch={number}")
+
+    _start(sightings, folder, "update").foreachBatch(save).start().awaitTermination()
+    versions = spark.read.parquet(f"{folder}/sightings")
+    latest = versions.groupBy("notice_id").agg(F.max_by("first", "batch").alias("first"))
+    return latest.select("notice_id", "first.*").where(F.col("score") >= threshold)
 
 
-def _latest_notices(spark: SparkSession, base: DataFrame, folder: str, before: int | None = None) -> DataFrame:
-    """Stored notices overlaid with the changes of earlier batches."""
+def _latest_notices(
+    spark: SparkSession, base: DataFrame, folder: str, before: int | None = None, links: DataFrame | None = None
+) -> DataFrame:
+    """Stored notices overlaid with the changes of earlier batches; of the given links only, if any."""
     start = base.withColumn("batch", F.lit(-1)).withColumn("status", F.lit("kept"))
     changes = spark.read.schema(start.schema).parquet(f"{folder}/changes")
     if before is not None:
         changes = changes.where(F.col("batch") < before)
     both = start.unionByName(changes)
+    if links is not None:
+        both = both.join(links, "link", "left_semi")
     rest = [c for c in both.columns if c not in ("link", "batch")]
     latest = both.groupBy("link").agg(F.max_by(F.struct(*rest), "batch").alias("v"))
     return latest.select("link", "v.*")
@@ -121,7 +130,8 @@ def upsert_notices(batches: DataFrame, base: DataFrame, folder: str) -> DataFram
     """Notice upsert per micro-batch.
 
     A batch writes its new and changed notices only, under its number; the
-    stored table is never rewritten. Later batches see earlier changes.
+    stored table is never rewritten. Later batches see earlier changes. The
+    store is cut to the batch's links before it is grouped and merged.
     """
     spark = base.sparkSession
     changed = F.col("status").isin("new", "title_changed")
@@ -129,7 +139,8 @@ def upsert_notices(batches: DataFrame, base: DataFrame, folder: str) -> DataFram
     empty.write.mode("overwrite").parquet(f"{folder}/changes/batch=-2")
 
     def merge(batch: DataFrame, number: int) -> None:
-        current = _latest_notices(spark, base, folder, before=number).drop("status")
+        links = batch.select("link").distinct()
+        current = _latest_notices(spark, base, folder, before=number, links=links).drop("status")
         merged = notice_upsert(current, batch)
         merged.where(changed).write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
 

@@ -57,6 +57,16 @@ def test_alert_is_given_once_across_batches(spark, rows):
     assert rows(out, "notice_id", "score") == [(1, 9), (3, 7)]
 
 
+def test_alerts_do_not_depend_on_arrival(spark, rows):
+    src = folder()
+    later = [(1, T(2026, 1, 1, 12), 9), (2, T(2026, 1, 1, 12), 8), (2, T(2026, 1, 1, 12), 7)]
+    earlier = [(1, T(2026, 1, 1, 10), 3), (3, T(2026, 1, 1, 9), 7)]
+    for part in (later, earlier):
+        spark.createDataFrame(part, "notice_id INT, ts TIMESTAMP_NTZ, score INT").coalesce(1).write.mode("append").parquet(f"{src}/n")
+    out = jobs.alerts(jobs.file_stream(spark, f"{src}/n", 1), folder())
+    assert rows(out) == [(2, T(2026, 1, 1, 12), 7), (3, T(2026, 1, 1, 9), 7)]
+
+
 def test_upsert_sees_earlier_batches(spark, rows):
     src = folder()
     base = spark.createDataFrame([("a", "A"), ("b", "B")], "link STRING, title STRING")

@@ -215,6 +215,13 @@ def test_lead_time_and_dedup(spark, rows):
     assert rows(calendar.event_dedup(events), "event_id") == [(2,), (4,)]
 
 
+def test_event_dedup_takes_ids_of_any_size(spark, rows):
+    top = (1 << 63) - 1
+    data = [(top, D(2026, 1, 1), 8), (top - 1, D(2026, 1, 1), 8), (5, D(2026, 1, 1), 7), (-top, D(2026, 1, 2), 0), (top, D(2026, 1, 2), None)]
+    events = spark.createDataFrame(data, "event_id BIGINT, date DATE, honing_mat_demand INT")
+    assert rows(calendar.event_dedup(events), "event_id") == [(-top,), (top - 1,)]
+
+
 def test_notice_upsert_is_idempotent(spark, rows):
     old = spark.createDataFrame([("a", "A"), ("b", "B")], "link STRING, title STRING")
     batch = spark.createDataFrame([("b", "B2"), ("c", "C"), ], "link STRING, title STRING")
