@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,6 @@ from eventide.llm import blocks
 
 _CHUNK = 16
 _LEAST_WORDS = 5
-#: Weight of words outside the vocabulary, as a share of the mean weight.
-_OTHER = 0.25
 
 
 class _Tokens(blocks.Words):
@@ -149,8 +148,8 @@ def _search(model, cosine: float, ratio: float, loose: float, size: int):
         m = model.value
         v, items = m["vocabulary"], m["items"]
         table = (m["idf"][:, None] * m["basis"]).astype(np.float32)
-        weight = np.append(m["idf"], m["rare"]) ** 2
-        queries, owner = m["queries"].astype(np.float32), m["owner"]
+        queries = m["queries"].astype(np.float32)
+        own_queries = np.flatnonzero(np.diff(m["owner"], prepend=-1))
         lengths = np.array([len(words) for words in items])
         masks = []
         for words in items:
@@ -172,30 +171,35 @@ def _search(model, cosine: float, ratio: float, loose: float, size: int):
                 inner = np.arange(int(chunks.sum())) - np.repeat(np.cumsum(chunks) - chunks, chunks)
                 row = np.repeat(np.arange(len(first)), chunks)
                 begin = first[row] + inner * _CHUNK
+                chunks_of = np.diff(np.append(begin, len(place)))
                 known = place < len(v)
                 upto = np.concatenate([[0], np.cumsum(known)])
                 latent = _chunk_sums(table, place[known], upto[begin], np.diff(np.append(upto[begin], upto[-1])))
-                norm = np.add.reduceat(weight[place], begin)
                 many = size // _CHUNK
                 reach = np.minimum(many, chunks[row] - inner)
-                whole, energy = latent.copy(), norm.copy()
+                whole = latent.copy()
                 for k in range(1, many):
                     more = np.flatnonzero(reach > k)
                     whole[more] += latent[more + k]
-                    energy[more] += norm[more + k]
                 # A passage that only ends a longer one is part of the one before.
-                live = np.flatnonzero((reach == many) | (inner == 0))
+                alive = (reach == many) | (inner == 0)
+                live = np.flatnonzero(alive)
                 scores = whole[live] @ queries.T
-                scores /= np.sqrt(np.maximum(energy[live], 1e-12))[:, None].astype(np.float32)
-                at, query = np.nonzero(scores >= cosine)
+                scores /= np.maximum(np.linalg.norm(whole[live], axis=1), 1e-12)[:, None]
+                scores = np.maximum.reduceat(scores, own_queries, axis=1)
+                # Passages that hold a leading word of an item are candidates too, whatever their cosine.
+                leads = m["lead_at"][place + 1] - m["lead_at"][place]
+                led = m["lead_items"][blocks.spans(m["lead_at"][place], leads)]
+                near_word = (np.cumsum(alive) - 1)[np.repeat(np.arange(len(chunks_of)), chunks_of)]
+                led += np.repeat(near_word, leads) * len(items)
+                at, item = np.divmod(np.unique(np.concatenate([np.flatnonzero(scores >= cosine), led])), len(items))
+                c = live[at]
                 best: dict[tuple[int, int], tuple] = {}
-                _, one = np.unique(live[at] * len(items) + owner[query], return_index=True)
-                at, c, item = at[one], live[at[one]], owner[query[one]]
                 r, n = row[c], lengths[item]
                 lo_w = np.maximum(first[r], begin[c] - n)
                 hi_w = np.minimum(first[r] + words.per_row[r], begin[c] + size + n)
                 near = _common_bound(place, lo_w, hi_w, item, m["own_keys"], m["own_counts"], len(v) + 1) >= loose * n - 1e-9
-                cos = scores[at, query[one]]
+                cos = scores[at, item]
                 for r, item, n, c, lo_w, hi_w, cos in zip(*(x[near].tolist() for x in (r, item, n, c, lo_w, hi_w, cos)), strict=True):
                     region = ids[lo_w:hi_w].tolist()
                     share = common_length(masks[item], (1 << n) - 1, region) / n
@@ -233,9 +237,10 @@ def decontaminate(
     One row per pair: ``key``, ``item``, share (of the item's words, in order), cosine, start_word, by_answer.
 
     Rows and items are TF-IDF passages of ``passage`` words over the items' vocabulary (frequencies
-    over all rows; other words only add to a passage's length, a quarter of the mean weight each). The items' passages
-    give a latent space by a distributed randomised SVD. Passages of the rows, one every 16 words,
-    whose latent cosine to an item's passage is ``cosine`` or more are candidates. There the longest common
+    over all rows). The items' passages give a latent space by a distributed randomised SVD. Passages of
+    the rows, one every 16 words, whose cosine to an item's passage within that space is ``cosine`` or more are
+    candidates, and so are all that hold one of the item's rarest words: so many are taken that no text with
+    ``loose`` of its words is without all of them, so rank and block size lose no pair. There the longest common
     subsequence with the item is taken: ``ratio`` of its words make a pair; ``loose`` of them do if the
     item's answer, its last sentence, stands there word by word.
 
@@ -254,7 +259,7 @@ def decontaminate(
     def search() -> None:
         nonlocal out
         if held:
-            out = out.unionByName(rows.mapInArrow(_search(_model(rows, held, passage, rank), cosine, ratio, loose, passage), schema))
+            out = out.unionByName(rows.mapInArrow(_search(_model(rows, held, passage, rank, loose), cosine, ratio, loose, passage), schema))
             held.clear()
 
     for r in benchmark.select(F.col(item).alias("i"), F.col(item_text).cast("string").alias("t")).toLocalIterator():
@@ -268,7 +273,7 @@ def decontaminate(
     return out.withColumnRenamed("k", key).withColumnRenamed("item", item)
 
 
-def _model(rows: DataFrame, held: list[tuple], passage: int, rank: int):
+def _model(rows: DataFrame, held: list[tuple], passage: int, rank: int, loose: float):
     """Vocabulary, weights, latent basis and query vectors of a block of items, broadcast."""
     spark = rows.sparkSession
     items = [np.array(words, np.uint64) for _, words, _ in held]
@@ -278,6 +283,15 @@ def _model(rows: DataFrame, held: list[tuple], passage: int, rank: int):
     for r in rows.mapInArrow(_frequencies(shared), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toLocalIterator():
         count[r.w] = r.n
     idf = np.log((count[-1] + 2) / (count[:-1] + 1))
+    # Leading words of an item: so many of its rarest that ``loose`` of its words cannot be without all of them.
+    leading = []
+    for words in items:
+        at = _look_up(vocabulary, words)
+        leading.append(np.unique(at[np.argsort(-idf[at], kind="stable")][: len(at) - max(1, math.ceil(loose * len(at) - 1e-9)) + 1]))
+    lead_word = np.concatenate(leading)
+    lead_order = np.argsort(lead_word, kind="stable")
+    lead_at = np.searchsorted(lead_word[lead_order], np.arange(len(vocabulary) + 2))
+    lead_items = np.repeat(np.arange(len(items)), [len(x) for x in leading])[lead_order]
     own_keys, own_counts = np.unique(
         np.concatenate([k * (len(vocabulary) + 1) + _look_up(vocabulary, words) for k, words in enumerate(items)]), return_counts=True
     )
@@ -288,6 +302,6 @@ def _model(rows: DataFrame, held: list[tuple], passage: int, rank: int):
     queries /= np.maximum(np.linalg.norm(queries, axis=1), 1e-12)[:, None]
     return spark.sparkContext.broadcast({
         "vocabulary": vocabulary, "items": [w.tolist() for w in items], "answers": [a for _, _, a in held],
-        "keys": pa.array([i for i, _, _ in held]), "idf": idf, "rare": _OTHER * float(idf.mean()), "basis": basis,
+        "keys": pa.array([i for i, _, _ in held]), "idf": idf, "basis": basis, "lead_at": lead_at, "lead_items": lead_items,
         "queries": queries, "owner": np.array([k for k, _ in pieces]), "own_keys": own_keys, "own_counts": own_counts,
     })

@@ -165,6 +165,22 @@ def test_every_verbatim_item_is_found(spark, sf_dir):
     assert expected <= {(r.doc_id, r.item_id) for r in decontaminate(docs, items).collect()}
 
 
+def test_every_verbatim_item_of_a_large_benchmark_is_found(spark):
+    """Thousands of items in one block, each standing once among foreign words or words of other items."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(20000)])
+    chosen = [words[np.minimum(rng.zipf(1.3, rng.choice([5, 9, 37, 60])) - 1 + rng.integers(0, 9000, 1), 19999)].tolist() for _ in range(3000)]
+    rows = []
+    for i, item in enumerate(chosen):
+        around = words[rng.integers(0, 20000, 80)].tolist()
+        k = int(rng.integers(0, 81))
+        rows.append((i, " ".join([*around[:k], *item, *around[k:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    items = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(chosen)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate(docs, items).collect()}
+    assert {(i, i) for i in range(len(chosen))} <= got
+
+
 def test_common_length():
     masks = {1: 0b1001, 2: 0b0010, 3: 0b0100}
     assert common_length(masks, 0b1111, [1, 9, 2, 3, 1]) == 4
