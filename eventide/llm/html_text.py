@@ -139,7 +139,8 @@ def main_text(html: str | None, sigma: float = 1.0, least: float = 1.0) -> str:
     parser = _Lines()
     parser.feed(html or "")
     lines = parser.finish()
-    if any(inside and not aside for _, _, _, aside, inside in lines):
+    article = any(inside and not aside for _, _, _, aside, inside in lines)
+    if article:
         lines = [(t, g, k, aside or not inside, inside) for t, g, k, aside, inside in lines]
     if not lines:
         return ""
@@ -151,8 +152,10 @@ def main_text(html: str | None, sigma: float = 1.0, least: float = 1.0) -> str:
     for lo, hi in zip(cut[::2], cut[1::2], strict=True):
         score[lo:hi] = _smooth(ratio[lo:hi], sigma)
     score = np.log1p(score)
-    border = min(_threshold(score), float(np.log1p(least)))
-    return "\n".join(t for (t, *_), s, r in zip(lines, score, ratio, strict=True) if s > border and r > 0)
+    border = _threshold(score)
+    if article:  # its element decides; a block in a link stays by the blocks around it
+        border = min(border, float(np.log1p(least)))
+    return "\n".join(t for (t, *_), s, r in zip(lines, score, ratio, strict=True) if s > border and (article or r > 0))
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +172,9 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     Parser events become lines, one per block. A line's ratio is its characters outside links per
     tag; navigation, headers, footers, forms, notices, adverts and reader comments, known by element or by
     the words of class, id and role, count no text, nor does what stands outside an article or main element
-    if the page has one with text. The ratios are smoothed by a Gaussian over neighbouring lines, and a cut between two clusters,
-    of one character per tag at most, selects the content.
+    if the page has one with text. The ratios are smoothed by a Gaussian over neighbouring lines, and a cut between two clusters
+    selects the content. Within an article or main element the cut is at one character per tag at most, and a block
+    that stands wholly in a link is judged by its smoothed ratio; elsewhere such a block goes.
 
     A null or empty page, and one without content, gives an empty text. Broken markup is read as far as
     events go. Null and repeated keys keep their rows. An empty table gives no rows. Other columns are ignored.

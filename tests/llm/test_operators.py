@@ -261,6 +261,19 @@ def test_main_text():
     assert main_text(plain) == "A long paragraph of text.\nMore."
 
 
+def test_linked_blocks_of_an_article_stay():
+    page = '<article><h1><a href="/x">Linked head</a></h1><p>A long paragraph of text.</p><p><a href="/y">A linked paragraph.</a></p><p>More of the text.</p></article>'
+    assert main_text(page) == "Linked head\nA long paragraph of text.\nA linked paragraph.\nMore of the text."
+
+
+def test_short_blocks_of_plain_divs_go():
+    prose = "A long sentence of the story that goes on for quite some words, as stories do. " * 3
+    teasers = "".join(f"<div><div><span>Teaser {k}</span></div></div>" for k in range(8))
+    page = f"<body><div>{teasers}</div><div><div>{prose}</div><div>{prose}</div><div>{prose}</div></div><div>{teasers}</div></body>"
+    got = main_text(page)
+    assert got.count("A long sentence") == 9 and got.count("Teaser") <= 2
+
+
 def test_pages_keep_their_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>abc</p>", "x"), (1, "u", "<p>abc", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in extract_main_text(pages).collect()) == [(0, "abc"), (1, ""), (1, "abc")]
