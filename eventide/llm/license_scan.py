@@ -43,7 +43,8 @@ def license_scan(
     if the licence is the file's own or there is none).
 
     Every line of the whole text that shares a telling word with a template is a sparse TF-IDF vector
-    (frequencies over all files; a word of no template weighs as if no file had it). Its cosine to each
+    (frequencies over all files, of a template's words and of all others). A word is telling if the
+    template's other words could not reach ``threshold`` without it or a rarer one. The line's cosine to each
     template is a join on words. The best line of ``threshold`` or more gives the file's licence. A
     licence file (LICENSE, COPYING, NOTICE) gives its own to its directory, from where it reaches all
     files below that have none, unless a nearer directory has another.
@@ -68,17 +69,23 @@ def license_scan(
     total = counts.get("", 0)
     weights = [(w, counts.get(w, 0)) for w in vocabulary]
     idf = spark.createDataFrame(weights, "w string, df long").select("w", F.log((F.lit(total) + 2) / (F.col("df") + 1)).alias("idf"))
-    unknown = F.log(F.lit(float(total + 2)))
     weighted = own.join(idf, "w").withColumn("x", F.col("n") * F.col("idf"))
     size = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
     weighted = stage_table(weighted.join(size, "template").select("w", "template", "license", (F.col("x") / F.greatest("size", F.lit(1e-12))).alias("t")), "weights")
 
-    # A word is telling if fewer than one file in ten has it; of each template the rarest word always is.
-    telling = {w for w, n in weights if n * 10 < total}
+    # A cosine is at most the length of the template over the words met. Words are telling, rarest first,
+    # until those left over are too short together to reach the threshold.
+    telling = set()
     per_template: dict[int, list] = {}
-    for r in own.collect():  # as large as the templates
-        per_template.setdefault(r.template, []).append((counts.get(r.w, 0), r.w))
-    telling |= {min(x)[1] for x in per_template.values()}
+    for r in weighted.collect():  # as large as the templates
+        per_template.setdefault(r.template, []).append((counts.get(r.w, 0), r.w, r.t * r.t))
+    for own_words in per_template.values():
+        left = sum(x[2] for x in own_words)
+        for _, w, part in sorted(own_words):
+            if left < max(threshold - 1e-6, 0.0) ** 2:
+                break
+            telling.add(w)
+            left -= part
     telling_words = F.array(*map(F.lit, sorted(telling))).cast("array<string>")
     lines = rows.where("text is not null").select("h", F.explode(F.split("text", "\n")).alias("line")).withColumn("ws", words(F.col("line")))
     lines = lines.where(F.arrays_overlap("ws", telling_words)).select("h", F.xxhash64("line").alias("l"), "ws")
@@ -87,7 +94,13 @@ def license_scan(
     terms = lines.dropDuplicates(["l"]).select("l", F.explode("ws").alias("w"))
     known_idf = F.create_map(*(F.lit(x) for w, n in weights for x in (w, math.log((total + 2) / (n + 1)))))
     terms = terms.groupBy("l", "w").agg(F.count("*").alias("n"))
-    terms = stage_table(terms.select("l", "w", (F.col("n") * F.coalesce(F.try_element_at(known_idf, F.col("w")), unknown)).alias("x")), "terms")
+    terms = stage_table(terms.withColumn("idf", F.try_element_at(known_idf, F.col("w"))), "words")
+    # The other words of these lines are counted over all files too.
+    others = terms.where("idf is null").select("w").distinct()
+    held = rows.select(F.explode(F.array_except(words(F.coalesce("text", F.lit(""))), known)).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    others = stage_table(held.join(others, "w", "left_semi").select("w", F.log((F.lit(total) + 2) / (F.col("df") + 1)).alias("other")), "others")
+    terms = terms.join(others, "w", "left").select("l", "w", (F.col("n") * F.coalesce("idf", "other")).alias("x"))
+    terms = stage_table(terms, "terms")
     size = terms.groupBy("l").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
     dots = terms.join(weighted, "w").groupBy("l", "template", "license").agg(F.sum(F.col("x") * F.col("t")).alias("dot"))
     scored = dots.join(size, "l").select("l", "license", F.round(F.col("dot") / F.greatest("size", F.lit(1e-12)), 9).alias("score"))

@@ -16,7 +16,7 @@ from eventide.llm.decontaminate import common_length, decontaminate
 from eventide.llm.embedding_dedup import embedding_dedup
 from eventide.llm.html_text import extract_main_text, main_text
 from eventide.llm.language_id import fit, language_id
-from eventide.llm.license_scan import license_scan
+from eventide.llm.license_scan import TEMPLATES, license_scan
 from eventide.llm.packing import pack
 from eventide.llm.sharding import shard_by_bytes
 from eventide.llm.simhash_dedup import simhash_dedup
@@ -204,6 +204,31 @@ def test_licences_are_matched_and_inherited(spark):
     assert license_scan(files.limit(0)).count() == 0
 
 
+def test_licence_lines_equal_brute_force(spark):
+    """Common words beside a header, and headers whose every word is common, score as TF-IDF over all files says."""
+    import math
+
+    rng = np.random.default_rng(2)
+    lines = ["Licensed under CC BY 4.0. copyright", "All rights reserved.", "Copyright all rights reserved here", "Licensed under CC BY 4.0.", "rights of all"]
+    texts = [lines[int(rng.integers(0, 5))] + "\ncopyright holder" * int(rng.integers(0, 2)) + f"\nword{i}" for i in range(400)]
+    split = [[re.findall("[a-z0-9]+", x.lower()) for x in t.split("\n")] for t in texts]
+    df = collections.Counter(w for t in split for w in {w for x in t for w in x})
+
+    def vector(ws):
+        x = {w: n * math.log((len(texts) + 2) / (df[w] + 1)) for w, n in collections.Counter(ws).items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        return {w: v / size for w, v in x.items()}
+
+    templates = [(n, vector(re.findall("[a-z0-9]+", t.lower()))) for n, t in TEMPLATES]
+    files = spark.createDataFrame([(i, f"d/{i}.txt", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.own_license, r.score) for r in license_scan(files).collect()}
+    for i, t in enumerate(split):
+        scores = [(-sum(v * y.get(w, 0) for w, v in vector(x).items()), n) for x in t if x for n, y in templates]
+        best = min(scores)
+        assert got[i][0] == (best[1] if -best[0] >= 0.6 else None)
+        assert best[0] > -0.6 or abs(got[i][1] + best[0]) < 1e-6
+
+
 def test_language_of_held_out_documents(spark, docs, sf_dir):
     real = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
