@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventide.llm.decontaminate import decontaminate
-from eventide.llm.language_id import fit, language_id
+from eventide.llm.language_id import fit, known_language
 from eventide.llm.packing import pack
 from eventide.llm.simhash_dedup import simhash_dedup
 from eventide.llm.suffix_dedup import suffix_dedup
@@ -16,10 +16,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language. One goes if it has no letter, or resembles no language (its
-    cosine to the best is negative, a score under one half). Learned from all labelled documents."""
-    found = language_id(docs.select("doc_id", "text"), fit(docs))
-    gone = found.where((F.col("lang_pred") == "und") | (F.col("score") < 0.5)).select(F.col("doc_id").alias("gone")).distinct()
+    """Documents of a known language. One goes if it has no letter, or its n-grams are not those of the
+    language it resembles most. Learned and calibrated on all labelled documents."""
+    found = known_language(docs, fit(docs))
+    gone = found.where(~F.col("known")).select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(COLUMNS)
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventide.llm import blocks
+from eventide.session import stage_table
 
 _LETTERS = 1024
 _state: dict = {}
@@ -118,16 +119,17 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", n: int = 3, dim
     names = sorted(learned)
     mean = sum((learned[k] / np.linalg.norm(learned[k]) for k in names), np.zeros(dim)) / max(1, len(names))
     own = [learned[k] / np.linalg.norm(learned[k]) - mean * (len(names) > 1) for k in names]
-    return {"names": names, "n": n, "dim": dim, "mean": mean if len(names) > 1 else mean * 0, "vectors": np.array([v / max(np.linalg.norm(v), 1e-12) for v in own]).reshape(len(names), dim)}
+    whole = np.array([learned[k] / np.linalg.norm(learned[k]) for k in names]).reshape(len(names), dim)
+    return {"whole": whole, "names": names, "n": n, "dim": dim, "mean": mean if len(names) > 1 else mean * 0, "vectors": np.array([v / max(np.linalg.norm(v), 1e-12) for v in own]).reshape(len(names), dim)}
 
 
-def _predict(model):
+def _predict(model, likeness: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         letters = _letters(m["dim"])
         names = np.array([*m["names"], "und"], object)
         for batch in batches:
-            pred, score = [], []
+            pred, score, alike = [], [], []
             for a, b, texts in _blocks(batch):
                 out, count = _bundles(texts, m["n"], letters)
                 size = np.linalg.norm(out, axis=1)
@@ -141,9 +143,15 @@ def _predict(model):
                 else:
                     best, top = np.zeros(b - a, int), np.zeros(b - a)
                 pred += names[np.where(known, best, len(m["names"]))].tolist()
+                if likeness:
+                    own = (out * m["whole"][best]).sum(axis=1) if m["names"] else top
+                    alike += zip((own / np.maximum(count, 1)).tolist(), np.where(known, count, 0).tolist(), strict=True)
                 score += np.where(known, np.clip((1 + top) / 2, 0, 1), 0.0).tolist()
             others = [batch.column(c) for c in batch.schema.names if c != "t"]
-            yield pa.RecordBatch.from_arrays([*others, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*(c for c in batch.schema.names if c != "t"), "lang_pred", "score"])
+            found = {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64())}
+            if likeness:
+                found |= {"alike": pa.array([x for x, _ in alike], pa.float64()), "letters": pa.array([n for _, n in alike], pa.int64())}
+            yield pa.RecordBatch.from_arrays([*others, *found.values()], [*(c for c in batch.schema.names if c != "t"), *found])
 
     return run
 
@@ -170,3 +178,24 @@ def language_id(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
     return rows.mapInArrow(_predict(shared), f"k {kind}, lang_pred string, score double").withColumnRenamed("k", key)
+
+
+def known_language(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", lang: str = "lang", share: float = 0.6) -> DataFrame:
+    """Whether each row's text is in a language of the model: ``key``, lang_pred, known.
+
+    A text's likeness is the mean product of its n-grams with the prototype of its language, the mean not
+    taken off. It does not depend on the text's length, only its spread does, which falls with the root of
+    its letters. Median and spread of each language come from all rows with that language. A text is known
+    if it reaches ``share`` of the median, two deviations allowed; one without a letter is not.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    kind = rows.schema["k"].dataType.simpleString()
+    found = stage_table(rows.mapInArrow(_predict(shared, True), f"k {kind}, lang string, lang_pred string, score double, alike double, letters long"), "likeness")
+    right = found.where("lang = lang_pred and letters > 0")
+    middle = right.groupBy("lang_pred").agg(F.percentile_approx("alike", 0.5, 10000).alias("middle"))
+    off = F.abs(F.col("alike") - F.col("middle")) * F.sqrt("letters")
+    spread = right.join(middle, "lang_pred").groupBy("lang_pred", "middle").agg((1.4826 * F.percentile_approx(off, 0.5, 10000)).alias("spread"))
+    enough = F.col("alike") + 2 * F.col("spread") / F.sqrt(F.greatest("letters", F.lit(1))) >= share * F.col("middle")
+    judged = found.join(spread, "lang_pred", "left")
+    return judged.select(F.col("k").alias(key), "lang_pred", ((F.col("letters") > 0) & F.coalesce(enough, F.lit(False))).alias("known"))

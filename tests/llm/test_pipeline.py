@@ -47,3 +47,14 @@ def test_leaks_go_and_clean_documents_stay(spark, steps, sf_dir):
 
 def test_every_document_is_packed(steps):
     assert {r.doc_id for r in steps[4].collect()} == {r.doc_id for r in steps[5].collect()}
+
+
+def test_foreign_and_gibberish_documents_go(spark, sf_dir):
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").select(corpus_pipeline.COLUMNS)
+    foreign = "Jokainen ihminen syntyy vapaana ja tasavertaisena arvoltaan ja oikeuksiltaan sekä hänelle on annettu järki ja omatunto " * 3
+    odd = [(900001, foreign), (900002, "qxzv wkjq zzxq vbnq kqxj xwvq jjkz qpxw zvkq xqjw " * 8), (900003, "123 ### 456")]
+    added = spark.createDataFrame([(d, t, None, "x", len(t)) for d, t in odd], real.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, real.unionByName(added), sf_dir).collect()}
+    assert kept.isdisjoint({900001, 900002, 900003})
+    clean = {r.doc_id for r in real.collect() if r.lang and sum(c.isalpha() for c in r.text or "") > 40}
+    assert len(kept & clean) >= 0.97 * len(clean)
