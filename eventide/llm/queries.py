@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from eventide.llm.conversation_repair import repair_conversations
 from eventide.llm.decontaminate import decontaminate
 from eventide.llm.embedding_dedup import embedding_dedup
 from eventide.llm.html_text import extract_main_text
 from eventide.llm.language_id import fit, held_out, language_id
 from eventide.llm.license_scan import license_scan
 from eventide.llm.packing import pack
+from eventide.llm.secret_scan import secret_scan
 from eventide.llm.sharding import shard_by_bytes
 from eventide.llm.simhash_dedup import simhash_dedup
 from eventide.llm.substring_dedup import substring_dedup
 from eventide.llm.suffix_dedup import suffix_dedup
+from eventide.llm.vector_codes import code_text, codebooks_sha256, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,11 +78,44 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults by the checksum of key and turn; rows that it drops stay with ``present`` false."""
+    words = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    fate = F.pmod(F.crc32(F.concat_ws(":", words["conv_id"], words["turn"]).cast("binary")), F.lit(20))
+    rows = conversations.select("conv_id", "turn", words["role"].alias("role"), words["text"].alias("text"), fate.alias("fate"))
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fate") == 4, "user").otherwise(F.col("role"))
+    copies = F.when(F.col("fate") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    rows = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("fate") != 0).alias("present"), F.explode(copies).alias("copy"))
+    return rows.drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repair_conversations(damaged(_table(spark, sf_dir, "conversations")), present="present")
+    return out.drop("n_rows")
+
+
+def span_text(spans: str) -> Column:
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan(_table(spark, sf_dir, "documents"))
+    digest = F.sha2(span_text("base").cast("binary"), 256).alias("base_sha256")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", digest, span_text("spans").alias("spans"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vector_codes(_table(spark, sf_dir, "embeddings"))
+    digest = F.lit(codebooks_sha256(books)).alias("codebooks_sha256")
+    return out.select("vec_id", code_text(F.col("codes")).alias("code"), "error", "label_error", digest)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_suffix_array_dedup, op3_packing, op4_sharding, op5_decontamination, op6_license_scan, op7_language_id,
-        op8_embedding_dedup, op9_html_extraction, op10_simhash_dedup,
+        op8_embedding_dedup, op9_html_extraction, op10_simhash_dedup, op11_conversation_repair, op12_secret_scan, op13_vector_codes,
     )
 }
 
