@@ -17,6 +17,9 @@ SECTOR_BASKETS = {
 WEIGHT_SCORE = {"Honing": "honing_mat_demand", "Gem": "gem_demand", "Engraving": "honing_mat_demand"}
 MONOTONE_SCORE = {"Honing": "honing_mat_demand", "Gem": "gem_demand", "Engraving": "gem_demand"}
 
+# Scores that may only raise a sector's index.
+RISING_SCORES = {"Honing": ["honing_mat_demand", "content_difficulty"], "Gem": ["gem_demand"], "Engraving": ["gem_demand"]}
+
 SECTOR_FEATURES = ["honing_mat_demand", "gem_demand", "gold_inflation", "content_difficulty"]
 FRAME_FEATURES = [
     "honing_mat_demand", "gem_demand", "gold_inflation", "content_difficulty",
@@ -24,6 +27,8 @@ FRAME_FEATURES = [
     "is_honing_mat", "is_gem", "is_engraving", "is_consumable", "is_other",
 ]
 
+SCENARIO_FEATURES = [*FRAME_FEATURES, "honing_mat_supply", "gem_supply"]
+
 # Item classes; the first class with a matching substring wins, else "other".
 ITEM_CLASSES = [
     ("honing_mat", ["명파", "오레하", "파괴석", "수호석", "돌파석"]),

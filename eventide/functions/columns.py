@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -80,11 +82,29 @@ def strip_tags(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), r"\s+", " "))
 
 
+def code_point(number: Column) -> Column:
+    """The character of a code point; null for a number that stands for none."""
+    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+
+
 def unescape_entities(text: Column) -> Column:
-    """The named entities that occur in notice texts; '&amp;' goes last."""
-    for entity, char in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Character references as characters: the named ones of HTML 4, and decimal and hexadecimal numbers.
+
+    Each distinct reference of a text is replaced once, '&amp;' last, so that nothing is decoded
+    twice. What names no character stays.
+    """
+    names = F.create_map(*[F.lit(x) for name, code in sorted({**name2codepoint, "apos": 39}.items()) for x in (name, " " if name == "nbsp" else chr(code))])
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&(?:[a-zA-Z][a-zA-Z0-9]*|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
+    found = F.filter(found, lambda e: e != "&amp;")
+
+    def char(entity: Column) -> Column:
+        body = F.substring(entity, 2, 12).substr(F.lit(1), F.char_length(entity) - 2)
+        number = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10)).when(body.startswith("#"), F.substring(body, 2, 8)).cast("bigint")
+        return F.coalesce(F.when(body.startswith("#"), code_point(number)).otherwise(F.try_element_at(names, body)), entity)
+
+    out = F.aggregate(found, text, lambda t, e: F.replace(t, e, char(e)))
+    return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
 def text_lines(html: Column) -> Column:
@@ -107,6 +127,11 @@ def year_near(anchor: Column, month: Column) -> Column:
     )
 
 
+def intraday_features(ts: Column) -> dict[str, Column]:
+    """Hour of day and day of week, Monday 0."""
+    return {"hour": F.hour(ts), "day_of_week": F.weekday(ts)}
+
+
 def weekday_features(day: Column) -> dict[str, Column]:
     """Monday is 0; Wednesday is the weekly reset day."""
     weekday = F.weekday(day)

@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventide.fixed_values import SPIKE_FACTOR, SPIKE_KEPT_SHARE, STRONG_SCORE, TIER_MAPPING, WIN_RETURN_PCT
+from eventide.fixed_values import BETA_ITEMS, SPIKE_FACTOR, SPIKE_KEPT_SHARE, STRONG_SCORE, TIER_MAPPING, WIN_RETURN_PCT
 
 
 def strong_dates(events: DataFrame, score: str = "honing_mat_demand", threshold: int = STRONG_SCORE) -> DataFrame:
@@ -19,6 +19,12 @@ def strong_dates(events: DataFrame, score: str = "honing_mat_demand", threshold:
     return events.where(F.col(score) >= threshold).groupBy("date").agg(F.count(F.lit(1)).alias("n_events"))
 
 
+def listed_items(prices: DataFrame, items: list[str] = BETA_ITEMS) -> DataFrame:
+    """Prices of the items on the hand-kept list; the filter goes before any window, and to the scan where it can.
+    Listed items without prices simply do not appear."""
+    return prices.where(F.col("item").isin(items))
+
+
 def price_windows(prices: DataFrame, days_ahead: int = 14) -> DataFrame:
     """Base price and forward window of every (item, date) that can have a base.
 

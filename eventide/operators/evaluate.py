@@ -67,7 +67,9 @@ def horizon_errors(forecasts: DataFrame) -> DataFrame:
     return error_metrics(forecasts, ["sector", "h"], "y", "pred").withColumn("avg_rmse", F.avg("rmse").over(sector))
 
 
-def forecast_choice(events: DataFrame, stored: DataFrame, actuals: DataFrame, margin_days: int = 5) -> DataFrame:
+def forecast_choice(
+    events: DataFrame, stored: DataFrame, actuals: DataFrame, margin_days: int = 5, live: DataFrame | None = None
+) -> DataFrame:
     """Display frame of each event: forecast and outcome by horizon.
 
     The stored forecast is shown with its ``source``; a horizon without one
@@ -75,10 +77,19 @@ def forecast_choice(events: DataFrame, stored: DataFrame, actuals: DataFrame, ma
     forecast. The frame starts a few days before the announcement. ``is_high``
     marks events whose forecast exceeds 100, to six digits, at some horizon of
     the sector; it is found once per date, before the events join.
+
+    Sectors and dates without a stored forecast take that of the ``live`` model, if given: such an event
+    is not in the history yet. Horizons without a model stay absent.
     """
     predicted = stored.where(F.col("pred").isNotNull()).select(
         "sector", "date", "h", F.col("pred").alias("value"), "source", F.lit("predicted").alias("kind")
     )
+    if live is not None:
+        known = stored.select("sector", "date").distinct()
+        fresh = live.where(F.col("pred").isNotNull()).join(known, ["sector", "date"], "left_anti")
+        predicted = predicted.unionByName(
+            fresh.select("sector", "date", "h", F.col("pred").alias("value"), F.lit("live").alias("source"), F.lit("predicted").alias("kind"))
+        )
     actual = actuals.where(F.col("y") != 0).select(
         "sector", "date", "h", F.col("y").alias("value"), F.lit("market").alias("source"), F.lit("actual").alias("kind")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventide import fixed_values as fixed
 from eventide.functions.columns import strip_tags, text_lines, year_near
+from eventide.session import stage_table
 
 
 def _group_or(text: Column, pattern: str, group: int, placeholder: str | None) -> Column:
@@ -144,7 +145,7 @@ def post_date(shown: Column, year: Column, crawled_at: Column) -> Column:
 
 
 def board_years(
-    listing: DataFrame, anchor_year: Column, block_rows: int = 1_000_000, order: list[str] = ("pos",), block: Column | None = None
+    listing: DataFrame, anchor_year: Column, block_rows: int | None = None, order: list[str] = ("pos",), block: Column | None = None
 ) -> DataFrame:
     """Years of 'MM-dd' dates in a listing that runs from new to old.
 
@@ -155,12 +156,18 @@ def board_years(
     about the year and are passed over.
 
     The running count is taken in two levels, so no task holds a whole board:
-    within blocks, then over one summary row per block. ``block`` must not fall
-    along the order; by default a block is ``block_rows`` places of ``pos``.
+    within blocks, then over one summary row per block and board. By default the rows are
+    dealt by range of board and place, whatever gaps the places have, and a block is one such
+    partition; a board of a third of all rows spreads over a third of them. ``block_rows``
+    takes blocks of so many places of ``pos`` instead, ``block`` any number that does not fall along the order.
     """
-    block = F.floor(F.col("pos") / block_rows) if block is None else block
     day = F.when(F.col("month_day").rlike(r"^\d{2}-\d{2}$"), F.col("month_day"))
-    rows = listing.withColumns({"block": block, "listed_day": day})
+    rows = listing.withColumn("listed_day", day)
+    if block is not None or block_rows is not None:
+        rows = rows.withColumn("block", F.floor(F.col("pos") / block_rows) if block is None else block)
+    else:
+        ranged = rows.repartitionByRange("board", *order).withColumn("block", F.spark_partition_id())
+        rows = stage_table(ranged, "listing-ranges")
     in_block = Window.partitionBy("board", "block").orderBy(*order)
     earlier = in_block.rowsBetween(Window.unboundedPreceding, -1)
     crossed = F.coalesce((F.col("listed_day") > F.last("listed_day", ignorenulls=True).over(earlier)).cast("int"), F.lit(0))

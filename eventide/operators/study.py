@@ -40,15 +40,18 @@ def sector_index(
     )
 
 
-def date_curves(index: DataFrame, horizons: list[int] = HORIZONS, digits: int | None = None) -> DataFrame:
+def date_curves(
+    index: DataFrame, horizons: list[int] = HORIZONS, digits: int | None = None, dates: DataFrame | None = None
+) -> DataFrame:
     """Index at each horizon around each date, with the date itself at 100.
 
     One row per date, holding an array of (sector, h, index, return_pct): at
     most sectors x horizons elements. The size depends on the calendar alone,
     so anything done to every point, like rounding, is done here and not once
-    per event.
+    per event. Only the given ``dates`` get a curve, if any are given.
     """
-    targets = index.select(
+    bases = index if dates is None else index.join(dates, "date", "left_semi")
+    targets = bases.select(
         "sector", "date", F.col("price").alias("base"), F.explode(F.lit(horizons)).alias("h")
     ).withColumn("target", F.date_add("date", F.col("h")))
     at_target = index.select("sector", F.col("date").alias("target"), F.col("price").alias("then"))

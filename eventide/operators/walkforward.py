@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.fixed_values import COARSE_FOLD, FINAL_EVENTS, HORIZONS, MIN_TRAIN, MONOTONE_SCORE, WEIGHT_SCORE
+from eventide.functions.linear import lower_hull
 
 SUMS = {
     "s_n": lambda w, x, y: F.lit(1.0),
@@ -183,6 +184,11 @@ def final_overwrite(labels: DataFrame, recent: int = FINAL_EVENTS) -> DataFrame:
     )
 
 
+def live_forecasts(labels: DataFrame) -> DataFrame:
+    """Forecasts of the final lines, fitted on all dates; null where a series has too few, as nothing is filled."""
+    return _walked(labels, final=True).select("sector", "date", "h", F.col("final_pred").alias("pred"))
+
+
 def trajectory_arrays(forecasts: DataFrame) -> DataFrame:
     """One row per sector and date with the forecasts as an array in horizon order."""
     points = F.sort_array(F.collect_list(F.struct("h", "pred")))
@@ -194,36 +200,25 @@ def trajectory_arrays(forecasts: DataFrame) -> DataFrame:
 def isotonic_levels(labels: DataFrame) -> DataFrame:
     """Non-decreasing effect of the score on the index, per sector and horizon.
 
-    Rows are first reduced to weighted means per score level. The isotonic fit
-    of a level is the greatest, over lower starts, of the least weighted mean
-    up to any higher end. Scores have 11 levels, so each series is that small
-    whatever the number of events.
+    Rows are first reduced to weighted means per score level. Levels whose means fall are pooled: the
+    fitted means are the slopes of the lower hull of the running sums, built by one fold over the
+    levels of a series with a stack, so a series of n levels takes n log n steps.
     """
     weighted = sample_weights(labels).where(F.col("y").isNotNull())
     levels = weighted.groupBy("sector", "h", "x").agg(
         F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy")
     )
-    packed = levels.groupBy("sector", "h").agg(F.sort_array(F.collect_list(F.struct("x", "w", "wy"))).alias("lv"))
-    level = F.col("lv")
-    size = F.size(level)
-
-    def total(field: str, start: Column, end: Column) -> Column:
-        return F.aggregate(F.slice(level, start, end - start + 1), F.lit(0.0), lambda acc, p: acc + p[field])
-
-    def mean(start: Column, end: Column) -> Column:
-        return total("wy", start, end) / total("w", start, end)
-
-    def fit(k: Column) -> Column:
-        return F.array_max(
-            F.transform(
-                F.sequence(F.lit(1), k),
-                lambda i: F.array_min(F.transform(F.sequence(k, size), lambda j: mean(i, j))),
-            )
-        )
-
-    fits = F.transform(F.sequence(F.lit(1), size), fit)
-    zipped = F.arrays_zip(level.alias("level"), fits.alias("fit"))
-    return packed.select("sector", "h", F.explode(zipped).alias("z")).select(
-        "sector", "h", F.col("z.level.x").alias("score"), F.col("z.level.w").alias("weight"),
-        (F.col("z.level.wy") / F.col("z.level.w")).alias("mean_index"), F.col("z.fit").alias("isotonic_index"),
+    upto = Window.partitionBy("sector", "h").orderBy("x")
+    levels = levels.withColumns({"k": F.row_number().over(upto), "sw": F.sum("w").over(upto), "swy": F.sum("wy").over(upto)})
+    point = F.struct("k", F.col("sw").alias("x"), F.col("swy").alias("y"), F.col("x").alias("score"), "w", "wy")
+    packed = levels.groupBy("sector", "h").agg(F.sort_array(F.collect_list(point)).alias("levels"))
+    origin = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("w"), F.lit(0.0).alias("wy"))
+    packed = packed.withColumn("hull", lower_hull(F.concat(F.array(origin), "levels")))
+    ends = packed.select("sector", "h", "levels", F.explode(F.arrays_zip(F.slice("hull", F.lit(1), F.size("hull") - 1).alias("a"), F.slice("hull", F.lit(2), F.size("hull") - 1).alias("b"))).alias("e"))
+    a, b = F.col("e.a"), F.col("e.b")
+    pooled = F.slice("levels", a["k"] + 1, b["k"] - a["k"])
+    blocks = ends.select("sector", "h", ((b["y"] - a["y"]) / (b["x"] - a["x"])).alias("isotonic_index"), F.explode(pooled).alias("level"))
+    return blocks.select(
+        "sector", "h", F.col("level.score").alias("score"), F.col("level.w").alias("weight"),
+        (F.col("level.wy") / F.col("level.w")).alias("mean_index"), "isotonic_index",
     )

@@ -12,13 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.fixed_values import FRAME_FEATURES, SECTOR_FEATURES, TYPE_LABELS
-from eventide.functions.columns import number_or
-from eventide.operators import bars, beta, calendar, enrich, evaluate, extract, ingest, models, season, study
+from eventide.fixed_values import FRAME_FEATURES, SCENARIO_FEATURES, SECTOR_FEATURES, TYPE_LABELS
+from eventide.functions.columns import intraday_features, number_or
+from eventide.operators import bars, beta, calendar, enrich, evaluate, extract, ingest, models, season, sector_models, study
 from eventide.operators import walkforward as wf
 from eventide.session import stage_path, stage_table
 from eventide.sources import driver_tables as dt
-from eventide.sources import readers
+from eventide.sources import readers, sinks
 from eventide.streaming import jobs
 from eventide import schemas
 
@@ -59,6 +59,31 @@ def daily_bars(spark, sf_dir):
     return rounded(bars.daily_bars(dt.ticks(spark, sf_dir)), 4, "price_std")
 
 
+@query
+def tick_store(spark, sf_dir):
+    """Daily sums per part and item from the bucketed store: no exchange between the scans and the join or the sums."""
+    ticks, items = dt.tick_store(spark, sf_dir, stage_path(spark, "tick_store"))
+    joined = ticks.hint("merge").join(items, "part")
+    return joined.groupBy("part", "item", "day").agg(F.sum("price").alias("price_sum"), F.count(F.lit(1)).alias("tick_count"))
+
+
+@query
+def tick_months(spark, sf_dir):
+    """Bars of one year from ticks stored by month, of which other months are not read."""
+    path = stage_path(spark, "tick_months")
+    sinks.write_ticks_by_month(dt.ticks(spark, sf_dir).select("item", "day", "price"), path)
+    year = spark.read.parquet(path).where((F.col("month") >= "1996-01") & (F.col("month") <= "1996-12"))
+    return rounded(bars.daily_bars(year), 4, "price_std")
+
+
+@query
+def price_file(spark, sf_dir):
+    """Daily prices through the sorted CSV sink and back, with the schema that readers declare."""
+    path = stage_path(spark, "price_file")
+    sinks.write_sorted_csv(_prices(spark, sf_dir).select("item", "day", "price", "trade_count"), path, ["item", "day"])
+    return spark.read.schema("item string, day date, price double, trade_count bigint").option("header", True).csv(path)
+
+
 @query
 def family_daily(spark, sf_dir):
     return bars.family_daily(dt.ticks(spark, sf_dir), "AR")
@@ -299,6 +324,14 @@ def item_betas(spark, sf_dir):
     return rounded(_betas(spark, sf_dir), 4, "avg_return", "win_rate").orderBy(F.desc("avg_return"), "item")
 
 
+@query
+def listed_betas(spark, sf_dir):
+    """Betas of the items on the hand-kept list, some of which have no prices."""
+    windows = beta.price_windows(beta.listed_items(bars.daily_prices(dt.ticks(spark, sf_dir)), dt.LISTED_ITEMS))
+    out = beta.item_betas(beta.event_returns(windows, beta.strong_dates(dt.calendar(spark, sf_dir))))
+    return rounded(out, 4, "avg_return", "win_rate")
+
+
 @query
 def tier_picks(spark, sf_dir):
     out = beta.tier_picks(_betas(spark, sf_dir), beta.tier_mapping_table(spark, dt.TIERS))
@@ -311,6 +344,13 @@ def hourly_deviation(spark, sf_dir):
     return rounded(hours, 6, "avg_deviation_pct")
 
 
+@query
+def tick_hours(spark, sf_dir):
+    """Hour and weekday of every intraday tick."""
+    ticks = dt.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("item"), "ts")
+    return ticks.withColumns(intraday_features(F.col("ts"))).drop("ts")
+
+
 @query
 def best_hours(spark, sf_dir):
     best = season.best_hours(season.hourly_deviation(dt.intraday_ticks(spark, sf_dir)))
@@ -377,6 +417,17 @@ def forecast_choice(spark, sf_dir):
     return rounded(evaluate.forecast_choice(events, stored, stored), 3, "value")
 
 
+@query
+def forecast_live(spark, sf_dir):
+    """Display frame where the stored history ends early: later events take the live model's forecast."""
+    labels = _labels(spark, sf_dir)
+    kept = stage_table(wf.final_overwrite(labels), "stored_forecasts")
+    stored = kept.where(F.col("date") < F.lit("1998-01-01").cast("date"))
+    live = stage_table(wf.live_forecasts(labels), "live_forecasts")
+    events = calendar.event_lead_time(dt.calendar(spark, sf_dir))
+    return rounded(evaluate.forecast_choice(events, stored, kept, live=live), 3, "value")
+
+
 @query
 def directional_accuracy(spark, sf_dir):
     forecasts = wf.final_overwrite(_labels(spark, sf_dir)).where((F.col("sector") == "Honing") & (F.col("h") == 7))
@@ -397,6 +448,43 @@ def horizon_errors(spark, sf_dir):
     return rounded(out, 4, "rmse", "mae", "avg_rmse")
 
 
+def _feature_labels(spark, sf_dir) -> DataFrame:
+    """Labels with all event scores, as a stage table."""
+    events = calendar.event_dedup(dt.calendar(spark, sf_dir)).select("date", *SECTOR_FEATURES)
+    return stage_table(sector_models.feature_labels(events, _curves(spark, sf_dir)), "feature_labels")
+
+
+@query
+def walk_forward_grams(spark, sf_dir):
+    """Normal equations of every fold: weighted sums over all earlier dates."""
+    rows = sector_models.fold_grams(_feature_labels(spark, sf_dir))
+    names = list(sector_models.gram_terms(len(SECTOR_FEATURES)))
+    out = rows.select("sector", "h", "fold_start", *names).dropDuplicates(["sector", "h", "fold_start"])
+    return rounded(rounded(out, 0, *[n for n in names if n.endswith("y")]), 2, *[n for n in names if not n.endswith("y")])
+
+
+@query
+def walk_forward_lines(spark, sf_dir):
+    """Past-only forecasts by all four scores."""
+    out = sector_models.walk_forward_lines(_feature_labels(spark, sf_dir))
+    return rounded(out.select("sector", "date", "h", "fold_start", "pred"), 3, "pred")
+
+
+@query
+def sector_first_trees(spark, sf_dir):
+    """Leaves of the first tree of each sector and horizon."""
+    series = sector_models.boosted_series(_feature_labels(spark, sf_dir), trees=1)
+    return sector_models.leaf_table(series).withColumn("gives", F.round("gives", 6) + 0.0)
+
+
+@query
+def sector_trees(spark, sf_dir):
+    """Forecasts of the final trees, one monotone model for each sector and horizon."""
+    labels = _feature_labels(spark, sf_dir)
+    series = stage_table(sector_models.boosted_series(labels), "sector_trees")
+    return sector_models.boosted_forecasts(series, labels)
+
+
 @query
 def isotonic_fit(spark, sf_dir):
     out = wf.isotonic_levels(_labels(spark, sf_dir))
@@ -406,31 +494,56 @@ def isotonic_fit(spark, sf_dir):
 # ---------------------------------------------------------------------- models
 
 
-def _scored_frame(spark, sf_dir) -> DataFrame:
-    """Training frame with classes and excess returns, as a stage table."""
+def _frames(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Training frame, whole, and with classes and excess returns, outliers trimmed; both as stage tables."""
     frame = stage_table(_training_frame(spark, sf_dir), "training_frame")
     excess = season.excess_return(frame, season.seasonality(frame))
-    return stage_table(season.category_onehot(excess, "item", dt.CLASSES), "scored_frame")
+    return frame, stage_table(season.category_onehot(excess, "item", dt.CLASSES), "scored_frame")
 
 
-@query
-def backtest_last_event(spark, sf_dir):
-    frame = _scored_frame(spark, sf_dir)
-    rows = models.backtest_rows(frame)
+def _scored_frame(spark, sf_dir) -> DataFrame:
+    return _frames(spark, sf_dir)[1]
+
+
+def _backtest_errors(frame: DataFrame, rows: DataFrame) -> DataFrame:
+    """Errors of a backtest beside the sizes of the whole frame, which has one row of them."""
     errors = evaluate.error_metrics(rows, ["day"], "excess_return", "predicted_excess")
     sizes = frame.agg(
         F.countDistinct(F.when(F.col("is_event_day") == 1, F.col("day"))).alias("event_days"),
         F.countDistinct("item").alias("items"),
         F.count(F.lit(1)).alias("frame_rows"),
     )
-    columns = [F.lit(sizes.select(c).scalar()).alias(c) for c in sizes.columns]
+    one = sizes.select(F.struct("*")).scalar()
+    columns = [one[c].alias(c) for c in ("event_days", "items", "frame_rows")]
     return rounded(errors.select("day", "rmse", "mae", F.col("n").alias("test_rows"), *columns), 6, "rmse", "mae")
 
 
+@query
+def backtest_last_event(spark, sf_dir):
+    frame, scored = _frames(spark, sf_dir)
+    return _backtest_errors(frame, models.backtest_rows(scored, models.last_event_day(frame)))
+
+
+@query
+def backtest_features(spark, sf_dir):
+    """Errors of the backtest by one line over all twelve features of the frame."""
+    frame, scored = _frames(spark, sf_dir)
+    return _backtest_errors(frame, models.backtest_features(scored, models.last_event_day(frame), FRAME_FEATURES))
+
+
+@query
+def backtest_feature_rows(spark, sf_dir):
+    """The same forecasts, item by item."""
+    frame, scored = _frames(spark, sf_dir)
+    out = models.backtest_features(scored, models.last_event_day(frame), FRAME_FEATURES)
+    return rounded(out, 6, "predicted_excess", "excess_return", "error")
+
+
 @query
 def top_movers(spark, sf_dir):
-    rows = stage_table(models.backtest_rows(_scored_frame(spark, sf_dir)), "backtest_rows")
-    return rounded(models.top_movers(rows), 6, "predicted_excess", "excess_return", "error")
+    frame, scored = _frames(spark, sf_dir)
+    rows = stage_table(models.backtest_rows(scored, models.last_event_day(frame)), "backtest_rows")
+    return rounded(models.top_movers(rows), 6, "predicted_excess", "excess_return", "error").drop("train_rows")
 
 
 CLASS_LABELS = [label for label, _ in dt.CLASSES] + ["other"]
@@ -440,13 +553,26 @@ CLASS_LABELS = [label for label, _ in dt.CLASSES] + ["other"]
 def scenario_scores(spark, sf_dir):
     """Every event day as a scenario; the ten best items for each, by fitted lines."""
     frame = _scored_frame(spark, sf_dir)
-    lines = models.fit_lines(models.recency_weights(frame), ["category"], "honing_mat_demand", "excess_return")
+    train = models.recency_weights(frame)
+    lines, pooled = (models.fit_lines(train, by, "honing_mat_demand", "excess_return") for by in (["category"], []))
     scenarios = calendar.daily_events(dt.calendar(spark, sf_dir)).select("date", "honing_mat_demand")
-    scored = models.line_scores(models.class_grid(scenarios, CLASS_LABELS), lines)
+    scored = models.line_scores(models.class_grid(scenarios, CLASS_LABELS), lines, pooled)
     out = models.rank_items(scored, frame.select("item", "category").distinct(), "date")
     return rounded(out, 6, "predicted_excess_return", "score")
 
 
+@query
+def scenario_feature_scores(spark, sf_dir):
+    """The same ranking by one line over all fourteen features; the supply scores, which no frame holds, count as 0."""
+    frame = _scored_frame(spark, sf_dir)
+    model = stage_table(models.ridge_line(models.recency_weights(frame), SCENARIO_FEATURES, "excess_return"), "scenario_line")
+    days = calendar.daily_events(dt.calendar(spark, sf_dir))
+    grid = models.class_grid(days.withColumn("is_weekend", (F.weekday("date") >= 5).cast("int")), CLASS_LABELS)
+    scored = models.ridge_scores(models.scenario_vectors(grid), model).withColumn("predicted_excess_return", F.round("predicted_excess_return", 8))
+    out = models.rank_items(scored.select("date", "category", "predicted_excess_return"), frame.select("item", "category").distinct(), "date")
+    return rounded(out, 6, "score")
+
+
 @query
 def scenario_model_scores(spark, sf_dir):
     """The same ranking by boosted trees over all features of the frame."""
@@ -631,14 +757,18 @@ def _listing(spark, sf_dir) -> DataFrame:
 
 
 def _dated_listing(spark, sf_dir) -> DataFrame:
-    """The listing with years; a block is a day of a board."""
-    return extract.board_years(_listing(spark, sf_dir), F.lit(2001), order=["age", "link"], block=F.col("age"))
+    """The listing with years, from the order of its rows alone."""
+    return extract.board_years(_listing(spark, sf_dir), F.lit(2001), order=["age", "link"])
 
 
 @query
 def board_year(spark, sf_dir):
-    """Year of each listed post, from the order of the listing alone."""
-    return _dated_listing(spark, sf_dir).select("link", "board", "page", "month_day", "year")
+    """Year of each listed post; some posts show a clock time or a full date instead of month and day."""
+    link, shown = F.col("link"), F.col("month_day")
+    shown = F.when(link % 7 == 0, F.date_format(F.date_from_unix_date(F.lit(12000) - F.col("age")), "yyyy-MM-dd")).when(link % 11 == 0, "12:34").otherwise(shown)
+    listing = _listing(spark, sf_dir).withColumn("month_day", shown)
+    out = extract.board_years(listing, F.lit(2001), order=["age", "link"])
+    return out.select("link", "board", "page", "month_day", "year")
 
 
 @query
@@ -846,6 +976,18 @@ def stream_upsert(spark, sf_dir):
     return jobs.upsert_notices(batches, dt.stored_notices(spark, sf_dir), stage_path(spark, "upsert"))
 
 
+@query
+def stream_prices(spark, sf_dir):
+    """Trajectories of all events after on-time ticks and then late ones; the late ones rewrite only the dates they move."""
+    folder, landed = stage_path(spark, "prices"), stage_path(spark, "landed")
+    ticks = dt.ticks(spark, sf_dir).select("item", "day", "price", "feed")
+    events = stage_table(dt.calendar(spark, sf_dir).select("event_id", "date"), "stored_events")
+    for late in (False, True):
+        ticks.where((F.col("feed") == "R") == late).drop("feed").write.mode("append").parquet(landed)
+        out = jobs.refresh_prices(jobs.file_stream(spark, landed), events, folder, dt.SECTORS, digits=4)
+    return out
+
+
 @query
 def stream_refresh(spark, sf_dir):
     events = dt.calendar_columns(_table_stream(spark, sf_dir, "orders"))

@@ -7,7 +7,7 @@ from instead of being parsed.
 
 from __future__ import annotations
 
-from eventide.fixed_values import DECISION_RULES, HORIZONS, TYPE_LABELS
+from eventide.fixed_values import DECISION_RULES, FRAME_FEATURES, HORIZONS, RISING_SCORES, SECTOR_FEATURES, TYPE_LABELS
 from eventide.sources import driver_tables as dt
 
 
@@ -27,6 +27,7 @@ def _classes(column: str, classes) -> str:
     return "CASE " + " ".join(f"WHEN {_any(column, words)} THEN '{label}'" for label, words in classes) + " ELSE 'other' END"
 
 
+_CLASS_LABELS = [label for label, _ in dt.CLASSES] + ["other"]
 _BASKETS = ", ".join(f"('{s}', '{i}')" for s, items in dt.SECTORS.items() for i in items)
 _EVENT_TYPE = _case("o_orderpriority", dt.EVENT_TYPES, "NULL")
 
@@ -196,19 +197,129 @@ _FLAG_CASES = ", ".join(
     f"CASE WHEN {_any('lower(text)', words)} THEN 1 ELSE 0 END AS {name}" for name, words in dt.FLAG_WORDS.items()
 )
 
-_BACKTEST = f"""
- last AS (SELECT max(day) AS d FROM scored WHERE is_event_day = 1),
- train AS (SELECT s.*, 0.5 + 1.5 * (CAST(day - min(day) OVER () AS DOUBLE) / CAST(max(day) OVER () - min(day) OVER () AS DOUBLE)) AS w
-   FROM scored s, last WHERE day < d),
- sums AS (SELECT category, sum(w) AS sw, sum(w * honing_mat_demand) AS swx, sum(w * excess_return) AS swy,
+_LINE_SUMS = """sum(w) AS sw, sum(w * honing_mat_demand) AS swx, sum(w * excess_return) AS swy,
    sum(w * honing_mat_demand * honing_mat_demand) AS swxx, sum(w * honing_mat_demand * excess_return) AS swxy,
-   min(honing_mat_demand) AS lo, max(honing_mat_demand) AS hi FROM train GROUP BY category),
- lines AS (SELECT category, slope, (swy - slope * swx) / sw AS level FROM (SELECT *, CASE WHEN lo = hi THEN 0
-   ELSE (sw * swxy - swx * swy) / (sw * swxx - swx * swx) END AS slope FROM sums)),
- tested AS (SELECT item, day, level + slope * honing_mat_demand AS predicted_excess, excess_return,
-   level + slope * honing_mat_demand - excess_return AS error FROM scored JOIN last ON day = d JOIN lines USING (category))
+   min(honing_mat_demand) AS lo, max(honing_mat_demand) AS hi"""
+_LINE = """slope, (swy - slope * swx) / sw AS level FROM (SELECT *, CASE WHEN lo = hi THEN 0
+   ELSE (sw * swxy - swx * swy) / (sw * swxx - swx * swx) END AS slope FROM"""
+_LINES = f"""sums AS (SELECT category, {_LINE_SUMS} FROM train GROUP BY category),
+ lines AS (SELECT category, {_LINE} sums)),
+ pooled AS (SELECT {_LINE} (SELECT {_LINE_SUMS} FROM train)))"""
+
+_TRAIN = """
+ last AS (SELECT max(day) AS d FROM frame WHERE is_event_day = 1),
+ train AS (SELECT s.*, 0.5 + 1.5 * (CAST(day - min(day) OVER () AS DOUBLE) / CAST(max(day) OVER () - min(day) OVER () AS DOUBLE)) AS w
+   FROM scored s, last WHERE day < d)"""
+
+_BACKTEST = f"""{_TRAIN}, {_LINES},
+ tested AS (SELECT item, day, predicted_excess, excess_return, predicted_excess - excess_return AS error FROM (
+   SELECT item, day, excess_return, CASE WHEN l.level IS NULL THEN p.level + p.slope * honing_mat_demand
+   ELSE l.level + l.slope * honing_mat_demand END AS predicted_excess FROM scored s JOIN last ON day = d CROSS JOIN pooled p LEFT JOIN lines l USING (category)))
 """
 
+_SIZES = """(SELECT count(DISTINCT day) FROM frame WHERE is_event_day = 1) AS event_days, (SELECT count(DISTINCT item) FROM frame) AS items,
+        (SELECT count(*) FROM frame) AS frame_rows"""
+
+
+def _eliminated(source: str, n: int) -> str:
+    """Steps that solve ``source``'s system m0_0 .. m(n-1)_(n), one table per unknown; the last one holds the solution in column n."""
+    steps = []
+    for k in range(n):
+        left = ", ".join(
+            (f"m{i}_{j} / m{k}_{k}" if i == k else f"m{i}_{j} - m{i}_{k} * m{k}_{j} / m{k}_{k}") + f" AS m{i}_{j}"
+            for i in range(n) for j in range(k + 1, n + 1)
+        )
+        steps.append(f"{source}_{k + 1} AS (SELECT * EXCLUDE ({', '.join(f'm{i}_{j}' for i in range(n) for j in range(k, n + 1))}), {left} FROM {source if k == 0 else f'{source}_{k}'})")
+    return ", ".join(steps)
+
+
+def _system(values: list[str], label: str, ridge: float) -> str:
+    """Covariances of columns over a weighted relation, with their means and the label's."""
+    n = len(values)
+    means = [f"sum(w * ({v})) / sum(w)" for v in values]
+    cells = [f"sum(w * ({values[i]}) * ({values[j]})) / sum(w) - ({means[i]}) * ({means[j]}) {f'+ {ridge}' if i == j else ''} AS m{i}_{j}" for i in range(n) for j in range(n)]
+    cells += [f"sum(w * ({values[i]}) * {label}) / sum(w) - ({means[i]}) * (sum(w * {label}) / sum(w)) AS m{i}_{n}" for i in range(n)]
+    return ", ".join(cells + [f"{m} AS mean{i}" for i, m in enumerate(means)] + [f"sum(w * {label}) / sum(w) AS level"])
+
+
+_FRAME_VALUES = [f"CASE WHEN category = '{f[3:]}' THEN 1.0 ELSE 0.0 END" if f.startswith("is_") and f[3:] in _CLASS_LABELS else f"CAST({f} AS DOUBLE)" for f in FRAME_FEATURES]
+_SCENARIO_VALUES = [*_FRAME_VALUES, "0.0", "0.0"]
+_FEATURE_BACKTEST = f"""{_TRAIN}, system AS (SELECT {_system(_FRAME_VALUES, "excess_return", 0.001)}, count(*) AS train_rows FROM train),
+ {_eliminated("system", len(_FRAME_VALUES))},
+ tested AS (SELECT item, day, category, predicted_excess, excess_return, predicted_excess - excess_return AS error, train_rows FROM (
+   SELECT item, day, category, excess_return, train_rows, level + {" + ".join(f"m{i}_{len(_FRAME_VALUES)} * ({v} - mean{i})" for i, v in enumerate(_FRAME_VALUES))} AS predicted_excess
+   FROM scored JOIN last ON day = d CROSS JOIN system_{len(_FRAME_VALUES)}))
+"""
+
+# Four event scores: the sums of each fold by a range join, its clamped line, and the first tree level by level.
+_SCORES = "f0, f1, f2, f3"
+_SCORED_LABELS = f"""scored_labels AS (SELECT k.*, CAST(c.{SECTOR_FEATURES[0]} AS DOUBLE) AS f0, CAST(c.{SECTOR_FEATURES[1]} AS DOUBLE) AS f1,
+ CAST(c.{SECTOR_FEATURES[2]} AS DOUBLE) AS f2, CAST(c.{SECTOR_FEATURES[3]} AS DOUBLE) AS f3 FROM weighted k JOIN chosen c ON c.date = k.date)"""
+_GRAM_TERMS = {"s_n": "CASE WHEN w IS NOT NULL THEN 1.0 END", "s_w": "w", "s_y": "w * y"} | {f"s_{i}": f"w * f{i}" for i in range(4)} | {f"s_{i}y": f"w * f{i} * y" for i in range(4)} | {
+    f"s_{i}_{j}": f"w * f{i} * f{j}" for i in range(4) for j in range(i, 4)
+}
+_GRAMS = f"""{_SCORED_LABELS}, grams AS (SELECT q.sector, q.h, q.fold_start, {", ".join(f"coalesce(sum(CAST({v} AS DOUBLE)), 0.0) AS {k}" for k, v in _GRAM_TERMS.items())}
+ FROM (SELECT DISTINCT sector, h, fold_start FROM weighted) q
+ LEFT JOIN (SELECT * FROM scored_labels WHERE y IS NOT NULL) t ON t.sector = q.sector AND t.h = q.h AND t.i < q.fold_start GROUP BY ALL)"""
+
+
+def _rising(place: int) -> str:
+    sectors = ", ".join(_text(s) for s, names in RISING_SCORES.items() if SECTOR_FEATURES[place] in names)
+    return f"sector IN ({sectors})" if sectors else "false"
+
+
+def _held(*places: int) -> str:
+    return " OR ".join(f"(mask // {2**i}) % 2 = 1" for i in places)
+
+
+_MASKED = ", ".join(
+    [f"CASE WHEN {_held(i, j)} THEN {float(i == j)} ELSE s_{min(i, j)}_{max(i, j)} / s_w - s_{i} * s_{j} / s_w / s_w {'+ 0.01' if i == j else ''} END AS m{i}_{j}" for i in range(4) for j in range(4)]
+    + [f"CASE WHEN {_held(i)} THEN 0.0 ELSE s_{i}y / s_w - s_{i} * s_y / s_w / s_w END AS m{i}_4, s_{i}y / s_w - s_{i} * s_y / s_w / s_w AS b{i}, s_{i} / s_w AS mean{i}" for i in range(4)]
+)
+_CLAMPED_LINES = f"""{_GRAMS}, masked AS (SELECT sector, h, fold_start, mask, s_y / s_w AS level, {_MASKED}
+ FROM grams CROSS JOIN (SELECT unnest(range(16)) AS mask) WHERE fold_start >= 3 AND s_n >= 3 AND {" AND ".join(f"({_rising(i)} OR NOT ({_held(i)}))" for i in range(4))}),
+ {_eliminated("masked", 4)},
+ best AS (SELECT * FROM masked_4 WHERE {" AND ".join(f"(m{i}_4 >= 0 OR NOT ({_rising(i)}))" for i in range(4))}
+ QUALIFY row_number() OVER (PARTITION BY sector, h, fold_start ORDER BY -({" + ".join(f"m{i}_4 * b{i}" for i in range(4))}), mask) = 1),
+ raw AS (SELECT q.sector, q.date, q.h, q.fold_start, level + {" + ".join(f"m{i}_4 * (f{i} - mean{i})" for i in range(4))} AS p
+ FROM scored_labels q LEFT JOIN best k ON k.sector = q.sector AND k.h = q.h AND k.fold_start = q.fold_start)"""
+
+
+def _first_trees(depth: int = 5) -> str:
+    """Tables of the first tree of each series: best splits by trying every threshold of every node, a level at a time."""
+    value = "CASE place " + " ".join(f"WHEN {i} THEN f{i}" for i in range(4)) + " END"
+    rises = "CASE place " + " ".join(f"WHEN {i} THEN {_rising(i)}" for i in range(4)) + " END"
+    clip = lambda g, h: f"least(greatest({g} / ({h} + 1.0), least_value), most_value)"
+    score = lambda g, h, v: f"(2.0 * {g} * {v} - ({h} + 1.0) * {v} * {v})"
+    ends = [f"{name}{i}" for i in range(4) for name in ("lo", "hi")]
+    out = [
+        _SCORED_LABELS,
+        f"""usable AS MATERIALIZED (SELECT *, sum(w * y) OVER s / sum(w) OVER s AS base FROM scored_labels WHERE y IS NOT NULL
+        WINDOW s AS (PARTITION BY sector, h) QUALIFY count(*) OVER s >= 3)""",
+        f"c0 AS MATERIALIZED (SELECT sector, h, CAST(1 AS BIGINT) AS node, {_SCORES}, sum(w) AS w, sum(w * y) AS wy, sum(w * y) - sum(w) * any_value(base) AS r FROM usable GROUP BY sector, h, {_SCORES})",
+        "scales AS MATERIALIZED (SELECT sector, h, greatest(sum(r * r / w), 1e-12 * sum(wy * wy / w)) AS most FROM c0 GROUP BY sector, h)",
+        "cuts AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT DISTINCT sector, h, {i} AS place, f{i} AS cut FROM c0" for i in range(4)) + ")",
+        "n0 AS MATERIALIZED (SELECT DISTINCT sector, h, node, " + ", ".join(f"CAST(NULL AS DOUBLE) AS {e}" for e in ends)
+        + ", CAST('-inf' AS DOUBLE) AS least_value, CAST('inf' AS DOUBLE) AS most_value FROM c0)",
+    ]
+    for d in range(depth):
+        moved = lambda name: ", ".join(f"CASE WHEN place = {i} THEN cut ELSE {name}{i} END AS {name}{i}" if name == n else f"{n}{i}" for i in range(4) for n in ("lo", "hi"))
+        out += [
+            f"""s{d} AS MATERIALIZED (SELECT sector, h, node, place, cut, coalesce(sum(r) FILTER (WHERE {value} <= cut), 0) AS gl,
+            coalesce(sum(w) FILTER (WHERE {value} <= cut), 0) AS hl, sum(r) AS g, sum(w) AS hw FROM c{d} JOIN cuts USING (sector, h) GROUP BY ALL)""",
+            f"""b{d} AS MATERIALIZED (SELECT *, (vl + vr) / 2 AS middle, round(raw_gain / most, 9) AS gain FROM (SELECT *, {score("gl", "hl", "vl")} + {score("(g - gl)", "(hw - hl)", "vr")} - {score("g", "hw", "v")} AS raw_gain FROM (
+            SELECT *, {clip("gl", "hl")} AS vl, {clip("(g - gl)", "(hw - hl)")} AS vr, {clip("g", "hw")} AS v FROM s{d} JOIN n{d} USING (sector, h, node) JOIN scales USING (sector, h)))
+            WHERE hl >= 1 AND hw - hl >= 1 AND round(raw_gain / most, 9) > 0 AND (NOT ({rises}) OR vl <= vr)
+            QUALIFY row_number() OVER (PARTITION BY sector, h, node ORDER BY round(raw_gain / most, 9) DESC, place, cut) = 1)""",
+            f"""n{d + 1} AS MATERIALIZED (SELECT * FROM n{d} WHERE NOT EXISTS (SELECT 1 FROM b{d} b WHERE b.sector = n{d}.sector AND b.h = n{d}.h AND b.node = n{d}.node)
+            UNION ALL SELECT sector, h, node * 2, {moved("hi")}, least_value, CASE WHEN {rises} THEN middle ELSE most_value END FROM b{d}
+            UNION ALL SELECT sector, h, node * 2 + 1, {moved("lo")}, CASE WHEN {rises} THEN middle ELSE least_value END, most_value FROM b{d})""",
+            f"""c{d + 1} AS MATERIALIZED (SELECT c.sector, c.h, CASE WHEN place IS NULL THEN c.node WHEN {value} <= cut THEN c.node * 2 ELSE c.node * 2 + 1 END AS node,
+            {_SCORES}, w, r FROM c{d} c LEFT JOIN (SELECT sector, h, node, place, cut FROM b{d}) b ON b.sector = c.sector AND b.h = c.h AND b.node = c.node)""",
+        ]
+    out.append(f"leaves AS (SELECT n.*, {clip('g', 'hw')} * 0.05 AS gives FROM n{depth} n JOIN (SELECT sector, h, node, sum(r) AS g, sum(w) AS hw FROM c{depth} GROUP BY ALL) USING (sector, h, node))")
+    return ", ".join(out)
+
 
 def _with_more(body: str, more: str, *views: str) -> str:
     base = _sql("", *views).rstrip()
@@ -228,6 +339,13 @@ ORACLE_SQL: dict[str, str] = {
     "daily_bars": _sql(
         """SELECT item, day, avg(price) AS price_mean, round(stddev_samp(price), 4) AS price_std, min(price) AS price_min,
         max(price) AS price_max, count(*) AS tick_count FROM ticks GROUP BY item, day""", "ticks"),
+    "tick_store": """SELECT p_partkey AS part, p_brand AS item, CAST(l_shipdate AS DATE) AS day,
+        sum(floor(l_extendedprice / l_quantity * CAST(100 AS DOUBLE) + 0.5)) AS price_sum, count(*) AS tick_count
+        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL""",
+    "tick_months": _sql(
+        """SELECT item, day, avg(price) AS price_mean, round(stddev_samp(price), 4) AS price_std, min(price) AS price_min,
+        max(price) AS price_max, count(*) AS tick_count FROM ticks WHERE year(day) = 1996 GROUP BY item, day""", "ticks"),
+    "price_file": _sql("SELECT item, day, price, trade_count FROM prices", "prices"),
     "family_daily": _sql(
         "SELECT family, item, day, avg(price) AS avg_price FROM ticks WHERE family LIKE '%AR%' GROUP BY family, item, day", "ticks"),
     "dense_grid": _sql("SELECT item, day, price, is_observed FROM grid", "grid"),
@@ -316,6 +434,9 @@ ORACLE_SQL: dict[str, str] = {
     "event_base_price": _sql("SELECT item, date, base_price, base_source FROM windows", "windows"),
     "forward_window": _sql(
         "SELECT item, date, max_price, mean_price, days_seen FROM windows WHERE days_seen > 0", "windows"),
+    "listed_betas": _sql(
+        f"SELECT item, round(avg_return, 4) AS avg_return, round(win_rate, 4) AS win_rate, sample_size FROM betas WHERE item IN ({', '.join(_text(i) for i in dt.LISTED_ITEMS)})",
+        "betas"),
     "item_betas": _sql(
         "SELECT item, round(avg_return, 4) AS avg_return, round(win_rate, 4) AS win_rate, sample_size FROM betas", "betas"),
     "tier_picks": _sql(
@@ -338,6 +459,14 @@ ORACLE_SQL: dict[str, str] = {
         GROUP BY fold_start""", "calendar"),
     "walk_forward": _sql(
         "SELECT sector, date, h, CAST(fold_start AS INTEGER) AS fold_start, round(pred, 3) AS pred FROM honest", "honest"),
+    "walk_forward_grams": _with_more(
+        f"SELECT sector, h, CAST(fold_start AS INTEGER) AS fold_start, {', '.join(f'round({k}, {0 if k[-1] == 'y' else 2}) AS {k}' for k in _GRAM_TERMS)} FROM grams", _GRAMS, "weighted", "chosen"),
+    "walk_forward_lines": _with_more(
+        """SELECT sector, date, h, CAST(fold_start AS INTEGER) AS fold_start, round(coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY sector, date
+        ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 100.0), 3) AS pred FROM raw""", _CLAMPED_LINES, "weighted", "chosen"),
+    "sector_first_trees": _with_more(
+        f"""SELECT sector, h, 1 AS tree, {", ".join(f"{end}{i} AS {name}_{f}" for i, f in enumerate(SECTOR_FEATURES) for end, name in (("lo", "low"), ("hi", "high")))},
+        round(gives, 6) + 0.0 AS gives FROM leaves""", _first_trees(), "weighted", "chosen"),
     "walk_forward_purged": _sql(
         """SELECT sector, date, h, round(coalesce(last_value(raw IGNORE NULLS) OVER (PARTITION BY sector, date ORDER BY h
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 100.0), 3) AS pred FROM (
@@ -358,6 +487,14 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT sector, date, h, y, 'market', 'actual' FROM stored) WHERE value IS NOT NULL) s
         JOIN (SELECT event_id, date, coalesce(date - announcement_date, 7) AS lead FROM calendar) c ON c.date = s.date
         WHERE h >= -(lead + 5)""", "stored", "calendar"),
+    "forecast_live": _sql(
+        """SELECT event_id, s.date, sector, h, kind, source, round(value, 3) AS value, is_high FROM (
+        SELECT *, coalesce(max(CASE WHEN kind = 'predicted' AND round(value, 6) > 100.0 THEN 1 ELSE 0 END) OVER (PARTITION BY date, sector), 0) = 1 AS is_high FROM (
+        SELECT sector, date, h, pred AS value, source, 'predicted' AS kind FROM stored WHERE date < DATE '1998-01-01'
+        UNION ALL SELECT sector, date, h, pred, 'live', 'predicted' FROM live WHERE date >= DATE '1998-01-01' OR date NOT IN (SELECT date FROM stored)
+        UNION ALL SELECT sector, date, h, y, 'market', 'actual' FROM stored) WHERE value IS NOT NULL) s
+        JOIN (SELECT event_id, date, coalesce(date - announcement_date, 7) AS lead FROM calendar) c ON c.date = s.date
+        WHERE h >= -(lead + 5)""", "stored", "live", "calendar"),
     "directional_accuracy": _sql(
         """SELECT total, hits, actual_ups, pred_ups, true_ups, round(hits * 100.0 / total, 6) AS accuracy,
         round(true_ups * 100.0 / actual_ups, 6) AS recall, round(CASE WHEN pred_ups = 0 THEN 0 ELSE true_ups * 100.0 / pred_ups END, 6) AS "precision"
@@ -381,8 +518,13 @@ ORACLE_SQL: dict[str, str] = {
         JOIN levels m ON m.sector = a.sector AND m.h = a.h AND m.x >= a.x AND m.x <= b.x GROUP BY ALL)""", "weighted"),
     "backtest_last_event": _with_more(
         """SELECT day, round(sqrt(avg(error * error)), 6) AS rmse, round(avg(abs(error)), 6) AS mae, count(*) AS test_rows,
-        (SELECT count(DISTINCT day) FROM scored WHERE is_event_day = 1) AS event_days, (SELECT count(DISTINCT item) FROM scored) AS items,
-        (SELECT count(*) FROM scored) AS frame_rows FROM tested GROUP BY day""", _BACKTEST, "scored"),
+        """ + _SIZES + """ FROM tested GROUP BY day""", _BACKTEST, "scored"),
+    "backtest_features": _with_more(
+        """SELECT day, round(sqrt(avg(error * error)), 6) AS rmse, round(avg(abs(error)), 6) AS mae, count(*) AS test_rows,
+        """ + _SIZES + """ FROM tested GROUP BY day""", _FEATURE_BACKTEST, "scored"),
+    "backtest_feature_rows": _with_more(
+        """SELECT item, day, category, round(predicted_excess, 6) AS predicted_excess, round(excess_return, 6) AS excess_return, round(error, 6) AS error
+        FROM tested""", _FEATURE_BACKTEST, "scored"),
     "top_movers": _with_more(
         """SELECT kind, CAST(place AS INTEGER) AS place, item, round(predicted_excess, 6) AS predicted_excess, round(excess_return, 6) AS excess_return,
         round(error, 6) AS error FROM (
@@ -391,14 +533,19 @@ ORACLE_SQL: dict[str, str] = {
     "scenario_scores": _with_more(
         """SELECT date, item, category, round(p, 6) AS predicted_excess_return, CAST(place AS INTEGER) AS place, round(p * 100.0, 6) AS score FROM (
         SELECT *, row_number() OVER (PARTITION BY date ORDER BY p DESC, item) AS place FROM (
-        SELECT date, item, category, level + slope * honing_mat_demand AS p FROM event_days CROSS JOIN (SELECT DISTINCT item, category FROM scored)
-        JOIN lines USING (category))) WHERE place <= 10""",
-        """train AS (SELECT *, 0.5 + 1.5 * (CAST(day - min(day) OVER () AS DOUBLE) / CAST(max(day) OVER () - min(day) OVER () AS DOUBLE)) AS w FROM scored),
-        sums AS (SELECT category, sum(w) AS sw, sum(w * honing_mat_demand) AS swx, sum(w * excess_return) AS swy,
-        sum(w * honing_mat_demand * honing_mat_demand) AS swxx, sum(w * honing_mat_demand * excess_return) AS swxy,
-   min(honing_mat_demand) AS lo, max(honing_mat_demand) AS hi FROM train GROUP BY category),
-        lines AS (SELECT category, slope, (swy - slope * swx) / sw AS level FROM (SELECT *, CASE WHEN lo = hi THEN 0
-        ELSE (sw * swxy - swx * swy) / (sw * swxx - swx * swx) END AS slope FROM sums))""", "scored", "event_days"),
+        SELECT date, item, category, CASE WHEN l.level IS NULL THEN p.level + p.slope * honing_mat_demand ELSE l.level + l.slope * honing_mat_demand END AS p
+        FROM event_days CROSS JOIN (SELECT DISTINCT item, category FROM scored) CROSS JOIN pooled p LEFT JOIN lines l USING (category))) WHERE place <= 10""",
+        f"""train AS (SELECT *, 0.5 + 1.5 * (CAST(day - min(day) OVER () AS DOUBLE) / CAST(max(day) OVER () - min(day) OVER () AS DOUBLE)) AS w FROM scored),
+        {_LINES}""", "scored", "event_days"),
+    "scenario_feature_scores": _with_more(
+        f"""SELECT date, item, category, p AS predicted_excess_return, CAST(place AS INTEGER) AS place, round(p * 100.0, 6) AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY date ORDER BY p DESC, item) AS place FROM (
+        SELECT date, item, category, round(level + {" + ".join(f"m{i}_{len(_SCENARIO_VALUES)} * ({v} - mean{i})" for i, v in enumerate(_SCENARIO_VALUES))}, 8) AS p
+        FROM (SELECT e.*, CASE WHEN isodow(e.date) >= 6 THEN 1 ELSE 0 END AS is_weekend, item, category FROM event_days e CROSS JOIN (SELECT DISTINCT item, category FROM scored))
+        CROSS JOIN system_{len(_SCENARIO_VALUES)})) WHERE place <= 10""",
+        f"""train AS (SELECT *, 0.5 + 1.5 * (CAST(day - min(day) OVER () AS DOUBLE) / CAST(max(day) OVER () - min(day) OVER () AS DOUBLE)) AS w FROM scored),
+        system AS (SELECT {_system(_SCENARIO_VALUES, "excess_return", 0.001)} FROM train), {_eliminated("system", len(_SCENARIO_VALUES))}""", "scored", "event_days"),
+    "tick_hours": """SELECT event_id, event_type AS item, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week FROM events""",
     "feature_vectors": _sql(
         """SELECT event_id, 0 AS pos, CAST(honing_mat_demand AS DOUBLE) AS feature_value FROM chosen
         UNION ALL SELECT event_id, 1, gem_demand FROM chosen UNION ALL SELECT event_id, 2, gold_inflation FROM chosen
@@ -455,8 +602,10 @@ ORACLE_SQL: dict[str, str] = {
         WHEN '4-NOT SPECIFIED' THEN make_timestamp(y, month({_DAY}), day({_DAY}), {_HOUR}, o_orderkey % 60, 0) END AS starts_at
         FROM (SELECT *, CASE WHEN month({_ANCHOR}) = 12 AND month({_DAY}) = 1 THEN year({_ANCHOR}) + 1
         WHEN month({_ANCHOR}) = 1 AND month({_DAY}) = 12 THEN year({_ANCHOR}) - 1 ELSE year({_ANCHOR}) END AS y FROM orders)""",
-    "board_year": f"""SELECT o_orderkey AS link, o_orderpriority AS board, CAST((12000 - ({_DAY} - DATE '1970-01-01')) // 7 AS INTEGER) AS page,
-        strftime({_DAY}, '%m-%d') AS month_day, CAST(year({_DAY}) AS INTEGER) AS year FROM orders""",
+    "board_year": f"""SELECT link, board, page, shown AS month_day, CAST(coalesce(last_value(known IGNORE NULLS) OVER (PARTITION BY board ORDER BY age, link
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2001) AS INTEGER) AS year FROM (SELECT *, CASE WHEN length(shown) = 5 AND contains(shown, '-') THEN y END AS known FROM (
+        SELECT o_orderkey AS link, o_orderpriority AS board, 12000 - ({_DAY} - DATE '1970-01-01') AS age, CAST((12000 - ({_DAY} - DATE '1970-01-01')) // 7 AS INTEGER) AS page,
+        CASE WHEN o_orderkey % 7 = 0 THEN strftime({_DAY}, '%Y-%m-%d') WHEN o_orderkey % 11 = 0 THEN '12:34' ELSE strftime({_DAY}, '%m-%d') END AS shown, year({_DAY}) AS y FROM orders))""",
     "page_spans": f"""SELECT o_orderpriority AS board, CAST((12000 - ({_DAY} - DATE '1970-01-01')) // 7 AS INTEGER) AS page,
         max({_DAY}) AS latest, min({_DAY}) AS oldest, count(*) AS posts FROM orders GROUP BY ALL""",
     "news_alerts": """SELECT notice_id, ts, score FROM (SELECT user_id AS notice_id, ts, CAST(CAST(floor(value) AS BIGINT) % 10 + 1 AS INTEGER) AS score,
@@ -523,3 +672,4 @@ ORACLE_SQL: dict[str, str] = {
         FROM calendar e JOIN curves c ON c.date = e.date""", "calendar", "curves"),
 }
 ORACLE_SQL["stream_alerts"] = ORACLE_SQL["news_alerts"]
+ORACLE_SQL["stream_prices"] = ORACLE_SQL["event_trajectory"]

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventide.sources.sinks import write_bucketed
+
 SECTORS = {
     "Honing": ["Brand#1", "Brand#2", "Brand#3", "Brand#4"],
     "Gem": ["Brand#5", "Brand#6", "Brand#7"],
@@ -21,6 +23,7 @@ CLASSES = [
     ("engraving", ["#4"]),
     ("consumable", ["#5", "#6"]),
 ]
+LISTED_ITEMS = [f"Brand#{k}" for k in range(1, 40, 3)]
 PART_CLASSES = [
     ("honing_mat", ["anvil", "bolt"]),
     ("gem", ["ring"]),
@@ -77,6 +80,21 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
 
 
+def tick_store(spark: SparkSession, sf_dir: str, folder: str, buckets: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Ticks and the item dimension as bucketed tables of the part key, written under ``folder`` once.
+
+    Every later job joins and groups them by part without moving a tick.
+    """
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("part"), F.to_date("l_shipdate").alias("day"),
+        hundredths(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_returnflag").alias("feed"),
+    )
+    items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("item"), F.col("p_type").alias("family"))
+    name = folder.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
+    stored = write_bucketed(lines, f"{name}_ticks", f"{folder}/ticks", "part", buckets, ["day"])
+    return stored, write_bucketed(items, f"{name}_items", f"{folder}/items", "part", buckets)
+
+
 def raw_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks whose time is text in mixed notations; some of it unreadable."""
     ship = F.col("l_shipdate")

@@ -31,6 +31,18 @@ def write_ticks_by_month(ticks: DataFrame, path: str) -> None:
     monthly.write.mode("overwrite").partitionBy("month").parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int, order: list[str] = ()) -> DataFrame:
+    """A table of Parquet files dealt into ``buckets`` by ``key``, and read back as such.
+
+    Two tables with the same buckets of a key join and group by it without an exchange. Rows are first
+    dealt by the key, so each bucket is one file and not one per task; its rows lie in the order of key and ``order``.
+    """
+    spark = df.sparkSession
+    dealt = df.repartition(buckets, key)
+    dealt.write.mode("overwrite").bucketBy(buckets, key).sortBy(key, *order).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def write_trajectories(forecasts: DataFrame, path: str) -> None:
     """Trajectories as JSON lines, one folder per sector."""
     trajectory_arrays(forecasts).write.mode("overwrite").partitionBy("sector").json(path)

@@ -6,11 +6,14 @@ query goes on where it stopped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from eventide.fixed_values import ALERT_SCORE
-from eventide.operators.ingest import notice_upsert
+from eventide.fixed_values import ALERT_SCORE, HORIZONS
+from eventide.operators import study
+from eventide.session import stage_table
+from eventide.streaming.store import NoticeStore
 
 
 def file_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -90,62 +93,49 @@ def daily_state(ticks: DataFrame, folder: str, lateness: str = "1 hour") -> Data
     return latest.select("day", "item", "v.*")
 
 
-def alerts(notices: DataFrame, folder: str, threshold: int = ALERT_SCORE) -> DataFrame:
-    """Notices that are important at first sight; each is judged by its earliest copy.
+def alert_stream(notices: DataFrame, folder: str, window: str = "1 hour", lateness: str = "1 day") -> StreamingQuery:
+    """Keeps the first sighting of each notice in each ``window``.
 
-    ``notices`` is a stream with ``notice_id``, ``ts`` and ``score``. The state
-    is the first sighting of each notice, so the order of rows and of files
-    does not matter. A micro-batch writes the sightings of its own notices
-    under its number; readers take the latest version.
+    State is one row per notice and window that copies may still reach, however long the stream runs: the
+    watermark drops the others, and copies later than ``lateness``. A micro-batch writes the sightings it touched under its number.
     """
-    spark = notices.sparkSession
-    sightings = notices.groupBy("notice_id").agg(F.min(F.struct("ts", "score")).alias("first"))
+    sightings = (
+        notices.withColumn("at", _wall_clock("ts"))
+        .withWatermark("at", lateness)
+        .groupBy(F.window("at", window), "notice_id")
+        .agg(F.min(F.struct("ts", "score")).alias("first"))
+        .select("notice_id", "first")
+    )
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/sightings/batch={number}")
 
-    _start(sightings, folder, "update").foreachBatch(save).start().awaitTermination()
-    versions = spark.read.parquet(f"{folder}/sightings")
-    latest = versions.groupBy("notice_id").agg(F.max_by("first", "batch").alias("first"))
-    return latest.select("notice_id", "first.*").where(F.col("score") >= threshold)
-
-
-def _latest_notices(
-    spark: SparkSession, base: DataFrame, folder: str, before: int | None = None, links: DataFrame | None = None
-) -> DataFrame:
-    """Stored notices overlaid with the changes of earlier batches; of the given links only, if any."""
-    start = base.withColumn("batch", F.lit(-1)).withColumn("status", F.lit("kept"))
-    changes = spark.read.schema(start.schema).parquet(f"{folder}/changes")
-    if before is not None:
-        changes = changes.where(F.col("batch") < before)
-    both = start.unionByName(changes)
-    if links is not None:
-        both = both.join(links, "link", "left_semi")
-    rest = [c for c in both.columns if c not in ("link", "batch")]
-    latest = both.groupBy("link").agg(F.max_by(F.struct(*rest), "batch").alias("v"))
-    return latest.select("link", "v.*")
-
-
-def upsert_notices(batches: DataFrame, base: DataFrame, folder: str) -> DataFrame:
-    """Notice upsert per micro-batch.
-
-    A batch writes its new and changed notices only, under its number; the
-    stored table is never rewritten. Later batches see earlier changes. The
-    store is cut to the batch's links before it is grouped and merged.
+    return _start(sightings, folder, "update").foreachBatch(save).start()
+
+
+def alerts(notices: DataFrame, folder: str, threshold: int = ALERT_SCORE, window: str = "1 hour", lateness: str = "1 day") -> DataFrame:
+    """Notices that are important at first sight; each is judged by its earliest copy.
+
+    ``notices`` is a stream with ``notice_id``, ``ts`` and ``score``. The earliest of the windows' first
+    sightings decides, so the order of rows and of files does not matter within ``lateness``, and a
+    notice alerts once whenever its copies come.
     """
-    spark = base.sparkSession
-    changed = F.col("status").isin("new", "title_changed")
-    empty = base.limit(0).withColumn("status", F.lit("kept"))
-    empty.write.mode("overwrite").parquet(f"{folder}/changes/batch=-2")
+    query = alert_stream(notices, folder, window, lateness)
+    query.awaitTermination()
+    seen = notices.sparkSession.read.parquet(f"{folder}/sightings")
+    first = seen.groupBy("notice_id").agg(F.min("first").alias("first"))
+    return first.select("notice_id", "first.*").where(F.col("score") >= threshold)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        links = batch.select("link").distinct()
-        current = _latest_notices(spark, base, folder, before=number, links=links).drop("status")
-        merged = notice_upsert(current, batch)
-        merged.where(changed).write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
 
-    _start(batches, folder, "append").foreachBatch(merge).start().awaitTermination()
-    return _latest_notices(spark, base, folder)
+def upsert_notices(batches: DataFrame, base: DataFrame, folder: str, buckets: int = 64, compact_after: int = 20) -> DataFrame:
+    """Notice upsert per micro-batch into a log-structured store (``store.NoticeStore``).
+
+    The base is copied into the store once. A batch reads only the buckets of its own links and writes its new and changed
+    notices; every ``compact_after`` batches the changes are folded into a new base.
+    """
+    store = NoticeStore(base, f"{folder}/store", buckets, compact_after)
+    _start(batches, folder, "append").foreachBatch(store.merge).start().awaitTermination()
+    return store.notices()
 
 
 def refresh_trajectories(events: DataFrame, curves: DataFrame, folder: str) -> DataFrame:
@@ -165,3 +155,66 @@ def refresh_trajectories(events: DataFrame, curves: DataFrame, folder: str) -> D
     versions = spark.read.parquet(f"{folder}/trajectories")
     latest = versions.groupBy("event_id").agg(F.max_by(F.struct("date", "curve"), "batch").alias("v"))
     return latest.select("event_id", "v.date", F.inline("v.curve"))
+
+
+def price_log(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """Daily mean prices from the sums that the batches have written; those below ``before`` only, if given."""
+    sums = spark.read.parquet(f"{folder}/prices")
+    sums = sums if before is None else sums.where(F.col("batch") < before)
+    total = sums.groupBy("item", "day").agg(F.sum("price_sum").alias("s"), F.sum("tick_count").alias("n"))
+    return total.select("item", "day", (F.col("s") / F.col("n")).alias("price"))
+
+
+def touched_dates(changed: DataFrame, prices: DataFrame, span: DataFrame, horizons: list[int]) -> DataFrame:
+    """Dates whose curve a change of daily prices can move.
+
+    A price covers the days up to its item's next one, the first price also those before it. Days that the
+    table did not reach before (``span`` has its former first and last day, or none) are new for every
+    item. A curve reads the days its horizons away, so each changed day leads back to those dates.
+    Days are merged into a set before they spread: all of it is bounded by the calendar.
+    """
+    by_item = Window.partitionBy("item").orderBy("day")
+    ends = prices.select(F.struct(F.min("day").alias("first"), F.max("day").alias("last"))).scalar()
+    before = span.select(F.struct("first", "last")).scalar()
+    covers = prices.select("item", "day", F.lead("day").over(by_item).alias("next"), (F.row_number().over(by_item) == 1).alias("is_first"))
+    covers = covers.join(changed, ["item", "day"], "left_semi")
+    low = F.when(F.col("is_first"), ends["first"]).otherwise(F.col("day"))
+    days = covers.select(F.explode(F.sequence(low, F.coalesce(F.date_sub("next", 1), ends["last"]))).alias("day")).distinct()
+    fresh = span.select(F.explode(F.sequence(ends["first"], ends["last"])).alias("day"))
+    fresh = fresh.where(before["first"].isNull() | (F.col("day") < before["first"]) | (F.col("day") > before["last"]))
+    away = F.transform(F.lit(horizons), lambda h: F.date_sub("day", h))
+    return days.unionByName(fresh).distinct().select(F.explode(away).alias("date")).distinct()
+
+
+def refresh_prices(ticks: DataFrame, events: DataFrame, folder: str, baskets: dict[str, list[str]], horizons: list[int] = HORIZONS, digits: int | None = None) -> DataFrame:
+    """Trajectories of stored events, kept up to date as ticks arrive, late ones too.
+
+    A micro-batch adds its daily sums to the price log, finds the dates whose curves they can move and
+    rewrites the events of those dates only. ``events`` is the stored table of event_id and date. The log and the
+    curves are of calendar size; events meet one row per touched date. A batch writes under its number, so a
+    repeated one overwrites itself; readers take an event's latest version.
+    """
+    spark = events.sparkSession
+    items = sorted({i for names in baskets.values() for i in names})
+
+    def refresh(batch: DataFrame, number: int) -> None:
+        daily = batch.groupBy("item", "day").agg(F.sum("price").alias("price_sum"), F.count("price").alias("tick_count"))
+        daily.where("tick_count > 0").write.mode("overwrite").parquet(f"{folder}/prices/batch={number}")
+        changed = spark.read.parquet(f"{folder}/prices/batch={number}").select("item", "day")
+        old = spark.read.parquet(f"{folder}/prices").where(F.col("batch") < number)
+        span = old.agg(F.min("day").alias("first"), F.max("day").alias("last"))
+        prices = stage_table(price_log(spark, folder, number + 1), "price-log")
+        inside = prices.where(F.col("item").isin(items))
+        whole = prices.agg(F.min("day").alias("day"), F.max("day").alias("last"))
+        # The calendar's ends come from all items, the covers from those of the baskets.
+        edges = whole.select(F.explode(F.array("day", "last")).alias("day")).withColumns({"item": F.lit(""), "price": F.lit(None).cast("double")})
+        dates = touched_dates(changed.where(F.col("item").isin(items)), inside.unionByName(edges.select("item", "day", "price")), span, horizons)
+        dates = stage_table(dates, "touched-dates")
+        curves = study.date_curves(study.sector_index(prices, baskets), horizons, digits, dates)
+        rows = events.select("event_id", "date").join(curves, "date")
+        rows.write.mode("overwrite").parquet(f"{folder}/trajectories/batch={number}")
+
+    _start(ticks, folder, "append").foreachBatch(refresh).start().awaitTermination()
+    versions = spark.read.parquet(f"{folder}/trajectories")
+    latest = versions.groupBy("event_id").agg(F.max_by(F.struct("date", "curve"), "batch").alias("v"))
+    return latest.select("event_id", "v.date", F.inline("v.curve"))

@@ -6,7 +6,7 @@ from compare import connect, differences
 from eventide.plans.catalogue import QUERIES
 from eventide.plans.oracle import ORACLE_SQL
 
-ROWS_ONLY = {"gbt_scores", "gbt_importance", "scenario_model_scores"}
+ROWS_ONLY = {"gbt_scores", "gbt_importance", "scenario_model_scores", "sector_trees"}
 
 
 @pytest.fixture(scope="module")

@@ -49,3 +49,14 @@ def test_stage_table_above_the_threshold_is_shuffled(spark, sf_dir):
         assert wide.agg(F.count("*"), F.round(F.sum("index"), 2)).first() == expected
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_stored_ticks_join_and_sum_without_an_exchange(spark, sf_dir):
+    text = plan(QUERIES["tick_store"](spark, sf_dir))
+    assert "SortMergeJoin" in text and "Exchange" not in text
+    assert text.count("Bucketed: true") == 2
+
+
+def test_months_prune_folders(spark, sf_dir):
+    text = plan(QUERIES["tick_months"](spark, sf_dir))
+    assert "PartitionFilters: [isnotnull(month" in text and "1996-01" in text

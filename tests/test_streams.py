@@ -10,6 +10,7 @@ from eventide.operators import study
 from eventide.operators.ingest import notice_upsert
 from eventide.sources import driver_tables as tables
 from eventide.streaming import jobs
+from eventide.streaming.store import NoticeStore, numbers_below
 
 T = dt.datetime
 
@@ -67,6 +68,48 @@ def test_alerts_do_not_depend_on_arrival(spark, rows):
     assert rows(out) == [(2, T(2026, 1, 1, 12), 7), (3, T(2026, 1, 1, 9), 7)]
 
 
+def test_alert_state_shrinks_and_late_copies_change_nothing(spark, rows):
+    src, work = folder(), folder()
+    for day in range(1, 9):  # 200 notices a day, and a late copy of the first day's each day
+        part = [(day * 1000 + k, T(2026, 1, day, 1 + k % 20), 8) for k in range(200)] + [(1000 + day, T(2026, 1, day, 23), 1)]
+        spark.createDataFrame(part, "notice_id INT, ts TIMESTAMP_NTZ, score INT").coalesce(1).write.mode("append").parquet(f"{src}/n")
+    query = jobs.alert_stream(jobs.file_stream(spark, f"{src}/n", 1), work)
+    query.awaitTermination()
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert max(held) < 700 and held[-1] < max(held)
+    seen = spark.read.parquet(f"{work}/sightings").groupBy("notice_id").agg(F.min("first").alias("f"))
+    assert seen.count() == 8 * 200 and seen.where("f.score < 7").count() == 0
+
+
+def test_store_reads_only_the_buckets_of_a_batch(spark, rows):
+    base = spark.createDataFrame([(f"/n/{k}", f"t{k}") for k in range(500)], "link STRING, title STRING")
+    store = NoticeStore(base, folder(), buckets=16, compact_after=3)
+    batch = spark.createDataFrame([("/n/7", "new title")], "link STRING, title STRING")
+    here = batch.select(store.bucket().alias("b")).first().b
+    store.merge(batch, 0)
+    for read in (store._scan(1, [here]), store.current(batch, 1)):
+        text = read._sc._jvm.PythonSQLUtils.explainString(read._jdf.queryExecution(), "formatted")
+        assert text.count("PartitionFilters: [") == 2 and text.count(f"(bucket") >= 2 and f" = {here})" in text
+    assert rows(store.current(batch, 1)) == [("/n/7", "new title")]
+    assert store.notices().count() == 500
+
+
+def test_compaction_folds_changes_and_a_repeated_batch_changes_nothing(spark, rows):
+    schema = "link STRING, title STRING"
+    base = spark.createDataFrame([("a", "A"), ("b", "B")], schema)
+    place = folder()
+    store = NoticeStore(base, place, buckets=4, compact_after=2)
+    parts = [[("a", "A1")], [("c", "C")], [("a", "A2"), ("d", "D")], [("c", "C3")], [("b", "B4")]]
+    for number, part in enumerate(parts):
+        for _ in range(2):  # each batch twice, as after a crash
+            store.merge(spark.createDataFrame(part, schema), number)
+    assert numbers_below(spark, f"{place}/base", "upto")[-1] >= 2
+    again = NoticeStore(base, place, buckets=4)
+    expected = [("a", "A2"), ("b", "B4"), ("c", "C3"), ("d", "D")]
+    assert rows(store.notices(), "link", "title") == rows(again.notices(), "link", "title") == expected
+    assert not any("upto=-1/" in f or "batch=0/" in f for f in again.notices().inputFiles())
+
+
 def test_upsert_sees_earlier_batches(spark, rows):
     src = folder()
     base = spark.createDataFrame([("a", "A"), ("b", "B")], "link STRING, title STRING")
@@ -108,6 +151,38 @@ def test_refresh_touches_only_arriving_events(spark, rows):
     assert rows(out, "event_id", "h") == [(1, 0), (1, 3), (2, -1), (2, 0), (2, 3)]
 
 
+def late_ticks(spark, first, late, work):
+    """Runs the price refresh over two landings; the trajectories, and the dates that the second one rewrote."""
+    src = folder()
+    schema = "item STRING, day DATE, price DOUBLE"
+    events = spark.createDataFrame([(k, dt.date(2026, 1, 1) + dt.timedelta(days=k)) for k in range(60)], "event_id BIGINT, date DATE")
+    for part in (first, late):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{src}/t")
+        out = jobs.refresh_prices(jobs.file_stream(spark, f"{src}/t"), events, work, {"S": ["x", "y"]}, [-2, 0, 3])
+    ticks = spark.createDataFrame(first + late, schema)
+    prices = ticks.groupBy("item", "day").agg((F.sum("price") / F.count("price")).alias("price"))
+    whole = study.event_trajectory(events, study.date_curves(study.sector_index(prices, {"S": ["x", "y"]}), [-2, 0, 3]))
+    again = spark.read.parquet(f"{work}/trajectories").where("batch = 1").select("date").distinct()
+    return out, whole, sorted(r.date.timetuple().tm_yday for r in again.collect())
+
+
+def test_a_late_tick_rewrites_just_its_dates(spark, rows):
+    day = lambda k: dt.date(2026, 1, 1) + dt.timedelta(days=k - 1)  # noqa: E731  day of the year
+    first = [("x", day(k), 10.0 + k) for k in range(1, 51) if k not in (21, 22)] + [("y", day(k), 5.0) for k in (1, 50)]
+    out, whole, rewritten = late_ticks(spark, first, [("x", day(21), 99.0), ("z", day(30), 1.0)], folder())
+    assert rows(out) == rows(whole)
+    # Day 21's price also holds on day 22: dates that read them 2 days before, on the day, or 3 days ahead.
+    assert rewritten == sorted({d - h for d in (21, 22) for h in (-2, 0, 3)})
+
+
+def test_new_first_and_last_days_reach_every_item(spark, rows):
+    day = lambda k: dt.date(2026, 1, 1) + dt.timedelta(days=k - 1)
+    first = [("x", day(k), 10.0 + k) for k in range(10, 40)] + [("y", day(20), 5.0)]
+    out, whole, rewritten = late_ticks(spark, first, [("z", day(45), 1.0), ("x", day(8), 3.0), ("y", day(12), 7.0)], folder())
+    assert rows(out) == rows(whole)
+    assert {8, 9, 45, 44} <= set(rewritten) and 30 not in rewritten
+
+
 def test_days_follow_the_session_zone(spark, rows):
     """Half-hour zones too: a day is a wall-clock day."""
     before = spark.conf.get("spark.sql.session.timeZone")

@@ -178,12 +178,23 @@ def test_board_years_cross_new_year_in_small_blocks(spark, rows):
         assert out.where("year <> truth").count() == 0 and out.count() == 150
 
 
+def test_board_years_of_a_hot_board_with_sparse_places(spark):
+    """One board holds most rows, at places with wide gaps; the rows are dealt by range."""
+    hot = [("hot", k * k * 1000 + 5, D(2026, 1, 20) - dt.timedelta(days=k // 7)) for k in range(9000)]
+    rest = [(f"b{k % 40}", 10**12 - k, D(2026, 3, 1) - dt.timedelta(days=(2000 - k) // 40 * 9)) for k in range(2000)]
+    data = [(b, p, f"{d:%m-%d}", d.year) for b, p, d in hot + rest]
+    listing = spark.createDataFrame(data, "board STRING, pos BIGINT, month_day STRING, truth INT").repartition(6)
+    out = extract.board_years(listing, F.lit(2026))
+    assert out.count() == len(data) and out.where("year <> truth").count() == 0
+
+
 def test_board_years_pass_over_other_notations(spark):
     shown = ["13:45", "09:15", "12-30", "12-29", "2023-11-02", "11-01", "01-05", "14:00", "12-31"]
     truth = [2025, 2025, 2025, 2025, 2025, 2025, 2025, 2025, 2024]
     listing = spark.createDataFrame([("b", k, s, y) for k, (s, y) in enumerate(zip(shown, truth))], "board STRING, pos BIGINT, month_day STRING, truth INT")
     for block in (1, 3, 1000):
         assert extract.board_years(listing, F.lit(2025), block).where("year <> truth").count() == 0
+    assert extract.board_years(listing, F.lit(2025)).where("year <> truth").count() == 0
 
 
 def test_post_dates(spark):
