@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from eventide.llm import blocks
+from eventide.session import stage_table
 
-_CHUNK = 16
+#: Passages by the length of the item they are sought for: up to so many words (none: any), passage, and step from one to the next.
+_SCALES = ((16, 16, 8), (None, 32, 16))
 _LEAST_WORDS = 5
+#: Least share of an item's passage that a space must keep to search for it.
+_RENDERED = 0.15
 
 
 class _Tokens(blocks.Words):
@@ -78,20 +81,27 @@ def _sketch_rows(idf: np.ndarray, basis):
     return run
 
 
-def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int, rounds: int = 2) -> np.ndarray:
-    """Leading right singular vectors (words by ``rank``) of the TF-IDF passages, by a randomised SVD:
+def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int, energy: float, rounds: int = 2) -> np.ndarray:
+    """Leading right singular vectors (words by at most ``rank``) of the TF-IDF passages, by a randomised SVD:
     a random start, then rounds of multiplying with A'A, in which passages stay where they are and
-    only sums per word travel."""
+    only sums per word travel. Of the vectors so many are kept as hold ``energy`` of what all passages have."""
     spark = passages.sparkSession
     basis = np.linalg.qr(np.random.default_rng(3).normal(size=(len(idf), min(rank, len(idf)))))[0]
-    for _ in range(rounds):
+
+    def product(basis: np.ndarray) -> np.ndarray:
         parts = passages.mapInArrow(_sketch_rows(idf, spark.sparkContext.broadcast(basis)), "w long, x array<double>")
-        summed = parts.select("w", F.posexplode("x")).groupBy("w", "pos").agg(F.sum("col").alias("x"))
+        sums = parts.select("w", F.posexplode("x")).groupBy("w", "pos").agg(F.sum("col").alias("x")).toArrow()  # words of the block by rank
         new = np.zeros_like(basis)
-        sums = summed.toArrow()  # words of the block of items by rank
         new[sums["w"].to_numpy(), sums["pos"].to_numpy()] = sums["x"].to_numpy()
-        basis = np.linalg.qr(new + 1e-9 * basis)[0]
-    return basis
+        return new
+
+    for _ in range(rounds):
+        basis = np.linalg.qr(product(basis) + 1e-9 * basis)[0]
+    held, turn = np.linalg.eigh(basis.T @ product(basis))
+    order = np.argsort(-held)
+    total = passages.count()  # each passage has length 1
+    enough = int(np.searchsorted(np.cumsum(held[order]), energy * total)) + 1
+    return (basis @ turn[:, order])[:, :enough]
 
 
 def _pieces(words: np.ndarray, size: int) -> list[np.ndarray]:
@@ -102,6 +112,39 @@ def _pieces(words: np.ndarray, size: int) -> list[np.ndarray]:
     return [words[s : s + size] for s in starts]
 
 
+def _scale(n: int) -> int:
+    """Which of the scales an item of ``n`` words is sought at."""
+    return next(k for k, (most, _, _) in enumerate(_SCALES) if most is None or n <= most)
+
+
+def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each item, and of its last sentence if it has several."""
+    for batch in batches:
+        words, answers = [], []
+        for text in batch.column("t").to_pylist():
+            sentences = [s for s in (text or "").replace("!", ".").replace("?", ".").split(".") if s.strip()]
+            words.append(np.array(_words(text), np.uint64).view(np.int64))
+            answers.append(np.array(_words(sentences[-1]) if len(sentences) > 1 else [], np.uint64).view(np.int64))
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (words, answers)]
+        yield pa.RecordBatch.from_arrays([batch.column("i"), *lists], ["i", "words", "answer"])
+
+
+def _passage_rows(vocabulary):
+    """Passages of the items that are long enough, as places in the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary.value
+        for batch in batches:
+            out = []
+            for words in batch.column("words").to_pylist():
+                if len(words) >= _LEAST_WORDS:
+                    places = _look_up(v, np.array(words, np.int64).view(np.uint64))
+                    out += _pieces(places, _SCALES[_scale(len(words))][1])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["words"])
+
+    return run
+
+
 def common_length(masks: dict[int, int], full: int, words: list[int]) -> int:
     """Length of the longest common subsequence, bit-parallel over the item's words."""
     v = full
@@ -143,13 +186,31 @@ def _common_bound(place, lo, hi, item, own_keys, own_counts, width: int, step: i
     return bound
 
 
-def _search(model, cosine: float, ratio: float, loose: float, size: int):
+def _passage_scores(words: _Tokens, place: np.ndarray, known: np.ndarray, first: np.ndarray, table: np.ndarray, size: int, step: int):
+    """Latent vectors of passages of ``size`` words, one every ``step``: row, first word, vector.
+
+    Chunks of ``step`` words are summed once; a passage is a few chunks in a row. One that only
+    ends a longer one is part of the one before."""
+    chunks = -(-words.per_row // step)
+    inner = np.arange(int(chunks.sum())) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+    row = np.repeat(np.arange(len(first)), chunks)
+    begin = first[row] + inner * step
+    upto = np.concatenate([[0], np.cumsum(known)])
+    latent = _chunk_sums(table, place[known], upto[begin], np.diff(np.append(upto[begin], upto[-1])))
+    many = size // step
+    reach = np.minimum(many, chunks[row] - inner)
+    whole = latent.copy()
+    for k in range(1, many):
+        more = np.flatnonzero(reach > k)
+        whole[more] += latent[more + k]
+    live = np.flatnonzero((reach == many) | (inner == 0))
+    return row[live], begin[live], whole[live]
+
+
+def _search(model, cosine: float, ratio: float, loose: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         v, items = m["vocabulary"], m["items"]
-        table = (m["idf"][:, None] * m["basis"]).astype(np.float32)
-        queries = m["queries"].astype(np.float32)
-        own_queries = np.flatnonzero(np.diff(m["owner"], prepend=-1))
         lengths = np.array([len(words) for words in items])
         masks = []
         for words in items:
@@ -166,51 +227,40 @@ def _search(model, cosine: float, ratio: float, loose: float, size: int):
                 ids = words.ids(0)
                 place = _look_up(v, ids)
                 first = np.cumsum(words.per_row) - words.per_row
-                # Chunks of _CHUNK words from the start of each row; a passage is a few chunks in a row.
-                chunks = -(-words.per_row // _CHUNK)
-                inner = np.arange(int(chunks.sum())) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-                row = np.repeat(np.arange(len(first)), chunks)
-                begin = first[row] + inner * _CHUNK
-                chunks_of = np.diff(np.append(begin, len(place)))
-                known = place < len(v)
-                upto = np.concatenate([[0], np.cumsum(known)])
-                latent = _chunk_sums(table, place[known], upto[begin], np.diff(np.append(upto[begin], upto[-1])))
-                many = size // _CHUNK
-                reach = np.minimum(many, chunks[row] - inner)
-                whole = latent.copy()
-                for k in range(1, many):
-                    more = np.flatnonzero(reach > k)
-                    whole[more] += latent[more + k]
-                # A passage that only ends a longer one is part of the one before.
-                alive = (reach == many) | (inner == 0)
-                live = np.flatnonzero(alive)
-                scores = whole[live] @ queries.T
-                scores /= np.maximum(np.linalg.norm(whole[live], axis=1), 1e-12)[:, None]
-                scores = np.maximum.reduceat(scores, own_queries, axis=1)
-                # Passages that hold a leading word of an item are candidates too, whatever their cosine.
-                leads = m["lead_at"][place + 1] - m["lead_at"][place]
-                led = m["lead_items"][blocks.spans(m["lead_at"][place], leads)]
-                near_word = (np.cumsum(alive) - 1)[np.repeat(np.arange(len(chunks_of)), chunks_of)]
-                led += np.repeat(near_word, leads) * len(items)
-                at, item = np.divmod(np.unique(np.concatenate([np.flatnonzero(scores >= cosine), led])), len(items))
-                c = live[at]
                 best: dict[tuple[int, int], tuple] = {}
-                r, n = row[c], lengths[item]
-                lo_w = np.maximum(first[r], begin[c] - n)
-                hi_w = np.minimum(first[r] + words.per_row[r], begin[c] + size + n)
-                near = _common_bound(place, lo_w, hi_w, item, m["own_keys"], m["own_counts"], len(v) + 1) >= loose * n - 1e-9
-                cos = scores[at, item]
-                for r, item, n, c, lo_w, hi_w, cos in zip(*(x[near].tolist() for x in (r, item, n, c, lo_w, hi_w, cos)), strict=True):
-                    region = ids[lo_w:hi_w].tolist()
-                    share = common_length(masks[item], (1 << n) - 1, region) / n
-                    if share < loose:
-                        continue
-                    answer = share < ratio
-                    if answer and not _holds(region, m["answers"][item]):
-                        continue
-                    found = (share, cos, int(begin[c] - first[r]), answer)
-                    if found[:2] > best.get((r, item), (0.0, 0.0))[:2]:
-                        best[(r, item)] = found
+                for scale, spot, table, owners, queries in m["spaces"]:
+                    _, size, step = _SCALES[scale]
+                    here = np.append(spot, -1)[place]
+                    row, begin, whole = _passage_scores(words, here, here >= 0, first, table, size, step)
+                    scores = whole @ queries.T
+                    scores /= np.maximum(np.linalg.norm(whole, axis=1), 1e-12)[:, None]
+                    own = np.flatnonzero(np.diff(owners, prepend=-1))
+                    scores = np.maximum.reduceat(scores, own, axis=1)
+                    at, which = np.nonzero(scores >= cosine)
+                    item, cos = owners[own][which], scores[at, which]
+                    r, n = row[at], lengths[item]
+                    lo_w = np.maximum(first[r], begin[at] - n)
+                    hi_w = np.minimum(first[r] + words.per_row[r], begin[at] + size + n)
+                    near = _common_bound(place, lo_w, hi_w, item, m["own_keys"], m["own_counts"], len(v) + 1) >= loose * n - 1e-9
+                    start = begin[at] - first[r]
+                    for r, item, n, start, lo_w, hi_w, cos in zip(*(x[near].tolist() for x in (r, item, n, start, lo_w, hi_w, cos)), strict=True):
+                        region = ids[lo_w:hi_w].tolist()
+                        share = common_length(masks[item], (1 << n) - 1, region) / n
+                        if share < loose:
+                            continue
+                        answer = share < ratio
+                        if answer and not _holds(region, m["answers"][item]):
+                            continue
+                        found = (share, cos, start, answer)
+                        if found[:2] > best.get((r, item), (0.0, 0.0))[:2]:
+                            best[(r, item)] = found
+                for n, (runs, owners) in m["short"].items():
+                    here = blocks.window_ids(ids, n)[: len(ids) - n + 1]
+                    at = np.flatnonzero(words.whole(n) & np.isin(here, runs))
+                    for k in at.tolist():
+                        r = int(words.row[k])
+                        for item in owners[np.searchsorted(runs, here[k]) : np.searchsorted(runs, here[k], "right")].tolist():
+                            best.setdefault((r, item), (1.0, 1.0, int(k - first[r]), False))
                 out += [(lo + r, item, *x) for (r, item), x in best.items()]
             if out:
                 at, item, share, cos, start, loose_match = zip(*out, strict=True)
@@ -230,22 +280,25 @@ def _holds(region: list[int], answer: list[int]) -> bool:
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-    rank: int = 160, passage: int = 32, cosine: float = 0.35, ratio: float = 0.8, loose: float = 0.6, items_per_block: int = 5000,
+    rank: int = 160, energy: float = 0.9, cosine: float = 0.35, ratio: float = 0.8, loose: float = 0.6, items_per_block: int = 1000,
 ) -> DataFrame:
     """Pairs of rows and benchmark items whose text they hold.
 
     One row per pair: ``key``, ``item``, share (of the item's words, in order), cosine, start_word, by_answer.
 
-    Rows and items are TF-IDF passages of ``passage`` words over the items' vocabulary (frequencies
-    over all rows). The items' passages give a latent space by a distributed randomised SVD. Passages of
-    the rows, one every 16 words, whose cosine to an item's passage within that space is ``cosine`` or more are
-    candidates, and so are all that hold one of the item's rarest words: so many are taken that no text with
-    ``loose`` of its words is without all of them, so rank and block size lose no pair. There the longest common
-    subsequence with the item is taken: ``ratio`` of its words make a pair; ``loose`` of them do if the
+    Rows and items are TF-IDF passages over the items' vocabulary (frequencies over all rows): of 32 words, one every
+    16, or of 16 words, one every 8, for items of up to 16. The items' passages give a latent space by a distributed
+    randomised SVD, of at most ``rank`` dimensions, fewer if they hold ``energy`` of the passages. Items of which it keeps
+    too little are dealt, ``rank`` passages at a time, over spaces that their passages span whole, so neither rank nor number of items
+    loses one. Both passages are compared within a space, where words that are not the benchmark's hardly count, so a row's passage resembles the item it holds
+    whatever part of the item's own length the space keeps. Passages of cosine ``cosine`` or more are candidates. There the longest
+    common subsequence with the item is taken: ``ratio`` of its words make a pair; ``loose`` of them do if the
     item's answer, its last sentence, stands there word by word.
 
-    Items are searched in blocks of ``items_per_block``, which bounds what is broadcast and what each task holds.
-    Items of fewer than five words (null and empty ones too) match nothing. A null text has no words. Null and repeated keys keep
+    Frequencies take one pass over the rows. Items are searched in blocks of about ``items_per_block``, which bounds what is
+    broadcast and what the driver and each task hold, at one pass each. Items of one to four words are sought word for word beside them. Null
+    and empty items, and those without a word, match nothing. A null text has no words; a very long one is
+    cut into passages like any other, and its words are held at once. Null and repeated keys keep
     their rows; a repeated item gives a pair each. Empty tables give no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -254,54 +307,96 @@ def decontaminate(
         f"k {rows.schema['k'].dataType.simpleString()}, item {benchmark.schema[item].dataType.simpleString()}, "
         "share double, cosine double, start_word long, by_answer boolean"
     )
-    out, held = spark.createDataFrame([], schema), []
-
-    def search() -> None:
-        nonlocal out
-        if held:
-            out = out.unionByName(rows.mapInArrow(_search(_model(rows, held, passage, rank, loose), cosine, ratio, loose, passage), schema))
-            held.clear()
-
-    for r in benchmark.select(F.col(item).alias("i"), F.col(item_text).cast("string").alias("t")).toLocalIterator():
-        words = _words(r.t)
-        if len(words) >= _LEAST_WORDS:
-            sentences = [s for s in (r.t or "").replace("!", ".").replace("?", ".").split(".") if s.strip()]
-            held.append((r.i, words, _words(sentences[-1]) if len(sentences) > 1 else []))
-        if len(held) == items_per_block:
-            search()
-    search()
+    texts = benchmark.select(F.col(item).alias("i"), F.col(item_text).cast("string").alias("t"))
+    parsed = texts.mapInArrow(_item_rows, f"i {benchmark.schema[item].dataType.simpleString()}, words array<bigint>, answer array<bigint>")
+    parsed = stage_table(parsed.where(F.size("words") > 0).withColumn("n", F.monotonically_increasing_id()), "benchmark-items")
+    many = -(-parsed.count() // items_per_block)
+    out = spark.createDataFrame([], schema)
+    if many:
+        vocabulary = np.sort(parsed.select(F.explode("words").alias("w")).distinct().toArrow()["w"].to_numpy().view(np.uint64))
+        idf = _idf(rows, vocabulary)
+        for block in range(many):
+            held = parsed.where(F.pmod(F.xxhash64("n"), F.lit(many)) == block)
+            model = _model(held, vocabulary, idf, rank, energy)
+            if model is not None:
+                out = out.unionByName(rows.mapInArrow(_search(model, cosine, ratio, loose), schema))
     return out.withColumnRenamed("k", key).withColumnRenamed("item", item)
 
 
-def _model(rows: DataFrame, held: list[tuple], passage: int, rank: int, loose: float):
-    """Vocabulary, weights, latent basis and query vectors of a block of items, broadcast."""
-    spark = rows.sparkSession
-    items = [np.array(words, np.uint64) for _, words, _ in held]
-    vocabulary = np.unique(np.concatenate(items))
-    shared = spark.sparkContext.broadcast(vocabulary)
+def _idf(rows: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """Weight of each word of the benchmark by how many rows hold it."""
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
     count = np.zeros(len(vocabulary) + 1)
-    for r in rows.mapInArrow(_frequencies(shared), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toLocalIterator():
-        count[r.w] = r.n
-    idf = np.log((count[-1] + 2) / (count[:-1] + 1))
-    # Leading words of an item: so many of its rarest that ``loose`` of its words cannot be without all of them.
-    leading = []
-    for words in items:
-        at = _look_up(vocabulary, words)
-        leading.append(np.unique(at[np.argsort(-idf[at], kind="stable")][: len(at) - max(1, math.ceil(loose * len(at) - 1e-9)) + 1]))
-    lead_word = np.concatenate(leading)
-    lead_order = np.argsort(lead_word, kind="stable")
-    lead_at = np.searchsorted(lead_word[lead_order], np.arange(len(vocabulary) + 2))
-    lead_items = np.repeat(np.arange(len(items)), [len(x) for x in leading])[lead_order]
+    sums = rows.mapInArrow(_frequencies(shared), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+    count[sums["w"].to_numpy()] = sums["n"].to_numpy()
+    return np.log((count[-1] + 2) / (count[:-1] + 1))
+
+
+def _few(pieces: list[tuple], left: list[int], most: int) -> list[tuple]:
+    """Passages of the first items left, ``most`` at most, one item at least."""
+    owned: dict[int, list[tuple]] = {}
+    for x in pieces:
+        owned.setdefault(x[1], []).append(x)
+    out: list[tuple] = []
+    for k in left:
+        if out and len(out) + len(owned[k]) > most:
+            break
+        out += owned[k]
+    return out
+
+
+def _model(held: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, rank: int, energy: float):
+    """Vocabulary, weights, latent basis and query vectors of a block of items, broadcast; None for an empty block."""
+    spark = held.sparkSession
+    table = held.toArrow()
+    if not table.num_rows:
+        return None
+    items, answers = ([np.array(x, np.int64).view(np.uint64) for x in table[c].to_pylist()] for c in ("words", "answer"))
+    own = np.unique(np.concatenate(items))
+    idf, vocabulary = idf[_look_up(vocabulary, own)], own
     own_keys, own_counts = np.unique(
         np.concatenate([k * (len(vocabulary) + 1) + _look_up(vocabulary, words) for k, words in enumerate(items)]), return_counts=True
     )
-    pieces = [(k, _look_up(vocabulary, p)) for k, words in enumerate(items) for p in _pieces(words, passage)]
-    table = spark.createDataFrame([(p.tolist(),) for _, p in pieces], "words array<bigint>").repartition(4)
-    basis = latent_basis(table, idf, rank)
-    queries = np.array([(np.bincount(p, minlength=len(idf)) * idf) @ basis for _, p in pieces])
-    queries /= np.maximum(np.linalg.norm(queries, axis=1), 1e-12)[:, None]
+    pieces = [(_scale(len(words)), k, _look_up(vocabulary, p)) for k, words in enumerate(items) if len(words) >= _LEAST_WORDS for p in _pieces(words, _SCALES[_scale(len(words))][1])]
+    passages = held.select("words").mapInArrow(_passage_rows(spark.sparkContext.broadcast(vocabulary)), "words array<bigint>")
+    passages = stage_table(passages, "benchmark-passages")
+    spaces, left = [], sorted({k for _, k, _ in pieces})
+    basis = latent_basis(passages, idf, rank, energy) if left else None
+    while left:  # the first space holds the items it renders well, the others are dealt over small ones of their own
+        whole = basis is not None
+        of = [x for x in pieces if x[1] in set(left)] if whole else _few(pieces, left, rank)
+        used = np.unique(np.concatenate([p for _, _, p in of]))
+        counted = [np.unique(np.searchsorted(used, p), return_counts=True) for _, _, p in of]
+        weight = idf[used]
+        if whole:
+            reach = basis[used]
+        else:
+            dense = np.zeros((len(used), len(of)))
+            for i, (w, n) in enumerate(counted):
+                dense[w, i] = n * weight[w]
+            reach = np.linalg.qr(dense)[0]
+        vectors = np.stack([(n * weight[w]) @ reach[w] for w, n in counted]).astype(np.float32)
+        length = np.linalg.norm(vectors, axis=1)
+        share = (length / np.maximum([np.linalg.norm(n * weight[w]) for w, n in counted], 1e-12)) ** 2
+        shown: dict[int, float] = {}
+        for (_, k, _), x in zip(of, share.tolist(), strict=True):
+            shown[k] = min(shown.get(k, 1.0), x)
+        done = {k for k, x in shown.items() if x >= _RENDERED or not whole}
+        spot = np.full(len(idf), -1)
+        spot[used] = np.arange(len(used))
+        for scale in range(len(_SCALES)):
+            at = [i for i, (s, k, _) in enumerate(of) if s == scale and k in done]
+            if at:
+                unit = vectors[at] / np.maximum(length[at], 1e-12)[:, None]
+                spaces.append((scale, spot, (weight[:, None] * reach).astype(np.float32), np.array([of[i][1] for i in at], np.int64), unit))
+        left, basis = [k for k in left if k not in done], None
+    short = {}
+    for n in range(1, _LEAST_WORDS):
+        of = [(blocks.window_ids(words, n)[0], k) for k, words in enumerate(items) if len(words) == n]
+        if of:
+            of.sort()
+            short[n] = np.array([x for x, _ in of], np.uint64), np.array([k for _, k in of])
     return spark.sparkContext.broadcast({
-        "vocabulary": vocabulary, "items": [w.tolist() for w in items], "answers": [a for _, _, a in held],
-        "keys": pa.array([i for i, _, _ in held]), "idf": idf, "basis": basis, "lead_at": lead_at, "lead_items": lead_items,
-        "queries": queries, "owner": np.array([k for k, _ in pieces]), "own_keys": own_keys, "own_counts": own_counts,
+        "vocabulary": vocabulary, "items": [w.tolist() for w in items], "answers": [a.tolist() for a in answers], "short": short,
+        "keys": table["i"].combine_chunks(), "spaces": spaces, "own_keys": own_keys, "own_counts": own_counts,
     })

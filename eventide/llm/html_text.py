@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -29,26 +30,54 @@ _MARKS = frozenset(
     "disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup popover promo related replies "
     "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that may stand beside them in a name without changing what it says.
+_PLAIN = frozenset("area bar block bottom box container content footer header inner left list main outer page panel right section site slot top unit wrap wrapper".split())
+#: Elements that class words can mark: containers, never a paragraph, heading, quotation or table.
+_MARKABLE = frozenset("center details div dl fieldset figure hgroup ins li nav ol section span table ul".split()) - {"table"}
+#: Elements that hold blocks and may be a region of content.
+_BOX = frozenset("article blockquote body center dd details div dl fieldset figure main ol section table td ul".split())
 _WORD = re.compile(r"[a-z]+")
 _CLOSES_P = _BLOCK - {"head", "html", "body"}
 
 
+def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether a name in class, id or role marks a container: each name must consist of marking words, plain ones beside them."""
+    if tag not in _MARKABLE:
+        return False
+    for name, value in attrs:
+        if value and name in ("class", "id", "role"):
+            for token in value.lower().split():
+                words = set(_WORD.findall(token))
+                if words & _MARKS and words <= _MARKS | _PLAIN:
+                    return True
+    return False
+
+
 class _Lines(HTMLParser):
-    """Lines of a page from its stream of events: text, tags, characters in links, and whether the
-    line stands in a part that is no article, and in an article element."""
+    """Lines of a page from its stream of events: text, tags, characters in links, whether the line
+    stands in a part that is no article, and the numbers of the nearest container around it and of the nearest
+    article or main element (0: none). ``parent`` leads from a container to the one around it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool]] = []
-        self.aside = self.links = self.inside = 0
+        self.names: Counter = Counter()
+        self.boxes: list[int] = [0]
+        self.articles: list[int] = [0]
+        self.parent = [0]
+        self.aside = self.links = 0
         self.text: list[str] = []
         self.tags = self.linked = 0
-        self.lines: list[tuple[str, int, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, int, int]] = []
+
+    def parse_marked_section(self, i, report=1):
+        """A marked section has no meaning in a page: it is a comment up to the next bracket, whatever it holds."""
+        return self.parse_bogus_comment(i, report)
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, self.aside > 0, self.inside > 0))
+            self.lines.append((text, self.tags, self.linked, self.aside > 0, self.boxes[-1], self.articles[-1]))
             self.tags = 0
         self.text, self.linked = [], 0
 
@@ -57,7 +86,11 @@ class _Lines(HTMLParser):
             self._end_line()
         self.aside -= aside
         self.links -= tag == "a"
-        self.inside -= tag in ("article", "main")
+        self.names[tag] -= 1
+        if tag in _BOX:
+            self.boxes.pop()
+        if tag in ("article", "main"):
+            self.articles.pop()
 
     def handle_starttag(self, tag, attrs):
         if tag in _BLOCK:
@@ -71,19 +104,24 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in _VOID:
             return
-        marked = tag in _ASIDE or tag not in ("html", "body", "article", "main") and any(
-            not _MARKS.isdisjoint(_WORD.findall(value.lower())) for name, value in attrs if value and name in ("class", "id", "role")
-        )
+        marked = tag in _ASIDE or _marked(tag, attrs)
         if marked:
             self._end_line()
         self.open.append((tag, marked))
         self.aside += marked
         self.links += tag == "a"
-        self.inside += tag in ("article", "main")
+        self.names[tag] += 1
+        if tag in _BOX:
+            self.parent.append(self.boxes[-1])
+            self.boxes.append(len(self.parent) - 1)
+        if tag in ("article", "main"):
+            self.articles.append(self.boxes[-1])
 
     def _close(self, tag: str, up_to: frozenset = frozenset()) -> None:
         """Ends the nearest open element of that name and all within it, unless one of ``up_to``
         stands between."""
+        if not self.names[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 while len(self.open) > k:
@@ -96,7 +134,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag == "br":
             self.text.append(" ")
-        elif tag == "p" and not any(t == "p" for t, _ in self.open):
+        elif tag == "p" and not self.names["p"]:
             self._end_line()
         else:
             self._close(tag)
@@ -134,28 +172,50 @@ def _threshold(x: np.ndarray) -> float:
     return float(x[:-1][np.argmax(between)]) if len(n) and between.max() > 0 else 0.0
 
 
-def main_text(html: str | None, sigma: float = 1.0, least: float = 1.0) -> str:
-    """Main text of one page, its blocks joined by line feeds; empty if there is none."""
-    parser = _Lines()
-    parser.feed(html or "")
-    lines = parser.finish()
-    article = any(inside and not aside for _, _, _, aside, inside in lines)
-    if article:
-        lines = [(t, g, k, aside or not inside, inside) for t, g, k, aside, inside in lines]
-    if not lines:
-        return ""
-    ratio = np.array([0.0 if aside else (len(t) - linked) / max(tags, 1) for t, tags, linked, aside, _ in lines])
-    aside = np.array([x[3] for x in lines])
+def content_lines(lines: list[tuple], parent: list[int], sigma: float = 1.0) -> np.ndarray:
+    """Which lines belong to content regions.
+
+    Ratios of characters outside links per tag are smoothed, over each stretch between parts that are no article,
+    and cut into two clusters: the upper lines are content. They choose the regions: article and main elements
+    that hold one and are not links for the most part; on pages without such, the nearest containers of several lines in which they have most of the
+    characters, beside the upper lines themselves. A region keeps all its lines but those of parts that are no article; outside
+    an article element a line that stands wholly in a link goes.
+    """
+    aside = np.array([x[3] for x in lines], bool)
+    size, linked = np.array([len(x[0]) for x in lines]), np.array([x[2] for x in lines])
+    ratio = np.where(aside, 0.0, np.maximum(size - linked, 0) / np.maximum([x[1] for x in lines], 1))
     score = np.zeros(len(lines))
     # Smoothing runs over each region between parts that are no article, so these neither lend nor borrow.
     cut = np.flatnonzero(np.diff(np.concatenate([[True], aside, [True]]).astype(int)))
     for lo, hi in zip(cut[::2], cut[1::2], strict=True):
         score[lo:hi] = _smooth(ratio[lo:hi], sigma)
     score = np.log1p(score)
-    border = _threshold(score)
-    if article:  # its element decides; a block in a link stays by the blocks around it
-        border = min(border, float(np.log1p(least)))
-    return "\n".join(t for (t, *_), s, r in zip(lines, score, ratio, strict=True) if s > border and (article or r > 0))
+    upper = (score > _threshold(score)) & ~aside
+    article = np.array([x[5] for x in lines])
+    # Its own text must speak for an article, not only its neighbours' ratios.
+    own, links, seen = (np.bincount(article, v, len(parent)) for v in (np.where(aside, 0, size - linked), np.where(aside, 0, linked), upper * (size - linked)))
+    chosen = set(np.flatnonzero((seen > 0) & (own >= links)).tolist()) - {0}
+    if chosen:
+        return ~aside & np.isin(article, list(chosen))
+    box = np.array([x[4] for x in lines])
+    held, above, many = (np.bincount(box, np.where(aside, 0, x), len(parent)) for x in (size, size * upper, np.ones(len(lines))))
+    for inner in range(len(parent) - 1, 0, -1):  # a container's number is greater than that of the one around it
+        for x in (held, above, many):
+            x[parent[inner]] += x[inner]
+    region = np.zeros(len(parent), np.int64)
+    for inner in range(1, len(parent)):
+        region[inner] = inner if many[inner] > 1 else region[parent[inner]]
+    most = 2 * above > held
+    return ~aside & (upper | most[region[box]]) & (ratio > 0)
+
+
+def main_text(html: str | None, sigma: float = 1.0) -> str:
+    """Main text of one page, its blocks joined by line feeds; empty if there is none."""
+    parser = _Lines()
+    parser.feed(html or "")
+    lines = parser.finish()
+    keep = content_lines(lines, parser.parent, sigma) if lines else []
+    return "\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,14 +230,13 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     """Main text of every page from its whole HTML: ``key``, url, text.
 
     Parser events become lines, one per block. A line's ratio is its characters outside links per
-    tag; navigation, headers, footers, forms, notices, adverts and reader comments, known by element or by
-    the words of class, id and role, count no text, nor does what stands outside an article or main element
-    if the page has one with text. The ratios are smoothed by a Gaussian over neighbouring lines, and a cut between two clusters
-    selects the content. Within an article or main element the cut is at one character per tag at most, and a block
-    that stands wholly in a link is judged by its smoothed ratio; elsewhere such a block goes.
+    tag. Navigation, headers, footers, forms, adverts and reader comments, known by element or as containers whose class, id
+    or role says nothing else, have no ratio. The ratios, smoothed by a Gaussian over neighbouring lines and cut into
+    two clusters, select the content regions (``content_lines``), which are kept whole but for such parts.
 
     A null or empty page, and one without content, gives an empty text. Broken markup is read as far as
-    events go. Null and repeated keys keep their rows. An empty table gives no rows. Other columns are ignored.
+    events go; a marked section is a comment. A very long page is read whole, one at a time. Null and repeated keys keep
+    their rows. An empty table gives no rows. Other columns are ignored.
     """
     rows = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     kind = rows.schema["k"].dataType.simpleString()

@@ -20,12 +20,11 @@ def _alphabet() -> np.ndarray:
     points beyond Latin share numbers by remainder."""
     if "map" not in _state:
         number = np.zeros(0x110000, np.int16)
-        for cp in range(0x30000):
+        for cp in range(0x40000):  # beyond lie no letters, only unassigned and private code points
             c = chr(cp)
             if c.isalpha():
                 low = c.lower()[0]
                 number[cp] = 1 + (ord(low) if ord(low) < 0x250 else 0x250 + ord(low) % (_LETTERS - 0x251))
-        number[0x30000:] = 1 + 0x250
         _state["map"] = number
     return _state["map"]
 
@@ -36,14 +35,14 @@ def _letters(dim: int) -> np.ndarray:
 
 def _grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams of each text: text number, code, count; and the letters of each text. A run of
-    other characters is one gap."""
+    other characters is one gap, and every text begins and ends with one."""
     number = _alphabet()
-    joined = " \0".join(texts) + " "
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter((len(t) + 2 for t in texts), np.int64, len(texts))
-    row = np.repeat(np.arange(len(texts)), sizes)[: len(points)]
+    row = np.repeat(np.arange(len(texts)), sizes)
     x = number[points].astype(np.int64)
     keep = (x > 0) | np.concatenate([[True], x[:-1] > 0])
+    keep[np.cumsum(sizes) - sizes] = True
     x, row = x[keep], row[keep]
     count = np.bincount(row[x > 0], minlength=len(texts))
     m = max(0, len(x) - n + 1)
@@ -137,7 +136,7 @@ def _predict(model, likeness: bool = False):
                 x = out / np.maximum(size, 1e-12)[:, None] - m["mean"]
                 x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
                 if m["names"]:
-                    cos = x @ m["vectors"].T
+                    cos = np.round(x @ m["vectors"].T, 9)  # the last digits depend on how many texts share a product
                     best = np.argmax(cos, axis=1)
                     top = cos[np.arange(b - a), best]
                 else:
@@ -185,17 +184,22 @@ def known_language(docs: DataFrame, model: dict, key: str = "doc_id", text: str
 
     A text's likeness is the mean product of its n-grams with the prototype of its language, the mean not
     taken off. It does not depend on the text's length, only its spread does, which falls with the root of
-    its letters. Median and spread of each language come from all rows with that language. A text is known
-    if it reaches ``share`` of the median, two deviations allowed; one without a letter is not.
+    its letters. Median and spread of each language come from all rows with that language, one row per language for
+    the driver. A text is known if it reaches ``share`` of the median, two deviations allowed; one without a letter is not.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
     found = stage_table(rows.mapInArrow(_predict(shared, True), f"k {kind}, lang string, lang_pred string, score double, alike double, letters long"), "likeness")
     right = found.where("lang = lang_pred and letters > 0")
-    middle = right.groupBy("lang_pred").agg(F.percentile_approx("alike", 0.5, 10000).alias("middle"))
-    off = F.abs(F.col("alike") - F.col("middle")) * F.sqrt("letters")
-    spread = right.join(middle, "lang_pred").groupBy("lang_pred", "middle").agg((1.4826 * F.percentile_approx(off, 0.5, 10000)).alias("spread"))
-    enough = F.col("alike") + 2 * F.col("spread") / F.sqrt(F.greatest("letters", F.lit(1))) >= share * F.col("middle")
-    judged = found.join(spread, "lang_pred", "left")
-    return judged.select(F.col("k").alias(key), "lang_pred", ((F.col("letters") > 0) & F.coalesce(enough, F.lit(False))).alias("known"))
+
+    def of_language(values: dict) -> Column:
+        """A number of the predicted language: the model has one row per language, and so has this map."""
+        pairs = [F.lit(x) for pair in values.items() for x in pair]
+        return F.element_at(F.create_map(*pairs).cast("map<string,double>"), F.col("lang_pred")) if pairs else F.lit(None).cast("double")
+
+    middle = {r.lang_pred: r.x for r in right.groupBy("lang_pred").agg(F.percentile_approx("alike", 0.5, 10000).alias("x")).collect()}
+    off = F.abs(F.col("alike") - of_language(middle)) * F.sqrt("letters")
+    spread = {r.lang_pred: 1.4826 * r.x for r in right.groupBy("lang_pred").agg(F.percentile_approx(off, 0.5, 10000).alias("x")).collect()}
+    enough = F.col("alike") + 2 * of_language(spread) / F.sqrt(F.greatest("letters", F.lit(1))) >= share * of_language(middle)
+    return found.select(F.col("k").alias(key), "lang_pred", ((F.col("letters") > 0) & F.coalesce(enough, F.lit(False))).alias("known"))

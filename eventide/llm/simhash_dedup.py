@@ -45,17 +45,18 @@ def _fingerprints(width: int):
                     starts = (np.cumsum(shingles) - shingles)[some]
                     ones = np.add.reduceat(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1), starts, axis=0, dtype=np.int32)
                     out[some] = np.packbits(ones * 2 > shingles[some, None], axis=1).view(np.uint64).ravel()
-                yield pa.RecordBatch.from_arrays([batch.column("k").slice(lo, hi - lo), pa.array(out.view(np.int64))], ["k", "f"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("k", "c")), pa.array(out.view(np.int64))], ["k", "c", "f"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
     """SimHash of each row as a long: a bit is 1 if it is set in over half of the XXH64 (seed 42) of
-    the row's ``width``-word shingles, repeats included."""
-    rows = docs.select(F.col(key).alias("k"), blocks.utf8(text, "\n").alias("t"))
-    kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(_fingerprints(width), f"k {kind}, f long").withColumnRenamed("k", key)
+    the row's ``width``-word shingles, repeats included. Columns ``k``, ``c`` (those of ``carry``), ``f``."""
+    carried = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(F.col(key).alias("k"), blocks.utf8(text, "\n").alias("t"), carried.alias("c"))
+    kind, along = (rows.schema[c].dataType.simpleString() for c in "kc")
+    return rows.mapInArrow(_fingerprints(width), f"k {kind}, c {along}, f long")
 
 
 def _cells(distance: int) -> list[int]:
@@ -139,7 +140,7 @@ def near_links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     return cells.repartition("c", "cell").sortWithinPartitions("c", "cell").mapInArrow(_links(distance), "a long, b long")
 
 
-def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
+def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, distance: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
     """Groups rows whose SimHash fingerprints are linked by chains of at most ``distance`` bits.
 
     One row per input row: ``key``, fingerprint (16 hex digits), component_id (smallest key that can
@@ -152,15 +153,16 @@ def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     A-Z are lower-cased; a row with fewer words than ``width`` has one shingle of them all; a null,
     empty or blank text has fingerprint zero and is linked like any other. A null key gets the
     component of its group and is never kept unless the whole group's keys are null. An empty table
-    gives no rows. Other columns are ignored.
+    gives no rows. Columns named in ``carry`` go along in a struct ``carried``, beside ``group``, which names
+    the group even where two groups share their smallest key; others are ignored.
     """
-    marks = stage_table(fingerprints(docs, key, text, width), "fingerprints")
-    nodes = marks.groupBy("f").agg(F.min(key).alias("low"))
+    marks = stage_table(fingerprints(docs, key, text, width, carry), "fingerprints")
+    nodes = marks.groupBy("f").agg(F.min("k").alias("low"))
     linked = components(near_links(nodes.select("f"), distance))
     nodes = nodes.join(linked, F.col("f") == F.col("node"), "left").select("f", "low", F.coalesce("component", "f").alias("component"))
     lows = nodes.groupBy("component").agg(F.min("low").alias("component_id"))
-    nodes = nodes.join(lows, "component").select("f", "component_id")
+    nodes = nodes.join(lows, "component").select("f", "component", "component_id")
     return marks.join(nodes, "f").select(
-        key, F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id",
-        F.col(key).eqNullSafe(F.col("component_id")).alias("kept"),
+        F.col("k").alias(key), F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id",
+        F.col("k").eqNullSafe(F.col("component_id")).alias("kept"), *([F.col("component").alias("group"), F.col("c").alias("carried")] if carry else []),
     )

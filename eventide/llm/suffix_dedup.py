@@ -192,7 +192,15 @@ def _resolve(width: int) -> Callable:
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_characters(part: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Bytes that go once every character that lost a byte goes as a whole. Each row begins with a character."""
+    if not gone.any():
+        return gone
+    lead = np.flatnonzero((part & 0xC0) != 0x80)
+    return np.repeat(np.logical_or.reduceat(gone, lead), np.diff(np.append(lead, len(part))))
+
+
+def _cut(batches: Iterator[pa.RecordBatch], characters: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offs, data = blocks.buffers(batch.column("t"))
         for lo, hi in blocks.row_blocks(offs):
@@ -209,20 +217,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edges = at[:-1][np.diff(at) > 0]
             head[edges] = gone[edges]
             sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[at])
-            removed = sums(gone)
+            removed, lost = sums(gone), _with_characters(part, gone) if characters else gone
             yield pa.RecordBatch.from_pydict({
                 "k": batch.column("k").slice(lo, hi - lo), "c": batch.column("c").slice(lo, hi - lo), "n_bytes": pa.array(np.diff(at), pa.int64()),
                 "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(sums(head), pa.int64()),
-                "kept": blocks.binary_array(part[~gone], np.diff(at) - removed),
+                "kept": blocks.binary_array(part[~lost], np.diff(at) - sums(lost)),
             })
 
 
-def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
+def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 50, carry: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
     """Removes each byte covered by a ``width``-byte string that also starts under a smaller key.
 
     Texts are UTF-8 bytes; matches stay within a row, and all are judged on the input. One row per
     input row: ``key``, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary; a cut may
-    fall inside a character).
+    fall inside a character, unless ``characters`` is set: then kept lacks every character that lost a byte, and is valid UTF-8).
 
     1. Windows are gathered into stretches with one leading gram. A count-min sketch of the leaders
        drops stretches that cannot be repeated.
@@ -250,6 +258,6 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     on = (F.coalesce("k", F.lit(int(_LAST))) == F.col("k2")) & (F.col("h") == F.col("h2"))
     joined = with_carried.join(gone, on, "left").select("k", "t", "c", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
     kind = with_carried.schema["c"].dataType.simpleString()
-    out = joined.mapInArrow(_cut, f"k long, c {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = joined.mapInArrow(lambda batches: _cut(batches, characters), f"k long, c {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
     out = out.withColumnRenamed("c", "carried") if carry else out.drop("c")
     return out.withColumnRenamed("k", key)

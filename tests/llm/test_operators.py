@@ -181,6 +181,46 @@ def test_every_verbatim_item_of_a_large_benchmark_is_found(spark):
     assert {(i, i) for i in range(len(chosen))} <= got
 
 
+def test_pairs_equal_brute_force(spark):
+    """Every pair of short rows and items, by the plain table of common subsequences."""
+    rng = np.random.default_rng(8)
+    words = [f"v{i}" for i in range(900)]
+    items = [[words[k] for k in rng.integers(0, 900, int(rng.integers(6, 28)))] for _ in range(60)]
+    rows = []
+    for i in range(300):
+        item = items[int(rng.integers(0, 60))]
+        part = [w if rng.random() > (i % 6) / 10 else f"z{int(rng.integers(0, 99))}" for w in item]
+        around = [f"u{int(k)}" for k in rng.integers(0, 500, 5)]
+        rows.append(around[:2] + part + around[2:])
+
+    def common(a, b):
+        above = [0] * (len(b) + 1)
+        for x in a:
+            now = [0]
+            for j, y in enumerate(b):
+                now.append(above[j] + 1 if x == y else max(now[j], above[j + 1]))
+            above = now
+        return above[-1]
+
+    expected = {(i, k): common(t, r) / len(r) for i, t in enumerate(rows) for k, r in enumerate(items)}
+    expected = {pair: share for pair, share in expected.items() if share >= 0.8}
+    docs = spark.createDataFrame([(i, " ".join(t), 1, "x") for i, t in enumerate(rows)], "doc_id long, text string, t int, k string").repartition(5)
+    bench = spark.createDataFrame([(k, " ".join(r), 1) for k, r in enumerate(items)], "item_id long, text string, words int")
+    for block in (5000, 13):
+        got = {(r.doc_id, r.item_id): r.share for r in decontaminate(docs, bench, items_per_block=block).collect()}
+        assert len(expected) > 100 and set(got) <= set(expected) and len(got) >= 0.98 * len(expected)
+        assert all(abs(got[pair] - expected[pair]) < 1e-12 for pair in got)
+
+
+def test_short_repeated_and_long_items(spark):
+    filler = " ".join(f"filler{i}" for i in range(200))
+    long = " ".join(f"long{i * 7919 % 5003}" for i in range(3000))
+    docs = spark.createDataFrame([(1, f"{filler} Too, short here"), (2, f"{filler} {long} {filler * 200}"), (3, "too here short"), (4, f"{filler} yes")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "too short"), (2, "too short"), (3, long), (4, "!!!"), (None, "Yes.")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id or 0, r.share) for r in decontaminate(docs, bench).collect())
+    assert got == [(1, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (4, 0, 1.0)]
+
+
 def test_common_length():
     masks = {1: 0b1001, 2: 0b0010, 3: 0b0100}
     assert common_length(masks, 0b1111, [1, 9, 2, 3, 1]) == 4
@@ -239,6 +279,40 @@ def test_language_of_held_out_documents(spark, docs, sf_dir):
     assert all(odd[d] == ("und", 0.0) for d in (9000, 9001, 9002, 9007)) and odd[9008][0] != "und"
     assert all(0 <= s <= 1 for _, s in odd.values())
     assert {r.lang_pred for r in language_id(docs, fit(docs.limit(0))).collect()} == {"und"}
+    assert language_id(docs.limit(0), model).count() == 0
+
+
+def test_scores_do_not_depend_on_partitions(spark, sf_dir):
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = fit(real)
+    odd = spark.createDataFrame([(k, t) for k, t in enumerate(["a", "É", "漢", "  hello world", "hello world  ", "1", "\U00100000", "\U0003fffe", "ñ 1"])], "doc_id long, text string")
+    rows = real.select("doc_id", "text").unionByName(odd)
+    one, many = (sorted(map(tuple, language_id(rows.repartition(n), model).collect())) for n in (1, 50))
+    assert one == many
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id(odd, model).collect()}
+    assert all(got[k][0] != "und" for k in (0, 1, 2, 8)) and all(got[k] == ("und", 0.0) for k in (5, 6, 7))
+    assert got[3] == got[4]
+
+
+def test_profiles_equal_brute_force(spark, sf_dir):
+    """Bound and bundled n-gram vectors of a few texts, letter by letter."""
+    from eventide.llm.language_id import _alphabet, _bundles, _letters
+
+    letters, number = _letters(256), _alphabet()
+    texts = ["a", "Hello, wörld!", "  x  y ", "", "...", "ñandú 12 漢字"]
+    out, count = _bundles(texts, 3, letters)
+    for text, vector, n in zip(texts, out, count):
+        symbols = [0]
+        for c in text:
+            symbol = int(number[ord(c)])
+            if symbol or symbols[-1]:
+                symbols.append(symbol)
+        symbols += [0] if symbols[-1] else []
+        expected = np.zeros(256)
+        for i in range(len(symbols) - 2):
+            gram = symbols[i : i + 3]
+            expected += np.prod([np.roll(letters[s], 2 - k) for k, s in enumerate(gram)], axis=0)
+        assert (vector == expected).all() and n == sum(s > 0 for s in symbols)
 
 
 def _reach(n, linked):
@@ -299,6 +373,46 @@ def test_short_blocks_of_plain_divs_go():
     assert got.count("A long sentence") == 9 and got.count("Teaser") <= 2
 
 
+PROSE = "A long sentence of the story that goes on for quite some words, as stories do. " * 3
+
+
+def test_the_ratio_chooses_among_articles():
+    cards = "".join(f'<article><h3><a href="/{k}">Card {k}</a></h3><p><a href="/{k}"><b><i>more</i></b></a></p></article>' for k in range(5))
+    page = f"<body>{cards}<article><h1>Head</h1><p>{PROSE}</p><p>Ok.</p><p>{PROSE}</p></article>{cards}</body>"
+    story = " ".join(PROSE.split())
+    assert main_text(page) == f"Head\n{story}\nOk.\n{story}"
+    assert "Card" in main_text(f"<body>{cards}</body>") or main_text(f"<body>{cards}</body>") == ""
+
+
+def test_the_ratio_chooses_regions_without_an_article():
+    side = "".join(f"<p><b><i><span>Tip {k}</span></i></b></p>" for k in range(9))
+    page = f"<body><div><p>{side}</p></div><div><h2>Head of it</h2><div>{PROSE}</div><div>{PROSE}</div><div>Ok then.</div><div>{PROSE}</div></div><div>{side}</div></body>"
+    got = main_text(page).split("\n")
+    assert got[0] == "Head of it" and got.count(" ".join(PROSE.split())) == 3 and "Ok then." in got and sum("Tip" in x for x in got) <= 2
+
+
+def test_paragraphs_of_an_article_stay_whatever_their_class():
+    page = (
+        f'<article><p class="social-history">{PROSE}</p><section id="related-work"><p>Related work stays.</p></section><p class="notice">A notice to airmen.</p>'
+        '<div class="ad-slot">Buy this.</div><div id="comments-list"><p>Nice!</p></div><div class="site-notice">We use cookies.</div></article>'
+    )
+    assert main_text(page).split("\n")[1:] == ["Related work stays.", "A notice to airmen."]
+
+
+def test_no_page_stops_the_job(spark):
+    import random
+
+    random.seed(4)
+    bits = ["<![foo[x", "<![ ", "<![foo x]>", "<![CDATA[a]]>", "<!", "<!-", "<!--", "-->", "<!DOCTYPE [", "]>", "<?x", "<p>", "</p", "<a href='", "&#x;", "&#99999999999;", "&amp", "<div class=>", "</", "<", ">", "\0",
+            "text ", "<article>", "</article>", "<script>", "</script>", "<textarea>", "é", "\ud83d"[:0], "<b/>", "<svg", "=\"", "]]>", "<title>", "<plaintext>", "<li>", "<td>"]
+    pages = ["".join(random.choice(bits) for _ in range(random.randint(1, 30))) for _ in range(4000)]
+    for page in pages:
+        main_text(page)
+    deep = "<div><b>x " * 20000 + "</p>" * 20000 + "</i>" * 20000
+    table = spark.createDataFrame([(k, "u", p) for k, p in enumerate([*pages[:200], "<![foo x]>", "fine <p>text", deep])], "page_id long, url string, html string")
+    assert extract_main_text(table).count() == 203 and extract_main_text(table.limit(0)).count() == 0
+
+
 def test_pages_keep_their_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>abc</p>", "x"), (1, "u", "<p>abc", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in extract_main_text(pages).collect()) == [(0, "abc"), (1, ""), (1, "abc")]
