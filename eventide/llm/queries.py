@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from eventide.llm import sql
 from eventide.llm.conversation_repair import repair_conversations
 from eventide.llm.decontaminate import decontaminate
 from eventide.llm.embedding_dedup import embedding_dedup
@@ -119,4 +120,8 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_conversation_repair": sql.CONVERSATION_REPAIR,
+    "op12_secret_scan": sql.SECRET_SCAN,
+    "op13_vector_codes": sql.VECTOR_CODES,
+}
