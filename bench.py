@@ -20,6 +20,7 @@ HEADLINE = [
     "hourly_deviation", "best_hours", "walk_forward", "directional_accuracy", "backtest_last_event",
     "scenario_scores", "post_score", "best_post", "recent_context", "target_item_filter", "page_text",
     "notice_upsert", "json_landing", "board_year", "final_overwrite", "forecast_choice", "stream_upsert", "stream_alerts",
+    "walk_forward_lines", "backtest_features", "isotonic_fit", "tick_store",
 ]
 
 
