@@ -12,10 +12,10 @@ from eventide.llm import blocks
 from eventide.session import stage_table
 
 #: Passages by the length of the item they are sought for: up to so many words (none: any), passage, and step from one to the next.
-_SCALES = ((16, 16, 8), (None, 32, 16))
+_SCALES = ((9, 16, 8), (None, 32, 16))
 _LEAST_WORDS = 5
 #: Least share of an item's passage that a space must keep to search for it.
-_RENDERED = 0.15
+_RENDERED = 0.05
 
 
 class _Tokens(blocks.Words):
@@ -287,7 +287,7 @@ def decontaminate(
     One row per pair: ``key``, ``item``, share (of the item's words, in order), cosine, start_word, by_answer.
 
     Rows and items are TF-IDF passages over the items' vocabulary (frequencies over all rows): of 32 words, one every
-    16, or of 16 words, one every 8, for items of up to 16. The items' passages give a latent space by a distributed
+    16, or of 16 words, one every 8, for items of up to nine. The items' passages give a latent space by a distributed
     randomised SVD, of at most ``rank`` dimensions, fewer if they hold ``energy`` of the passages. Items of which it keeps
     too little are dealt, ``rank`` passages at a time, over spaces that their passages span whole, so neither rank nor number of items
     loses one. Both passages are compared within a space, where words that are not the benchmark's hardly count, so a row's passage resembles the item it holds

@@ -121,6 +121,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_sharding": sql.SHARDING,
     "op11_conversation_repair": sql.CONVERSATION_REPAIR,
     "op12_secret_scan": sql.SECRET_SCAN,
     "op13_vector_codes": sql.VECTOR_CODES,

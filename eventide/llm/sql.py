@@ -9,11 +9,21 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-# ------------------------------------------------------------------ conversation repair
+# CRC-32 of a text's UTF-8 bytes, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda b: CAST('0x' || b AS BIGINT))),
+ lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT), 1, 2, 3, 4, 5, 6, 7]), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"""
+
+
+# ------------------------------------------------------------------------------- shards
 
-# CRC-32 of ASCII text, bit by bit.
-_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS BIGINT))),
- lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda k: CAST(k AS BIGINT))), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"""
+SHARDING = f"""WITH sized AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {_CRC.format("coalesce(text, '')")} AS text_crc32 FROM documents),
+ placed AS (SELECT *, CAST(coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 16
+ // sum(size) OVER () AS INTEGER) AS shard FROM sized)
+ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32) - 1 AS slot,
+ CAST(NULL AS INTEGER) AS grown_shard FROM placed"""
+
+
+# ------------------------------------------------------------------ conversation repair
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
