@@ -227,6 +227,7 @@ def _search(model, cosine: float, ratio: float, loose: float):
                 ids = words.ids(0)
                 place = _look_up(v, ids)
                 first = np.cumsum(words.per_row) - words.per_row
+                known = np.concatenate([[0], np.cumsum(place < len(v))])
                 best: dict[tuple[int, int], tuple] = {}
                 for scale, spot, table, owners, queries in m["spaces"]:
                     _, size, step = _SCALES[scale]
@@ -241,6 +242,9 @@ def _search(model, cosine: float, ratio: float, loose: float):
                     r, n = row[at], lengths[item]
                     lo_w = np.maximum(first[r], begin[at] - n)
                     hi_w = np.minimum(first[r] + words.per_row[r], begin[at] + size + n)
+                    # No common subsequence is longer than the region's words of the vocabulary.
+                    some = known[hi_w] - known[lo_w] >= loose * n - 1e-9
+                    at, r, n, item, cos, lo_w, hi_w = (x[some] for x in (at, r, n, item, cos, lo_w, hi_w))
                     near = _common_bound(place, lo_w, hi_w, item, m["own_keys"], m["own_counts"], len(v) + 1) >= loose * n - 1e-9
                     start = begin[at] - first[r]
                     for r, item, n, start, lo_w, hi_w, cos in zip(*(x[near].tolist() for x in (r, item, n, start, lo_w, hi_w, cos)), strict=True):
