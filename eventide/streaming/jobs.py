@@ -138,6 +138,26 @@ def upsert_notices(batches: DataFrame, base: DataFrame, folder: str, buckets: in
     return store.notices()
 
 
+def _save_versions(events: DataFrame, curves: DataFrame, folder: str, number: int) -> None:
+    """A batch's version of its events: one row of event_id and date each, and the curves of those dates once.
+
+    Events whose date has no curve are left out. A repeated batch overwrites itself.
+    """
+    spark = curves.sparkSession
+    rows = events.select("event_id", "date").join(curves.select("date"), "date", "left_semi")
+    rows.write.mode("overwrite").parquet(f"{folder}/trajectories/batch={number}")
+    dates = spark.read.parquet(f"{folder}/trajectories/batch={number}").select("date").distinct()
+    curves.join(dates, "date", "left_semi").dropDuplicates(["date"]).write.mode("overwrite").parquet(f"{folder}/curves/batch={number}")
+
+
+def _latest_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Points of every event's latest version. Events are ranked by their own narrow rows; a curve meets them after that."""
+    versions = spark.read.parquet(f"{folder}/trajectories")
+    latest = versions.groupBy("event_id").agg(F.max_by(F.struct("date", "batch"), "batch").alias("v"))
+    curves = spark.read.parquet(f"{folder}/curves")
+    return latest.select("event_id", "v.*").join(curves, ["date", "batch"]).select("event_id", "date", F.inline("curve"))
+
+
 def refresh_trajectories(events: DataFrame, curves: DataFrame, folder: str) -> DataFrame:
     """Trajectories of the events of each micro-batch, and of no others.
 
@@ -191,7 +211,7 @@ def refresh_prices(ticks: DataFrame, events: DataFrame, folder: str, baskets: di
 
     A micro-batch adds its daily sums to the price log, finds the dates whose curves they can move and
     rewrites the events of those dates only. ``events`` is the stored table of event_id and date. The log and the
-    curves are of calendar size; events meet one row per touched date. A batch writes under its number, so a
+    curves are of calendar size; an event's version is its id and date, and each batch writes the curve of a touched date once. A batch writes under its number, so a
     repeated one overwrites itself; readers take an event's latest version.
     """
     spark = events.sparkSession
@@ -211,10 +231,7 @@ def refresh_prices(ticks: DataFrame, events: DataFrame, folder: str, baskets: di
         dates = touched_dates(changed.where(F.col("item").isin(items)), inside.unionByName(edges.select("item", "day", "price")), span, horizons)
         dates = stage_table(dates, "touched-dates")
         curves = study.date_curves(study.sector_index(prices, baskets), horizons, digits, dates)
-        rows = events.select("event_id", "date").join(curves, "date")
-        rows.write.mode("overwrite").parquet(f"{folder}/trajectories/batch={number}")
+        _save_versions(events, stage_table(curves, "touched-curves"), folder, number)
 
     _start(ticks, folder, "append").foreachBatch(refresh).start().awaitTermination()
-    versions = spark.read.parquet(f"{folder}/trajectories")
-    latest = versions.groupBy("event_id").agg(F.max_by(F.struct("date", "curve"), "batch").alias("v"))
-    return latest.select("event_id", "v.date", F.inline("v.curve"))
+    return _latest_versions(spark, folder)

@@ -195,3 +195,18 @@ def test_days_follow_the_session_zone(spark, rows):
         assert rows(out, "day", "tick_count", "price_sum") == [(dt.date(2026, 1, 1), 2, 3.0), (dt.date(2026, 1, 2), 1, 4.0)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_a_date_curve_is_written_once_per_batch(spark, rows):
+    """Events of one date share its stored curve, and an event shows the curve of its own latest batch."""
+    src, work = folder(), folder()
+    day = lambda k: dt.date(2026, 1, k)
+    events = spark.createDataFrame([(k, day(1 + k % 3)) for k in range(30)] + [(99, day(20))], "event_id BIGINT, date DATE")
+    for part in ([("x", day(k), 10.0 * k) for k in range(1, 9)], [("x", day(2), 50.0)]):
+        spark.createDataFrame(part, "item STRING, day DATE, price DOUBLE").coalesce(1).write.mode("append").parquet(f"{src}/t")
+        out = jobs.refresh_prices(jobs.file_stream(spark, f"{src}/t"), events, work, {"S": ["x"]}, [0, 1])
+    assert set(spark.read.parquet(f"{work}/trajectories").columns) == {"event_id", "date", "batch"}
+    assert rows(spark.read.parquet(f"{work}/curves").where("batch = 0"), "date") == [(day(k),) for k in (1, 2, 3)]
+    index = {1: 35.0 / 10.0 * 100, 2: 30.0 / 35.0 * 100, 3: 40.0 / 30.0 * 100}
+    expected = [(k, day(1 + k % 3), h, round(100.0 if h == 0 else index[1 + k % 3], 6)) for k in range(30) for h in (0, 1)]
+    assert sorted(rows(out.select("event_id", "date", "h", F.round("index", 6)))) == sorted(expected)
