@@ -162,19 +162,15 @@ def refresh_trajectories(events: DataFrame, curves: DataFrame, folder: str) -> D
     """Trajectories of the events of each micro-batch, and of no others.
 
     ``curves`` is the stored date table, read per batch. The store keeps one
-    row per event with its curve, so a later batch replaces an event by one
-    row; points are opened when they are read.
+    row per event, and per batch the curves of its dates, so a later batch
+    replaces an event by one row; points are opened when they are read.
     """
-    spark = curves.sparkSession
 
     def refresh(batch: DataFrame, number: int) -> None:
-        rows = batch.select("event_id", "date").join(curves, "date")
-        rows.write.mode("overwrite").parquet(f"{folder}/trajectories/batch={number}")
+        _save_versions(batch, curves, folder, number)
 
     _start(events, folder, "append").foreachBatch(refresh).start().awaitTermination()
-    versions = spark.read.parquet(f"{folder}/trajectories")
-    latest = versions.groupBy("event_id").agg(F.max_by(F.struct("date", "curve"), "batch").alias("v"))
-    return latest.select("event_id", "v.date", F.inline("v.curve"))
+    return _latest_versions(curves.sparkSession, folder)
 
 
 def price_log(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:

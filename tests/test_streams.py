@@ -210,3 +210,14 @@ def test_a_date_curve_is_written_once_per_batch(spark, rows):
     index = {1: 35.0 / 10.0 * 100, 2: 30.0 / 35.0 * 100, 3: 40.0 / 30.0 * 100}
     expected = [(k, day(1 + k % 3), h, round(100.0 if h == 0 else index[1 + k % 3], 6)) for k in range(30) for h in (0, 1)]
     assert sorted(rows(out.select("event_id", "date", "h", F.round("index", 6)))) == sorted(expected)
+
+
+def test_refreshed_events_keep_the_curve_of_their_batch(spark, rows):
+    src, work = folder(), folder()
+    day = lambda k: dt.date(2026, 1, k)
+    for part, price in ([(1, day(1)), (2, day(2)), (3, day(1))], 10.0), ([(2, day(1)), (4, day(2))], 30.0):
+        index = spark.createDataFrame([("S", day(1), 10.0), ("S", day(2), price)], "sector STRING, date DATE, price DOUBLE")
+        spark.createDataFrame(part, "event_id BIGINT, date DATE").coalesce(1).write.mode("append").parquet(f"{src}/e")
+        out = jobs.refresh_trajectories(jobs.file_stream(spark, f"{src}/e"), study.date_curves(index, [0, 1]), work)
+    assert rows(out, "event_id", "h", "index") == [(1, 0, 100.0), (1, 1, 100.0), (2, 0, 100.0), (2, 1, 300.0), (3, 0, 100.0), (3, 1, 100.0), (4, 0, 100.0)]
+    assert set(spark.read.parquet(f"{work}/trajectories").columns) == {"event_id", "date", "batch"}
