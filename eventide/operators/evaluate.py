@@ -68,7 +68,7 @@ def horizon_errors(forecasts: DataFrame) -> DataFrame:
 
 
 def forecast_choice(
-    events: DataFrame, stored: DataFrame, actuals: DataFrame, margin_days: int = 5, live: DataFrame | None = None
+    events: DataFrame, stored: DataFrame, actuals: DataFrame, margin_days: int = 5, live: DataFrame | None = None, digits: int | None = None
 ) -> DataFrame:
     """Display frame of each event: forecast and outcome by horizon.
 
@@ -76,7 +76,8 @@ def forecast_choice(
     stays absent, and so does a missing outcome. Events of one date share its
     forecast. The frame starts a few days before the announcement. ``is_high``
     marks events whose forecast exceeds 100, to six digits, at some horizon of
-    the sector; it is found once per date, before the events join.
+    the sector; it is found once per date, before the events join. Values are rounded to ``digits`` there too, if
+    given, and not once per event. Each event meets one row, the points of its date, and opens it.
 
     Sectors and dates without a stored forecast take that of the ``live`` model, if given: such an event
     is not in the history yet. Horizons without a model stay absent.
@@ -95,10 +96,13 @@ def forecast_choice(
     )
     series = Window.partitionBy("date", "sector")
     is_high = F.max((F.col("kind") == "predicted") & (F.round("value", 6) > 100.0)).over(series)
+    value = F.col("value") if digits is None else F.round("value", digits)
+    point = F.struct("sector", "h", "kind", "source", value.alias("value"), "is_high")
+    frames = predicted.unionByName(actual).withColumn("is_high", is_high).groupBy("date").agg(F.collect_list(point).alias("frame"))
     return (
-        predicted.unionByName(actual)
-        .withColumn("is_high", is_high)
-        .join(events.select("event_id", "date", "lead_time_days"), "date")
+        events.select("event_id", "date", "lead_time_days")
+        .join(frames, "date")
+        .select("event_id", "date", "lead_time_days", F.inline("frame"))
         .where(F.col("h") >= -(F.col("lead_time_days") + margin_days))
         .select("event_id", "date", "sector", "h", "kind", "source", "value", "is_high")
     )

@@ -414,7 +414,7 @@ def forecast_choice(spark, sf_dir):
     """Display frame of every event; the stored forecasts cover all dates of the calendar."""
     stored = stage_table(wf.final_overwrite(_labels(spark, sf_dir)), "stored_forecasts")
     events = calendar.event_lead_time(dt.calendar(spark, sf_dir))
-    return rounded(evaluate.forecast_choice(events, stored, stored), 3, "value")
+    return evaluate.forecast_choice(events, stored, stored, digits=3)
 
 
 @query
@@ -425,7 +425,7 @@ def forecast_live(spark, sf_dir):
     stored = kept.where(F.col("date") < F.lit("1998-01-01").cast("date"))
     live = stage_table(wf.live_forecasts(labels), "live_forecasts")
     events = calendar.event_lead_time(dt.calendar(spark, sf_dir))
-    return rounded(evaluate.forecast_choice(events, stored, kept, live=live), 3, "value")
+    return evaluate.forecast_choice(events, stored, kept, live=live, digits=3)
 
 
 @query
