@@ -58,6 +58,9 @@ FORBIDDEN_WORDS = ["license", "token", "the "]
 GRADES = ["A", "N"]
 MANUAL_LINKS = [("2024-01-01", -1)]
 EPOCH_OF_POSTS = "2024-01-01 00:00:00"
+TICKS_PER_BUCKET = 1 << 19
+#: Spark's own bound on the buckets of a table (spark.sql.sources.bucketing.maxBuckets).
+MOST_BUCKETS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,13 +86,16 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tick_store(spark: SparkSession, sf_dir: str, folder: str, buckets: int = 16) -> tuple[DataFrame, DataFrame]:
     """Ticks and the item dimension as bucketed tables of the part key, written under ``folder`` once.
 
-    Every later job joins and groups them by part without moving a tick.
+    Every later job joins and groups them by part without moving a tick. A bucket is one task's, so
+    there are ``buckets`` of them or as many more as hold ``TICKS_PER_BUCKET`` ticks or parts each on average.
     """
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("part"), F.to_date("l_shipdate").alias("day"),
         hundredths(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_returnflag").alias("feed"),
     )
     items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("item"), F.col("p_type").alias("family"))
+    most = max(lines.count(), items.count())
+    buckets = max(buckets, min(-(-most // TICKS_PER_BUCKET), MOST_BUCKETS))
     name = folder.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
     stored = write_bucketed(lines, f"{name}_ticks", f"{folder}/ticks", "part", buckets, ["day"])
     return stored, write_bucketed(items, f"{name}_items", f"{folder}/items", "part", buckets)
