@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 MAX_BITS = 1 << 30
 ROWS = 2
-_FLUSH = 4_000_000
+_FLUSH = 1 << 20
 
 
 def row_bits(items: int) -> int:
@@ -28,15 +28,20 @@ def row_bits(items: int) -> int:
 
 def counters(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The counter of each identifier in either row."""
-    mask = np.uint64((1 << bits) - 1)
-    return (ids & mask).astype(np.int64), ((ids >> np.uint64(64 - bits)) & mask).astype(np.int64)
+    return tuple(_row_counters(ids, bits, row) for row in range(ROWS))
+
+
+def _row_counters(ids: np.ndarray, bits: int, row: int) -> np.ndarray:
+    places = ids >> np.uint64(64 - bits) if row else ids & np.uint64((1 << bits) - 1)
+    return places.view(np.int64)
 
 
 def _encode(ids: np.ndarray, bits: int) -> Iterator[dict]:
     """Partition sketch, sparse: for each block of counters, how many entries every run of 256
     counters holds, and their low bytes. An entry stands twice if it was counted twice or more."""
     block = min(bits, 23)
-    for row, places in enumerate(counters(ids, bits)):
+    for row in range(ROWS):
+        places = _row_counters(ids, bits, row)  # one row at a time: a task holds both its Python and its JVM's memory
         places.sort()
         third = np.zeros(len(places), bool)
         third[2:] = places[2:] == places[:-2]
@@ -54,8 +59,9 @@ def _partition_sketches(ids_of: Callable, bits: int) -> Callable:
         schema = pa.schema([("slot", pa.int32()), ("many", pa.binary()), ("low", pa.binary())])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = []
-            for row in _encode(np.concatenate(held), bits):
+            rows, ids = [], np.concatenate(held)
+            held.clear()
+            for row in _encode(ids, bits):
                 rows.append(row)
                 if len(rows) == 16:
                     yield pa.RecordBatch.from_pylist(rows, schema)
@@ -69,7 +75,7 @@ def _partition_sketches(ids_of: Callable, bits: int) -> Callable:
                 n += len(ids)
                 if n >= _FLUSH:
                     yield from flush()
-                    held, n = [], 0
+                    n = 0
         if n:
             yield from flush()
 

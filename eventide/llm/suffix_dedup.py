@@ -13,6 +13,8 @@ from eventide.llm import blocks, sketch
 
 #: Bytes of input per bucket of suffixes; buckets grow in number, not in size.
 _BYTES_PER_BUCKET = 4 << 20
+#: Bytes of text at a time where only leaders are asked for: nothing is gained by larger blocks there.
+_LEADER_BLOCK = 1 << 18
 _LAST = np.iinfo(np.int64).max
 _PACKED = "bucket int, lens binary, text binary, lead binary, code binary, key binary, hash binary, start binary"
 
@@ -38,13 +40,13 @@ def _least(ids: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(ids[: have - span], ids[span - have :]) if have < span else ids
 
 
-def _stretches(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
+def _stretches(batch: pa.RecordBatch, width: int, block: int = blocks.BLOCK) -> Iterator[tuple]:
     """Blocks with their stretches: runs of windows with one leading gram, the least of the
     half-width grams in the window. Equal windows have equal leaders, wherever they stand. (Least
     values crowd at the low end, so they are mixed again.)"""
     offs, data = blocks.buffers(batch.column("t"))
     gram = width // 2 + 1
-    for lo, hi in blocks.row_blocks(offs):
+    for lo, hi in blocks.row_blocks(offs, block):
         part, at = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         starts = blocks.spans(at[:-1], np.maximum(np.diff(at) - width + 1, 0))
         if not len(starts):
@@ -59,7 +61,7 @@ def _stretches(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
 
 def _ids(width: int) -> Callable:
     def ids_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, _, _, lead, _, _ in _stretches(batch, width):
+        for _, _, _, lead, _, _ in _stretches(batch, width, _LEADER_BLOCK):
             yield lead
 
     return ids_of

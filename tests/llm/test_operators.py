@@ -444,3 +444,30 @@ def test_components_of_chains_and_stars(spark):
 @pytest.mark.parametrize("op", [substring_dedup, suffix_dedup, shard_by_bytes, simhash_dedup, lambda d: pack(d, public_tokenizers.path("byte_bpe_50k.json"))])
 def test_empty_table_gives_no_rows(op, docs):
     assert op(docs.limit(0)).count() == 0
+
+
+def test_sketch_memory_of_a_task_is_bounded():
+    """Counters of one flush and one row at a time, and the same bits as a plain count."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from eventide.llm import sketch
+
+    rng, bits = np.random.default_rng(5), 24
+    parts = [rng.integers(0, 1 << 63, 1 << 17, dtype=np.uint64) * np.uint64(2) for _ in range(24)]
+    parts[-1][:1000] = parts[0][:1000]
+    tracemalloc.start()
+    most = sum(b.num_rows for b in sketch._partition_sketches(lambda ids: [ids], bits)(iter(parts)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most > 0 and peak < 64 << 20
+    rows = [r for b in sketch._partition_sketches(lambda ids: [ids], bits)(iter(parts)) for r in b.to_pylist()]
+    rows.sort(key=lambda r: r["slot"])
+    merged = {r["slot"]: r["bits"] for b in sketch._merge(bits)(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()}
+    ids = np.concatenate(parts)
+    for row, places in enumerate(sketch.counters(ids, bits)):
+        count = np.bincount(places, minlength=1 << bits)
+        for k in range(2):
+            want = np.packbits(count[k << 23 : (k + 1) << 23] >= 2, bitorder="little").tobytes()
+            assert merged[(row << 1) + k] == want
